@@ -5,12 +5,13 @@ a hot key (one vehicle, one station, or NULL) becomes one huge task.  Both
 operators here split each key by a time bucket and carry, into each bucket,
 the one row from earlier (or later) buckets that the bucket may need.  The
 carry rows come from a map-side-combined aggregation (one row per key and
-bucket) and a window over those summaries, so the big shuffle is keyed by
-(key, bucket) and no task ever holds more than one bucket of one key.
+bucket), so the big shuffle is keyed by (key, bucket) and no task holds
+more than one bucket of one key.  Rows that cannot match (NULL key or time)
+are spread over salted partitions instead of piling into one NULL group.
 
 Running frames are always ``unboundedPreceding .. currentRow`` (incremental);
-the forward direction is computed with a descending order instead of an
-``unboundedFollowing`` frame, which Spark re-evaluates per row.
+the forward direction uses a descending order instead of an
+``unboundedFollowing`` frame, which Spark re-evaluates for every row.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNB = Window.unboundedPreceding
+# Partitions over which rows without a usable key are spread.
+NULL_KEY_SALT = 4096
 
 
 def _all_not_null(cols: Sequence[str]) -> Column:
@@ -36,6 +39,17 @@ def time_bucket(ts: Column, minutes: int) -> Column:
     return F.floor(F.timestamp_diff("MINUTE", epoch, ts.cast("timestamp_ntz")) / F.lit(minutes)).cast("bigint")
 
 
+def bucket_of_day(ts: Column, minutes: int) -> Column:
+    """Bucket of ``minutes`` width within the calendar day (0-based)."""
+    return F.floor((F.hour(ts) * 60 + F.minute(ts)) / F.lit(minutes)).cast("bigint")
+
+
+def _salt(col: str) -> Column:
+    """Spread value for rows that can never match; one column keeps it cheap
+    (hashing the whole row made constraint inference on the plan very slow)."""
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(NULL_KEY_SALT))
+
+
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
                     names: Sequence[str], bucket_minutes: int = 7 * 24 * 60,
                     drop_null_keys: bool = False) -> DataFrame:
@@ -46,34 +60,36 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     and are never a predecessor; ``drop_null_keys`` removes rows with a NULL
     key instead (what a pandas group-apply does).
     """
-    ok = _all_not_null(list(keys) + [order[0]])
+    keys, order, values = list(keys), list(order), list(values)
     if drop_null_keys:
         df = df.where(_all_not_null(keys))
     cols = df.columns
-    main = df.where(ok).withColumn("__bkt", time_bucket(F.col(order[0]), bucket_minutes))
-    rest = df.where(~ok).withColumns({n: F.lit(None).cast(df.schema[v].dataType) for n, v in zip(names, values)})
+    ok = _all_not_null(keys + [order[0]])
+    bkt = F.when(ok, time_bucket(F.col(order[0]), bucket_minutes)).otherwise(-1 - _salt(order[-1]))
+    carried = [f"__cv{i}" for i in range(len(values))]
 
+    # Latest row of every (key, bucket); carry = latest of all earlier buckets.
     ord_fields = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
-    val_fields = [F.col(v).alias(f"__v{i}") for i, v in enumerate(values)]
-    last_in_bucket = (main.groupBy(*keys, "__bkt")
+    val_fields = [F.col(v).alias(c) for v, c in zip(values, carried)]
+    last_in_bucket = (df.where(ok).withColumn("__bkt", bkt).groupBy(*keys, "__bkt")
                       .agg(F.max(F.struct(*ord_fields, *val_fields)).alias("__last")))
     w_bkt = Window.partitionBy(*keys).orderBy("__bkt").rowsBetween(UNB, -1)
     carry = (last_in_bucket.select(*keys, "__bkt", F.max("__last").over(w_bkt).alias("__c"))
              .where(F.col("__c").isNotNull())
-             .select(*keys, "__bkt",
-                     *[F.col(f"__c.__o{i}").alias(c) for i, c in enumerate(order)],
-                     *[F.col(f"__c.__v{i}").alias(f"__carry_v{i}") for i in range(len(values))],
-                     F.lit(True).alias("__is_carry")))
-
-    body = main.select(*keys, "__bkt", *order, *[F.col(v).alias(f"__carry_v{i}") for i, v in enumerate(values)],
-                       F.lit(False).alias("__is_carry"), F.struct(*[F.col(c) for c in cols if c not in keys + list(order)]).alias("__row"))
+             .select(*keys, "__bkt", *[F.col(f"__c.__o{i}").alias(c) for i, c in enumerate(order)],
+                     *[F.col(f"__c.{c}").alias(c) for c in carried],
+                     F.lit(False).alias("__real"), F.lit(False).alias("__body")))
+
+    others = [c for c in cols if c not in keys and c not in order]
+    body = df.select(*keys, bkt.alias("__bkt"), *order, *[F.col(v).alias(c) for v, c in zip(values, carried)],
+                     ok.alias("__real"), F.lit(True).alias("__body"),
+                     F.struct(F.lit(0).alias("__pad"), *[F.col(c) for c in others]).alias("__row"))
     carry = carry.withColumn("__row", F.lit(None).cast(body.schema["__row"].dataType))
     u = body.unionByName(carry)
     w = Window.partitionBy(*keys, "__bkt").orderBy(*order)
-    lagged = u.withColumns({n: F.lag(f"__carry_v{i}").over(w) for i, n in enumerate(names)})
-    out = lagged.where(~F.col("__is_carry")).select(
+    lagged = u.withColumns({n: F.when(F.col("__real"), F.lag(c).over(w)) for n, c in zip(names, carried)})
+    return lagged.where(F.col("__body")).select(
         *[F.col(c) if c in keys or c in order else F.col(f"__row.{c}").alias(c) for c in cols], *names)
-    return out.unionByName(rest.select(*cols, *names))
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, left_key: str, left_time: str, right_key: str,
@@ -84,57 +100,61 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_key: str, left_time:
     ([day, day + 1)).  Ties (equal gap, or equal right time) go to the
     smallest ``right_seq`` (first in feed).  A left row without key, time or
     candidate gets NULL payload.  Output: all left columns + ``prefix`` + payload.
+
+    Plan: one shuffle of (left rows + right rows + carry rows) keyed by
+    (key, day, bucket-of-day), two running windows (backward ascending,
+    forward descending) in the same partitioning.  Carry rows hold, per
+    bucket, the latest observation of the day's earlier buckets and the
+    earliest of its later buckets; they are derived from the right side only
+    (at most ``2 * 1440 / bucket_minutes`` per key and day).
     """
+    if 1440 % bucket_minutes:
+        raise ValueError("bucket_minutes must divide a day")
+    n_bkt = 1440 // bucket_minutes
     lcols = left.columns
     out_names = [prefix + p for p in payload]
-    ok = F.col(left_key).isNotNull() & (F.col(left_key) != "") & F.col(left_time).isNotNull()
-    types = {p: right.schema[p].dataType for p in payload}
-    rest = left.where(~F.coalesce(ok, F.lit(False))).withColumns(
-        {prefix + p: F.lit(None).cast(types[p]) for p in payload})
-
-    def keyed(df, k, t):
-        ts = F.col(t).cast("timestamp_ntz")
-        return df.withColumns({"__k": F.col(k), "__t": ts, "__day": F.to_date(ts),
-                               "__bkt": time_bucket(ts, bucket_minutes)})
-
-    lft = keyed(left.where(ok), left_key, left_time)
-    rgt = keyed(right.where(F.col(right_key).isNotNull() & F.col(right_time).isNotNull()), right_key, right_time)
-    pay = F.struct(*[F.col(p) for p in payload]).alias("__p")
-    rgt = rgt.select("__k", "__t", "__day", "__bkt", F.col(right_seq).cast("bigint").alias("__s"), pay)
-    part = ["__k", "__day", "__bkt"]
 
-    # Carry rows: latest observation of earlier buckets, earliest of later
-    # buckets, same key and day, for every bucket that holds left rows.
+    lt = F.col(left_time).cast("timestamp_ntz")
+    ok = F.coalesce(F.col(left_key).isNotNull() & (F.col(left_key) != "") & lt.isNotNull(), F.lit(False))
+    rgt = right.where(F.col(right_key).isNotNull() & F.col(right_time).isNotNull())
+    rt = F.col(right_time).cast("timestamp_ntz")
+    pay = F.struct(*[F.col(p) for p in payload])
+    obs = rgt.select(F.col(right_key).alias("__k"), F.to_date(rt).alias("__day"),
+                     bucket_of_day(rt, bucket_minutes).alias("__bkt"), rt.alias("__t"),
+                     F.col(right_seq).cast("bigint").alias("__s"), pay.alias("__p"))
+
+    # Per (key, day): bucket summaries (<= n_bkt, a fixed bound), then for every
+    # bucket of the day the nearest observation before it and after it.
     back_s = F.struct(F.col("__t"), (-F.col("__s")).alias("__ns"), F.col("__p"))
     fwd_s = F.struct(F.col("__t"), F.col("__s"), F.col("__p"))
-    summ = (rgt.groupBy(*part).agg(F.max(back_s).alias("__last"), F.min(fwd_s).alias("__first"),
-                                   F.lit(False).alias("__has_left"))
-            .unionByName(lft.select(*part).distinct().select(
-                *part, F.lit(None).cast(rgt.select(back_s.alias("x")).schema["x"].dataType).alias("__last"),
-                F.lit(None).cast(rgt.select(fwd_s.alias("x")).schema["x"].dataType).alias("__first"),
-                F.lit(True).alias("__has_left")))
-            .groupBy(*part).agg(F.max("__last").alias("__last"), F.min("__first").alias("__first"),
-                                F.max("__has_left").alias("__has_left")))
-    w_up = Window.partitionBy("__k", "__day").orderBy("__bkt").rowsBetween(UNB, -1)
-    w_dn = Window.partitionBy("__k", "__day").orderBy(F.col("__bkt").desc()).rowsBetween(UNB, -1)
-    carries = (summ.select(*part, "__has_left", F.max("__last").over(w_up).alias("__pl"),
-                           F.min("__first").over(w_dn).alias("__nf"))
-               .where("__has_left"))
-    carry_rows = (carries.select(*part, F.explode(F.array(
+    per_bucket = obs.groupBy("__k", "__day", "__bkt").agg(F.max(back_s).alias("__last"), F.min(fwd_s).alias("__first"))
+    per_day = per_bucket.groupBy("__k", "__day").agg(
+        F.collect_list(F.struct("__bkt", "__last", "__first")).alias("__bs"))
+    b = F.col("__b")
+    carries = (per_day.select("__k", "__day", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                                  F.lit(n_bkt - 1).cast("bigint"))).alias("__b"),
+                              "__bs")
+               .select("__k", "__day", b.alias("__bkt"),
+                       F.array_max(F.transform(F.filter("__bs", lambda x: x["__bkt"] < b), lambda x: x["__last"])).alias("__pl"),
+                       F.array_min(F.transform(F.filter("__bs", lambda x: x["__bkt"] > b), lambda x: x["__first"])).alias("__nf")))
+    carry_rows = (carries.select("__k", "__day", "__bkt", F.explode(F.array(
         F.when(F.col("__pl").isNotNull(), F.struct(F.col("__pl.__t").alias("t"), (-F.col("__pl.__ns")).alias("s"),
                                                     F.col("__pl.__p").alias("p"))),
         F.when(F.col("__nf").isNotNull(), F.struct(F.col("__nf.__t").alias("t"), F.col("__nf.__s").alias("s"),
                                                     F.col("__nf.__p").alias("p"))))).alias("__c"))
         .where(F.col("__c").isNotNull())
-        .select(*part, F.col("__c.t").alias("__t"), F.col("__c.s").alias("__s"), F.col("__c.p").alias("__p")))
+        .select("__k", "__day", "__bkt", F.col("__c.t").alias("__t"), F.col("__c.s").alias("__s"),
+                F.col("__c.p").alias("__p")))
 
-    obs = rgt.unionByName(carry_rows).withColumns({"__kind": F.lit(0), "__row": F.lit(None)})
-    legs = lft.select(*part, "__t", F.lit(None).cast("bigint").alias("__s"),
-                      F.lit(None).cast(rgt.schema["__p"].dataType).alias("__p"),
-                      F.lit(1).alias("__kind"), F.struct(*[F.col(c) for c in lcols]).alias("__row"))
-    obs = obs.withColumn("__row", F.lit(None).cast(legs.schema["__row"].dataType))
-    u = legs.unionByName(obs)
+    legs = left.select(F.when(ok, F.col(left_key)).alias("__k"), F.when(ok, F.to_date(lt)).alias("__day"),
+                       F.when(ok, bucket_of_day(lt, bucket_minutes)).otherwise(-1 - _salt(lcols[0])).alias("__bkt"),
+                       lt.alias("__t"), F.lit(None).cast("bigint").alias("__s"),
+                       F.lit(None).cast(obs.schema["__p"].dataType).alias("__p"),
+                       F.lit(1).alias("__kind"), F.struct(*[F.col(c) for c in lcols]).alias("__row"))
+    no_row = F.lit(None).cast(legs.schema["__row"].dataType)
+    u = legs.unionByName(obs.unionByName(carry_rows).withColumns({"__kind": F.lit(0), "__row": no_row}))
 
+    part = ["__k", "__day", "__bkt"]
     is_obs = F.col("__kind") == 0
     w_back = Window.partitionBy(*part).orderBy(F.col("__t").asc(), F.col("__kind").asc()).rowsBetween(UNB, 0)
     w_fwd = Window.partitionBy(*part).orderBy(F.col("__t").desc(), F.col("__kind").asc()).rowsBetween(UNB, 0)
@@ -144,9 +164,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_key: str, left_time:
     gap_b = F.timestamp_diff("MICROSECOND", F.col("__b.__t"), F.col("__t"))
     gap_f = F.timestamp_diff("MICROSECOND", F.col("__t"), F.col("__f.__t"))
     best = F.least(
-        F.when(F.col("__b").isNotNull(), F.struct(gap_b.alias("g"), (-F.col("__b.ns")).alias("s"), F.col("__b.__p").alias("p"))),
-        F.when(F.col("__f").isNotNull(), F.struct(gap_f.alias("g"), F.col("__f.__s").alias("s"), F.col("__f.__p").alias("p"))),
+        F.when(F.col("__b").isNotNull(),
+               F.struct(gap_b.alias("g"), (-F.col("__b.ns")).alias("s"), F.col("__b.__p").alias("p"))),
+        F.when(F.col("__f").isNotNull(),
+               F.struct(gap_f.alias("g"), F.col("__f.__s").alias("s"), F.col("__f.__p").alias("p"))),
     )
-    matched = cand.select(*[F.col(f"__row.{c}").alias(c) for c in lcols],
-                          *[best["p"][p].alias(n) for p, n in zip(payload, out_names)])
-    return matched.unionByName(rest.select(*lcols, *out_names))
+    return cand.select(*[F.col(f"__row.{c}").alias(c) for c in lcols],
+                       *[best["p"][p].alias(n) for p, n in zip(payload, out_names)])
