@@ -179,21 +179,25 @@ def min_max_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[e for c in cols for e in (F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"))])
 
 
-def normalise(df: DataFrame, cols: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
+def _bounds_row(df: DataFrame, cols: Sequence[str], bounds) -> dict:
+    """Fitted bounds as a small dict (2 numbers per column), computed once."""
+    if bounds is None:
+        bounds = min_max_bounds(df, cols)
+    return bounds.first().asDict() if isinstance(bounds, DataFrame) else dict(bounds)
+
+
+def normalise(df: DataFrame, cols: Sequence[str], bounds=None) -> DataFrame:
     """(x - min) / (max - min); a constant column gives NULL (0/0)."""
-    b = bounds if bounds is not None else min_max_bounds(df, cols)
-    j = df.crossJoin(F.broadcast(b))  # one-row side
-    out = j.withColumns({c: F.try_divide(F.col(c) - F.col(f"{c}__min"), F.col(f"{c}__max") - F.col(f"{c}__min"))
-                         for c in cols})
-    return out.select(df.columns)
-
-
-def revert_normalisation(df: DataFrame, cols: Sequence[str], bounds: DataFrame) -> DataFrame:
-    """X * (max - min) + min."""
-    j = df.crossJoin(F.broadcast(bounds))
-    out = j.withColumns({c: F.col(c) * (F.col(f"{c}__max") - F.col(f"{c}__min")) + F.col(f"{c}__min")
-                         for c in cols})
-    return out.select(df.columns)
+    b = _bounds_row(df, cols, bounds)
+    return df.withColumns({c: F.try_divide(F.col(c) - F.lit(b[f"{c}__min"]),
+                                           F.lit(b[f"{c}__max"]) - F.lit(b[f"{c}__min"])) for c in cols})
+
+
+def revert_normalisation(df: DataFrame, cols: Sequence[str], bounds) -> DataFrame:
+    """X * (max - min) + min, with the bounds of T16."""
+    b = _bounds_row(df, cols, bounds)
+    return df.withColumns({c: F.col(c) * (F.lit(b[f"{c}__max"]) - F.lit(b[f"{c}__min"])) + F.lit(b[f"{c}__min"])
+                           for c in cols})
 
 
 def percentage_error(label="label", prediction="prediction") -> Column:

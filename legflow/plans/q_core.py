@@ -102,14 +102,15 @@ def j2(spark, sf):
 
 
 @register("j5_membership_split", """
-SELECT sum(CASE WHEN leg_id IN (SELECT CAST(l_orderkey AS BIGINT) FROM lineitem WHERE l_returnflag = 'R') THEN 1 ELSE 0 END) AS n_in,
-       sum(CASE WHEN leg_id IN (SELECT CAST(l_orderkey AS BIGINT) FROM lineitem WHERE l_returnflag = 'R') THEN 0 ELSE 1 END) AS n_out
-FROM legs
+SELECT CASE WHEN leg_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'in' ELSE 'out' END AS side,
+       count(*) AS n_rows
+FROM legs GROUP BY 1
 """)
 def j5(spark, sf):
     held = fx.read_table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("leg_id"))
     inside, outside = enrich.split_by_keys(fx.legs(spark, sf), held)
-    return inside.agg(F.count(F.lit(1)).alias("n_in")).crossJoin(outside.agg(F.count(F.lit(1)).alias("n_out")))
+    return (inside.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("side", F.lit("in"))
+            .unionByName(outside.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("side", F.lit("out"))))
 
 
 @register("j6_scatter_update", """
@@ -298,15 +299,14 @@ def c3(spark, sf):
 
 
 @register("c4_service_and_vehicle_filters", f"""
-SELECT count(*) FILTER (WHERE {not_true("aircraft_model = 'Surface Vehicle'")}) AS n_no_vehicles,
-       count(*) FILTER (WHERE service_type = 'J') AS n_scheduled
-FROM legs
+SELECT 'no_vehicles' AS filter, count(*) AS n_rows FROM legs WHERE {not_true("aircraft_model = 'Surface Vehicle'")}
+UNION ALL SELECT 'scheduled_only', count(*) FROM legs WHERE service_type = 'J'
 """)
 def c4(spark, sf):
     legs = fx.legs(spark, sf)
-    a = clean.drop_where_equal(legs, "aircraft_model", "Surface Vehicle").agg(F.count(F.lit(1)).alias("n_no_vehicles"))
-    b = clean.keep_where_equal(legs, "service_type", "J").agg(F.count(F.lit(1)).alias("n_scheduled"))
-    return a.crossJoin(b)
+    a = clean.drop_where_equal(legs, "aircraft_model", "Surface Vehicle").agg(F.count(F.lit(1)).alias("n_rows"))
+    b = clean.keep_where_equal(legs, "service_type", "J").agg(F.count(F.lit(1)).alias("n_rows"))
+    return a.withColumn("filter", F.lit("no_vehicles")).unionByName(b.withColumn("filter", F.lit("scheduled_only")))
 
 
 @register("c5_weather_outlier_removal", "WITH " + REPAIRED_CTE + "," + enriched_cte("repaired", "en") + f"""
@@ -474,7 +474,7 @@ FROM lineitem
 """)
 def t16_t17(spark, sf):
     li = fx.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    bounds = derive.min_max_bounds(li, ["l_quantity", "l_extendedprice"])
+    bounds = derive.min_max_bounds(li, ["l_quantity", "l_extendedprice"]).first().asDict()
     n = derive.normalise(li, ["l_quantity", "l_extendedprice"], bounds)
     back = derive.revert_normalisation(n, ["l_extendedprice"], bounds)
     return back.select("l_orderkey", "l_linenumber", r6(F.col("l_quantity")).alias("q_norm"),

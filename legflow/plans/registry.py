@@ -6,7 +6,7 @@ import importlib
 
 from legflow.plans.catalog import REGISTRY
 
-MODULES = ["legflow.plans.q_core"]
+MODULES = ["legflow.plans.q_core", "legflow.plans.q_report"]
 
 
 def all_queries():

@@ -166,8 +166,11 @@ def with_fixtures(body: str) -> str:
     ``body`` is a SELECT, or a query opening with its own ``WITH`` list,
     which is appended after the stand-in views.
     """
-    head = "WITH " + ",\n".join([LEGS_SQL, RAW_LEGS_SQL, WEATHER_SQL, AIRPORT_SQL])
+    views = ",\n".join([LEGS_SQL, RAW_LEGS_SQL, WEATHER_SQL, AIRPORT_SQL])
     text = body.strip()
+    if text[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + views + ",\n" + text[14:].lstrip()
+    head = "WITH " + views
     if text[:4].upper() == "WITH":
         return head + ",\n" + text[4:].lstrip()
     return head + "\n" + text
