@@ -6,7 +6,7 @@ import importlib
 
 from legflow.plans.catalog import REGISTRY
 
-MODULES = ["legflow.plans.q_core", "legflow.plans.q_report", "legflow.plans.q_ml"]
+MODULES = ["legflow.plans.q_core", "legflow.plans.q_report", "legflow.plans.q_ml", "legflow.plans.q_io"]
 
 
 def all_queries():
