@@ -102,14 +102,40 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: one leg per order."""
+_MATERIALISED: dict[tuple[str, str, str], str] = {}
+
+
+def _materialised(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A stand-in table is derived once per session and written as parquet under
+    the shared checkpoint folder, spread over the cluster's cores.  Queries
+    then read it like any input table; without this, Catalyst inlines the
+    generating expressions into every filter and projection of every consumer
+    and evaluates them in the single read task of the small source file."""
+    from legflow.session import checkpoint_path
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    path = _MATERIALISED.get(key)
+    if path is None:
+        tag = "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))[-40:]
+        path = checkpoint_path(spark, f"standin-{tag}-{name}")
+        build().repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
+        _MATERIALISED[key] = path
+    return spark.read.parquet(path)
+
+
+def derive_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 as a lazy plan over ``orders``."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     b = orders.selectExpr(*_exprs(_LEGS_B, SPARK_TS))
     a = b.selectExpr(*_passthrough(_LEGS_B), *_exprs(_LEGS_A, SPARK_TS))
     return a.selectExpr(*_exprs(_LEGS, SPARK_TS))
 
 
+def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: one leg per order."""
+    return _materialised(spark, sf_dir, "legs", lambda: derive_legs(spark, sf_dir))
+
+
 def raw_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2: legs plus exact duplicates plus later re-registrations."""
     base = legs(spark, sf_dir)
@@ -126,7 +152,7 @@ def raw_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weather_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (text-valued) station observations in feed order."""
     events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return events.selectExpr(*_exprs(_WEATHER, SPARK_TS))
+    return _materialised(spark, sf_dir, "weather_obs", lambda: events.selectExpr(*_exprs(_WEATHER, SPARK_TS)))
 
 
 def airport_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
