@@ -38,10 +38,15 @@ def weather_numeric_columns(df: DataFrame) -> list[str]:
             if f"{end}_{c}" in df.columns]
 
 
-def repair_legs(raw: DataFrame) -> DataFrame:
-    """P1 -> D1 -> D2 -> C4 (surface vehicles) -> P7 on working-name legs."""
+def repair_legs(raw: DataFrame, exact_dedupe_first: bool = False) -> DataFrame:
+    """P1 -> D1 -> D2 -> C4 (surface vehicles) -> P7 on working-name legs.
+
+    D2 keeps one whole row per flight key (the greatest by time, then by the
+    row itself), so exact duplicates collapse inside the same aggregation and
+    the separate D1 shuffle is skipped unless asked for; the result is the same."""
     x = clean.drop_columns(raw, clean.RAW_IRRELEVANT_COLUMNS)
-    x = clean.drop_exact_duplicates(x)
+    if exact_dedupe_first:
+        x = clean.drop_exact_duplicates(x)
     x = clean.latest_per_key(x, FLIGHT_KEY, "registered_delay_date")
     x = clean.drop_where_equal(x, "aircraft_model", "Surface Vehicle")
     return clean.coerce_timestamps(x, [c for c in clean.LEG_DATE_COLUMNS if c in x.columns])

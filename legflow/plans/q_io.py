@@ -177,3 +177,32 @@ def e15(spark, sf):
 
 
 del os
+
+
+# ------------------------------------------------------------------ section 3 lifecycle plans
+
+def _cleaned(spark, sf):
+    from legflow.plans import build
+
+    built = build.build_dataset(fx.raw_legs(spark, sf), fx.weather_obs(spark, sf), fx.airport_codes(spark, sf))
+    return build.clean_legs(built)
+
+
+@register("lifecycle_cleaned_legs")
+def lifecycle_cleaned(spark, sf):
+    """3.1 + 3.2 first script: built, enriched, cleaned legs, summarised per fleet and delay code."""
+    x = _cleaned(spark, sf)
+    return x.groupBy("fleet", "delay_code").agg(F.count(F.lit(1)).alias("n_legs"),
+                                                 F.round(F.avg("origin_wind_speed"), 3).alias("avg_origin_wind"))
+
+
+@register("lifecycle_feature_table")
+def lifecycle_features(spark, sf):
+    """3.2 second script: the model table; one row per segment with label means."""
+    from legflow.plans import build
+
+    x = build.engineer_features(_cleaned(spark, sf))
+    return x.groupBy("is_night").agg(F.count(F.lit(1)).alias("n_rows"),
+                                     F.round(F.avg("air_time"), 3).alias("avg_air_time"),
+                                     F.round(F.avg("scheduled_rotation_time"), 3).alias("avg_rotation"),
+                                     F.countDistinct("prev_delay_code").alias("n_prev_codes"))
