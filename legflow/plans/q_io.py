@@ -11,6 +11,7 @@ from legflow.plans.catalog import enriched_cte, hm, register
 from legflow.plans.q_core import r6
 from legflow.sources import fixtures as fx
 from legflow.sources import io
+from legflow.session import ensure_checkpoint_dir
 from legflow.streaming import resumable
 
 _TAB_COLS = ["leg_id", "tail_number", "origin_airport", "off_block_date", "delay_minutes"]
@@ -184,8 +185,13 @@ del os
 def _cleaned(spark, sf):
     from legflow.plans import build
 
-    built = build.build_dataset(fx.raw_legs(spark, sf), fx.weather_obs(spark, sf), fx.airport_codes(spark, sf))
-    return build.clean_legs(built)
+    ensure_checkpoint_dir(spark)
+    # script boundaries are materialised, as the source writes a file between
+    # scripts: the data-dependent steps (sparse-column drops, date parts) each
+    # need one pass, and must not recompute the enrichment every time
+    built = build.build_dataset(fx.raw_legs(spark, sf), fx.weather_obs(spark, sf),
+                                fx.airport_codes(spark, sf)).checkpoint()
+    return build.clean_legs(built).checkpoint()
 
 
 @register("lifecycle_cleaned_legs")
