@@ -171,17 +171,21 @@ def one_hot_name(col: str, level: str) -> str:
 
 class OneHotEncoder:
     """Indicator per fitted level; a NULL value gives NULL in every indicator
-    of that attribute (so imputers see the whole attribute as missing)."""
+    of that attribute (so imputers see the whole attribute as missing).
+    The level list becomes columns, so its size is checked (``max_levels``)."""
 
-    def __init__(self, cols: Sequence[str]):
-        self.cols = list(cols)
+    def __init__(self, cols: Sequence[str], max_levels: int = 10_000):
+        self.cols, self.max_levels = list(cols), max_levels
 
     def fit(self, df: DataFrame) -> OneHotModel:
+        from legflow.operators.enrich import has_at_most
+
         long = df.select(*[F.col(c).cast("string").alias(c) for c in self.cols]).unpivot(
             [], self.cols, "c", "v").where(F.col("v").isNotNull()).distinct()
+        if not has_at_most(long, self.max_levels):
+            raise ValueError(f"more than {self.max_levels} levels: one-hot columns would not fit a schema")
         levels: dict[str, list[str]] = {c: [] for c in self.cols}
-        # one row per (column, level): a category list, bounded by the schema's cardinality
-        for r in long.orderBy("c", "v").collect():
+        for r in long.orderBy("c", "v").collect():  # at most max_levels rows
             levels[r["c"]].append(r["v"])
         return OneHotModel(levels)
 

@@ -53,11 +53,15 @@ def imputed_split(df: DataFrame, complete_keys: DataFrame, key: str, test_share:
     return rest.where(u2 >= 0.2), rest.where(u2 < 0.2), test
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 101, buckets: int = 64,
-                     arithmetic: bool = False) -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 101, buckets: int | None = None,
+                     arithmetic: bool = False, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """``fold`` column; within each label, rows in hash order are dealt to folds
-    round-robin.  A hot label is split into ``buckets`` hash buckets whose
-    offsets come from per-bucket counts, so no task orders a whole label."""
+    round-robin.  Each label is split into hash buckets (enough that the largest
+    label has about ``rows_per_bucket`` rows per bucket) whose offsets come from
+    per-bucket counts, so no task orders a whole label."""
+    if buckets is None:
+        largest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        buckets = max(64, -(-largest // rows_per_bucket))
     u = _u(key, seed, arithmetic)
     x = df.withColumn("__u", u).withColumn("__b", F.floor(F.col("__u") * buckets).cast("int"))
     sizes = x.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
