@@ -308,3 +308,41 @@ def knn_error_rates(neighbours: DataFrame, truth: DataFrame, ks: Sequence[int] =
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------------------ M13: whole-table flow
+
+def impute_table(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (),
+                 method: str = "iterative", max_iter: int = 10, k: int = 2, decomposed_dates: Sequence[str] = (),
+                 out_path: str | None = None) -> DataFrame:
+    """Encode categories as ordinal codes, scale (fitted on complete rows),
+    impute, unscale, round (numbers to 2 places, codes half-even), decode,
+    drop decomposed date parts, rejoin the untouched columns by key, and
+    optionally write the table."""
+    from legflow.operators.derive import remove_decomposed_dates
+    from legflow.operators.encode import OrdinalEncoder
+
+    numeric, categorical = list(numeric), list(categorical)
+    cols = numeric + categorical
+    enc = OrdinalEncoder(categorical).fit(df) if categorical else None
+    x = enc.transform(df.select(key, *cols)) if enc else df.select(key, *cols)
+    x = x.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    scaler = StandardScaler(cols).fit(x)
+    scaled = scaler.transform(x)
+    if method == "iterative":
+        filled = IterativeImputer(cols, key, max_iter=max_iter).fit_transform(scaled)
+    elif method == "reconstruct":
+        filled = ReconstructImputer(cols, key, k=k, max_iter=max_iter).fit(scaled).transform(scaled)
+    else:
+        raise ValueError(f"unknown imputation method {method!r}")
+    back = scaler.inverse_transform(filled)
+    back = back.withColumns({c: F.round(F.col(c), 2) for c in numeric})
+    if enc:
+        back = enc.inverse_transform(back)
+    rest = [c for c in df.columns if c not in cols]
+    out = df.select(*rest).join(back, key)
+    if decomposed_dates:
+        out = remove_decomposed_dates(out, decomposed_dates)
+    if out_path:
+        out.write.mode("overwrite").parquet(out_path)
+    return out

@@ -580,3 +580,51 @@ def r25(spark, sf):
     chain = model.fit_chain(train, "ridge", _FEATS)
     return evaluate.permutation_importance(chain.transform, test, _FEATS, "row_id").select(
         "feature", F.round("importance", 2).alias("importance"))
+
+
+@register("m13_whole_table_imputation")
+def m13(spark, sf):
+    """Encode, scale, impute, unscale, round, decode and rejoin; scored on the masked cells."""
+    from legflow.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    legs = derive.add_targets(fx.legs(spark, sf)).select(
+        "leg_id", "origin_airport", "delay_minutes", F.col("taxi_out").cast("double").alias("taxi_out"),
+        F.col("taxi_in").cast("double").alias("taxi_in"), "fleet", "aircraft_type_code")
+    truth = legs.dropna()
+    inc = impute.inject_nulls(truth, _IMP + _CAT, 0.2, "leg_id", seed=21)
+    out = impute.impute_table(inc, "leg_id", _IMP, _CAT, method="iterative", max_iter=2)
+    num = impute.masked_scores(truth, out, inc, _IMP, "leg_id", per_column=True).select(
+        "column", F.round("mae", 2).alias("score"))
+    cat = impute.masked_accuracy(truth, out, inc, _CAT, "leg_id", per_column=True).select(
+        "column", F.round("accuracy", 2).alias("score"))
+    return num.unionByName(cat)
+
+
+@register("m3_missing_mask", "SELECT " + ", ".join(
+    f"count(*) FILTER (WHERE {c} IS NULL) AS {c}__missing" for c in ["fleet", "tail_number", "take_off_date"])
+    + " FROM legs")
+def m3(spark, sf):
+    m = impute.missing_mask(fx.legs(spark, sf), ["fleet", "tail_number", "take_off_date"], "leg_id")
+    return m.agg(*[F.count_if(F.col(f"{c}__missing")).alias(f"{c}__missing")
+                   for c in ["fleet", "tail_number", "take_off_date"]])
+
+
+@register("s7_model_save_and_reload")
+def s7(spark, sf):
+    """A fitted chain saved to the shared folder, reloaded, and scored again."""
+    from legflow.sources import io
+
+    li = fx.read_table(spark, sf, "lineitem")
+    x = li.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("row_id"), "l_quantity",
+                  "l_discount", "l_tax", "l_returnflag", F.col("l_extendedprice").alias("label"))
+    train, test = model.train_test_split(x, "row_id")
+    chain = model.fit_chain(train, "ridge", ["l_quantity", "l_discount", "l_tax"], categorical=["l_returnflag"],
+                            scaler="standard", pca_k=2)
+    path = io.scratch_table_path(spark, "chain")
+    chain.save(path)
+    again = io.load_chain(path)
+    a = chain.transform(test).select("row_id", F.col("prediction").alias("p1"))
+    b = again.transform(test).select("row_id", F.col("prediction").alias("p2"))
+    return a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n_scored"),
+                                   F.round(F.max(F.abs(F.col("p1") - F.col("p2"))), 9).alias("max_abs_diff"))

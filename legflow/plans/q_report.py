@@ -348,3 +348,33 @@ def a26_report(spark, sf):
     r = report.classification_report(fx.read_table(spark, sf, "lineitem").selectExpr(*_CLS_EXPRS))
     return r.select("cls", *[r6(F.col(c)).alias(c) for c in ["precision", "recall", "f1"]],
                     F.col("support").cast("long").alias("support"))
+
+
+@register("a24_timeline_bounds", "WITH " + REPAIRED_CTE + "," + enriched_cte("repaired", "en") + """,
+t AS (SELECT off_block_date AS date, origin_cloud_height_lvl_1 AS height FROM en
+      WHERE origin_airport = 'A1' AND off_block_date >= TIMESTAMP '2024-01-01' AND off_block_date < TIMESTAMP '2024-02-01'
+      UNION ALL
+      SELECT on_block_date, destination_cloud_height_lvl_1 FROM en
+      WHERE destination_airport = 'A1' AND on_block_date >= TIMESTAMP '2024-01-01' AND on_block_date < TIMESTAMP '2024-02-01')
+SELECT min(date) - INTERVAL 1 HOUR AS x_min, max(date) + INTERVAL 1 HOUR AS x_max, max(height) + 500 AS y_max FROM t
+""")
+def a24_bounds(spark, sf):
+    from legflow.plans.build import LEVEL_ONE_RENAMES
+
+    e = clean.rename_columns(enriched(spark, sf), LEVEL_ONE_RENAMES)
+    return report.timeline_bounds(report.airport_cloud_timeline(e, "A1", 2024, 1))
+
+
+@register("a21_sampled_delay_comparison", f"""
+WITH d AS (SELECT delay_minutes, CASE WHEN {hm('scheduled_departure_date', 'off_block_date')} IS NULL THEN NULL
+                 ELSE greatest({hm('scheduled_departure_date', 'off_block_date')}, 0) END AS dep FROM legs
+           WHERE (CAST((CAST(leg_id AS BIGINT) * 2654435761 + 5 * 40503) % 4294967296 AS DOUBLE) / 4294967296.0) < 0.1)
+SELECT 'dataset' AS series, round(avg(delay_minutes), 6) AS mean, max(delay_minutes) AS max, min(delay_minutes) AS min FROM d
+UNION ALL SELECT 'calculated', round(avg(dep), 6), CAST(max(dep) AS DOUBLE), CAST(min(dep) AS DOUBLE) FROM d
+""")
+def a21_sampled(spark, sf):
+    """A21 with the chart's 10 % sample, drawn as a function of the row key."""
+    from legflow.functions.nulls import uniform
+
+    legs = fx.legs(spark, sf).where(uniform("leg_id", 5) < 0.1)
+    return report.delay_source_comparison(legs).withColumn("mean", r6(F.col("mean")))
