@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from legflow.operators import clean, derive, enrich, select
 from legflow.plans.catalog import enriched_cte, hm, register
 from legflow.plans.q_core import r6
+from legflow.plans.q_ml import li_row_id
 from legflow.sources import fixtures as fx
 from legflow.sources import io
 from legflow.session import ensure_checkpoint_dir
@@ -166,7 +167,7 @@ def e15(spark, sf):
 
     ensure_checkpoint_dir(spark)
     li = fx.read_table(spark, sf, "lineitem")
-    x = li.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("row_id"), "l_quantity",
+    x = li.select(li_row_id().alias("row_id"), "l_quantity",
                   "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
     feats = ["l_quantity", "l_discount", "l_tax"]
     x = encode.StandardScaler(feats).fit(x).transform(x)

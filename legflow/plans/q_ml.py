@@ -16,6 +16,16 @@ from legflow.plans.q_core import r6
 from legflow.sources import fixtures as fx
 
 
+LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def li_row_id():
+    """Row key of ``lineitem``: (order, line) is not unique in the supplied data, so
+    the key hashes the whole row; rows that share it are identical."""
+    return F.xxhash64(*[F.col(c) for c in LINEITEM_COLUMNS])
+
+
 def _orders_split(spark, sf):
     o = fx.read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     return o.withColumn("is_train", uniform("o_orderkey", 3) < 0.8)
@@ -143,7 +153,7 @@ def e12(spark, sf):
 
 def _lineitem_xy(spark, sf):
     li = fx.read_table(spark, sf, "lineitem")
-    return li.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("row_id"),
+    return li.select(li_row_id().alias("row_id"),
                      "l_quantity", "l_discount", "l_tax",
                      (F.col("l_returnflag") == "R").cast("double").alias("flag_r"),
                      (F.col("l_linestatus") == "F").cast("double").alias("status_f"),
@@ -297,7 +307,7 @@ def m14(spark, sf):
 @register("m10_iterative_imputer")
 def m10(spark, sf):
     li = fx.read_table(spark, sf, "lineitem").select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("rid"), "l_quantity", "l_extendedprice",
+        li_row_id().alias("rid"), "l_quantity", "l_extendedprice",
         "l_discount")
     cols = ["l_quantity", "l_extendedprice", "l_discount"]
     inc = impute.inject_nulls(li, cols, 0.2, "rid", seed=5)
@@ -311,7 +321,7 @@ def m10(spark, sf):
 @register("m11_m12_reconstruct_imputer")
 def m11(spark, sf):
     li = fx.read_table(spark, sf, "lineitem").select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("rid"), "l_quantity", "l_extendedprice",
+        li_row_id().alias("rid"), "l_quantity", "l_extendedprice",
         "l_discount", "l_tax")
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     inc = impute.inject_nulls(li, cols, 0.2, "rid", seed=9)
@@ -529,7 +539,7 @@ for _name in ("ridge", "lasso", "elastic", "gb", "xgb", "rf"):
 @register("r11_chain_with_pca_and_encoder")
 def r11(spark, sf):
     li = fx.read_table(spark, sf, "lineitem")
-    x = li.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("row_id"), "l_quantity", "l_discount",
+    x = li.select(li_row_id().alias("row_id"), "l_quantity", "l_discount",
                   "l_tax", "l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("label"))
     train, test = model.train_test_split(x, "row_id")
     chain = model.fit_chain(train, "ridge", ["l_quantity", "l_discount", "l_tax"],
@@ -616,7 +626,7 @@ def s7(spark, sf):
     from legflow.sources import io
 
     li = fx.read_table(spark, sf, "lineitem")
-    x = li.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("row_id"), "l_quantity",
+    x = li.select(li_row_id().alias("row_id"), "l_quantity",
                   "l_discount", "l_tax", "l_returnflag", F.col("l_extendedprice").alias("label"))
     train, test = model.train_test_split(x, "row_id")
     chain = model.fit_chain(train, "ridge", ["l_quantity", "l_discount", "l_tax"], categorical=["l_returnflag"],
