@@ -230,7 +230,7 @@ def m2(spark, sf):
     inc, truth, _ = _bench(spark, sf)
     n = truth.count()
     return inc.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_masked") for c in _IMP]).withColumn(
-        "n_truth", F.lit(n))
+        "n_truth", F.lit(n).cast("long"))
 
 
 _FILL_SQL = (", means AS (SELECT " + ", ".join(f"avg({c}) AS {c}" for c in _IMP) + " FROM inc),"
