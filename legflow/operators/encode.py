@@ -123,10 +123,14 @@ class OrdinalEncoder:
         self.cols = list(cols)
 
     def fit(self, df: DataFrame) -> OrdinalModel:
+        from legflow.operators.quantiles import value_ranks
+
         long = df.select(*[F.col(c).cast("string").alias(c) for c in self.cols]).unpivot(
             [], self.cols, "__column", "__level").where(F.col("__level").isNotNull()).distinct()
-        w = Window.partitionBy("__column").orderBy("__level")
-        return OrdinalModel(self.cols, long.withColumn("__code", F.dense_rank().over(w)))
+        # dense rank of the level within its column = number of smaller levels + 1,
+        # computed without sending a column's levels to one task
+        ranks = value_ranks(long, "__column", "__level")
+        return OrdinalModel(self.cols, ranks.select("__column", "__level", (F.col("below") + 1).alias("__code")))
 
 
 class OrdinalModel(Fitted):

@@ -44,9 +44,21 @@ def imputed_split(df: DataFrame, complete_keys: DataFrame, key: str, test_share:
                   arithmetic: bool = False):
     """Test rows only from originally complete rows, ceil(test_share x all rows)
     of them (lowest hash first); the rest splits 80/20 into train / validation."""
+    from legflow.operators.quantiles import value_ranks
+
     n_test = math.ceil(df.count() * test_share)
     ranked = complete_keys.select(key).distinct().withColumn("__u", _u(key, seed, arithmetic))
-    test_keys = ranked.orderBy("__u", key).limit(n_test).select(key)
+    # The n_test smallest (u, key) without a global sort into one task: the
+    # distributed rank of u gives the cut value; only keys that tie on it
+    # (hash collisions, a handful) are ordered by key.
+    ranks = value_ranks(ranked.withColumn("__g", F.lit(0)), "__g", "__u")
+    cut = ranks.where((F.col("below") < n_test) & (F.col("below") + F.col("cnt") >= n_test)).first()
+    if cut is None:
+        test_keys = ranked.select(key)
+    else:
+        need = n_test - cut["below"]
+        tied = ranked.where(F.col("__u") == cut["__u"]).orderBy(key).limit(int(need)).select(key)
+        test_keys = ranked.where(F.col("__u") < cut["__u"]).select(key).unionByName(tied)
     test = df.join(test_keys, key, "left_semi")
     rest = df.join(test_keys, key, "left_anti")
     u2 = _u(key, seed + 1, arithmetic)
