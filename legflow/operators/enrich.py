@@ -62,15 +62,33 @@ def nearest_observation(legs: DataFrame, weather: DataFrame, station_col: str, t
 
 
 def enrich_both_ends(legs: DataFrame, weather: DataFrame, codes: DataFrame,
-                     payload: Sequence[str] | None = None, bucket_minutes: int = 60) -> DataFrame:
-    """Origin weather at off-block time, destination weather at on-block time."""
+                     payload: Sequence[str] | None = None, bucket_minutes: int = 60,
+                     key: str | None = "leg_id") -> DataFrame:
+    """Origin weather at off-block time, destination weather at on-block time.
+
+    With a unique ``key`` the two nearest-time passes run on narrow rows (key,
+    station, time) and both results join back to the legs on the key, so the
+    wide leg rows cross the network once (a co-partitioned pair of sort-merge
+    joins) instead of once per leg end.  Without a key the legs are carried
+    through both passes."""
     payload = list(payload) if payload is not None else observation_payload(weather)
-    x = code_lookup(legs, codes, "origin_airport", "__origin_station")
-    x = code_lookup(x, codes, "destination_airport", "__destination_station")
-    x = nearest_observation(x, weather, "__origin_station", "off_block_date", "origin_", payload, bucket_minutes)
-    x = nearest_observation(x, weather, "__destination_station", "on_block_date", "destination_", payload,
-                            bucket_minutes)
-    return x.drop("__origin_station", "__destination_station")
+    if key is None or key not in legs.columns:
+        x = code_lookup(legs, codes, "origin_airport", "__origin_station")
+        x = code_lookup(x, codes, "destination_airport", "__destination_station")
+        x = nearest_observation(x, weather, "__origin_station", "off_block_date", "origin_", payload, bucket_minutes)
+        x = nearest_observation(x, weather, "__destination_station", "on_block_date", "destination_", payload,
+                                bucket_minutes)
+        return x.drop("__origin_station", "__destination_station")
+    narrow = legs.select(key, "origin_airport", "destination_airport", "off_block_date", "on_block_date")
+    narrow = code_lookup(narrow, codes, "origin_airport", "__origin_station")
+    narrow = code_lookup(narrow, codes, "destination_airport", "__destination_station")
+    o = nearest_observation(narrow.select(key, "__origin_station", "off_block_date"), weather, "__origin_station",
+                            "off_block_date", "origin_", payload, bucket_minutes)
+    d = nearest_observation(narrow.select(key, "__destination_station", "on_block_date"), weather,
+                            "__destination_station", "on_block_date", "destination_", payload, bucket_minutes)
+    o = o.drop("__origin_station", "off_block_date")
+    d = d.drop("__destination_station", "on_block_date")
+    return legs.join(o, key, "left").join(d, key, "left")
 
 
 def rejoin_columns(left: DataFrame, right: DataFrame, key: str = "leg_id") -> DataFrame:
