@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import functions as F
 
@@ -178,7 +177,6 @@ def e15(spark, sf):
                                  "n_features int, mean_r2 double, chosen boolean")
 
 
-del os
 
 
 # ------------------------------------------------------------------ section 3 lifecycle plans
