@@ -134,11 +134,12 @@ def random_forest(trees: int = 500, label: str = "label", features: str = "featu
 
 # ------------------------------------------------------------------ R11, R14: pipelines by name
 
-def _factories(rounds: int) -> dict[str, Callable[[DataFrame], object]]:
+def _factories(rounds: int, params: dict | None = None) -> dict[str, Callable[[DataFrame], object]]:
+    p = {k: v for k, v in (params or {}).items() if k in ("alpha", "l1_ratio")}
     return {
-        "ridge": lambda d: ridge(d),
-        "lasso": lambda d: lasso(d),
-        "elastic": lambda d: elastic_net(d),
+        "ridge": lambda d: ridge(d, **p),
+        "lasso": lambda d: lasso(d, **p),
+        "elastic": lambda d: elastic_net(d, **p),
         "gb": lambda d: boosted_trees(rounds),
         "xgb": lambda d: regularised_boosted_trees(rounds),
         "rf": lambda d: random_forest(rounds),
@@ -175,11 +176,11 @@ class FittedChain:
 
 def fit_chain(train: DataFrame, name: str, features: Sequence[str], categorical: Sequence[str] = (),
               label: str = "label", scaler: str | None = "standard", pca_k: int | None = None,
-              rounds: int = 10) -> FittedChain:
+              rounds: int = 10, params: dict | None = None) -> FittedChain:
     """Fit a named model chain; unknown names raise."""
     from legflow.operators.encode import CenteredPCA, LeaveOneOutEncoder, MinMaxScaler, RobustScaler, StandardScaler
 
-    factories = _factories(rounds)
+    factories = _factories(rounds, params)
     if name not in factories and name != "stacking":
         raise ValueError(f"unknown model {name!r}; expected one of {MODEL_NAMES}")
     enc = None
@@ -299,3 +300,38 @@ def tuning_report(results: DataFrame) -> DataFrame:
                            "mean_score": F.when(F.col("metric") == "r2", F.col("mean_score") * 100)
                            .otherwise(F.col("mean_score"))})
     return out.unionByName(rmse)
+
+
+def model_grid(name: str, n_features: int) -> list[dict]:
+    """Per-model branches: scaler choice x reducer (none, or n-5 .. n
+    principal components), plus the model's own parameter values."""
+    own = {
+        "ridge": [{"alpha": a} for a in (0.1, 0.5, 1.0)],
+        "lasso": [{"alpha": a} for a in (1e-6, 1e-4)],
+        "elastic": [{"alpha": a, "l1_ratio": r} for a in (1e-4, 1e-3) for r in (0.5, 0.9)],
+        "gb": [{"rounds": r} for r in (100, 500)],
+        "xgb": [{"rounds": r} for r in (100, 500)],
+        "rf": [{"rounds": r} for r in (100, 500)],
+    }
+    if name not in own:
+        raise ValueError(f"unknown model {name!r}")
+    reducers = [None] + [k for k in range(max(1, n_features - 5), n_features + 1)]
+    return [dict(scaler=s, pca_k=k, **p) for s in ("standard", "robust", "minmax") for k in reducers for p in own[name]]
+
+
+def tune_chain(df: DataFrame, name: str, features: Sequence[str], branches: Sequence[dict], label: str = "label",
+               fold_col: str = "fold", k: int = 5, categorical: Sequence[str] = ()) -> DataFrame:
+    """Cross-validate each branch of a named chain (R15 contract per branch)."""
+    spark = df.sparkSession
+    rows = []
+    for idx, b in enumerate(branches):
+        scores = []
+        for i in range(k):
+            tr, te = df.where(F.col(fold_col) != i), df.where(F.col(fold_col) == i)
+            chain = fit_chain(tr, name, features, categorical, label, scaler=b.get("scaler"), pca_k=b.get("pca_k"),
+                              rounds=b.get("rounds", 10), params=b)
+            scores.append(regression_scores(chain.transform(te), label))
+        mse = [s["mse"] for s in scores]
+        r2 = [s["r2"] for s in scores]
+        rows.append((idx, str(b), sum(mse) / k, sum(r2) / k))
+    return spark.createDataFrame(rows, "idx int, branch string, mse double, r2 double")

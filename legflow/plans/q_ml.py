@@ -638,3 +638,14 @@ def s7(spark, sf):
     b = again.transform(test).select("row_id", F.col("prediction").alias("p2"))
     return a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n_scored"),
                                    F.round(F.max(F.abs(F.col("p1") - F.col("p2"))), 9).alias("max_abs_diff"))
+
+
+@register("r16_branch_tuning")
+def r16(spark, sf):
+    """Scaler and reducer branches of the ridge chain, 2-fold cross-validated."""
+    x = _lineitem_xy(spark, sf)
+    x = model.stratified_folds(x.withColumn("__lbl", (F.col("label") / 10000).cast("int")), "__lbl", "row_id", k=2)
+    branches = [b for b in model.model_grid("ridge", len(_FEATS))
+                if b["alpha"] == 0.5 and b["pca_k"] in (None, len(_FEATS) - 1) and b["scaler"] != "minmax"]
+    res = model.tune_chain(x.cache(), "ridge", _FEATS, branches, k=2)
+    return res.select("idx", "branch", F.round("r2", 3).alias("r2"))
