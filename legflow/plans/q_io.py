@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from legflow.operators import clean, derive, enrich, select
-from legflow.plans.catalog import enriched_cte, hm, register
+from legflow.plans.catalog import REPAIRED_CTE, enriched_cte, hm, register, wellformed_where
 from legflow.plans.q_core import r6
 from legflow.plans.q_ml import li_row_id
 from legflow.sources import fixtures as fx
@@ -193,12 +193,24 @@ def _cleaned(spark, sf):
     return build.clean_legs(built).checkpoint()
 
 
-@register("lifecycle_cleaned_legs")
+_CLEANED_SQL = "WITH " + REPAIRED_CTE + "," + enriched_cte("repaired", "en") + f""",
+c AS (SELECT * FROM en WHERE delay_code IS NOT NULL AND {wellformed_where()}),
+d AS (SELECT CASE WHEN aircraft_type_code IN ('772', '763', '744', '342', '313', '345') THEN 'WB'
+                  WHEN aircraft_type_code IN ('M83', '738', '752', '737', '757', '734', 'BEH', 'ER4', '100', 'AT4') THEN 'NB'
+                  WHEN fleet IN ('PGA', 'WI') THEN 'NB' ELSE fleet END AS fleet,
+             CASE WHEN delay_sub_code IS NOT NULL AND delay_sub_code <> '0' THEN CAST(delay_code AS VARCHAR) || delay_sub_code
+                  ELSE CAST(delay_code AS VARCHAR) END AS delay_code,
+             origin_wind_speed FROM c)
+SELECT fleet, delay_code, count(*) AS n_legs, round(avg(origin_wind_speed), 6) AS avg_origin_wind FROM d GROUP BY 1, 2
+"""
+
+
+@register("lifecycle_cleaned_legs", _CLEANED_SQL)
 def lifecycle_cleaned(spark, sf):
     """3.1 + 3.2 first script: built, enriched, cleaned legs, summarised per fleet and delay code."""
     x = _cleaned(spark, sf)
     return x.groupBy("fleet", "delay_code").agg(F.count(F.lit(1)).alias("n_legs"),
-                                                 F.round(F.avg("origin_wind_speed"), 3).alias("avg_origin_wind"))
+                                                 r6(F.avg("origin_wind_speed")).alias("avg_origin_wind"))
 
 
 @register("lifecycle_feature_table")
