@@ -117,7 +117,8 @@ def _materialised(spark: SparkSession, sf_dir: str, name: str, build) -> DataFra
     path = _MATERIALISED.get(key)
     if path is None:
         tag = "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))[-40:]
-        path = checkpoint_path(spark, f"standin-{tag}-{name}")
+        app = "".join(ch if ch.isalnum() else "_" for ch in key[0])
+        path = checkpoint_path(spark, f"standin-{app}-{tag}-{name}")
         build().repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
         _MATERIALISED[key] = path
     return spark.read.parquet(path)
