@@ -42,13 +42,22 @@ def code_lookup(df: DataFrame, codes: DataFrame, col: str, out: str, code_from:
     Code rows with any NULL are ignored; one translation per code (the
     smallest, so reruns agree); unknown or NULL codes give ``missing``.
     """
-    table = (codes.select(code_from, code_to).dropna("any")
-             .groupBy(code_from).agg(F.min(code_to).alias("__to")))
-    table = broadcast_if_small(table)
+    table = code_table(codes, code_from, code_to)
     joined = df.join(table, df[col] == table[code_from], "left")
     return joined.withColumn(out, F.coalesce(F.col("__to"), F.lit(missing))).drop(code_from, "__to")
 
 
+def code_table(codes: DataFrame, code_from: str = "iata", code_to: str = "icao") -> DataFrame:
+    """The J1 lookup table (complete rows, one translation per code), broadcast
+    when its size is within the checked bound.  Passing the result as ``codes``
+    again reuses it without a second size check."""
+    if "__to" in codes.columns:
+        return codes
+    table = (codes.select(code_from, code_to).dropna("any")
+             .groupBy(code_from).agg(F.min(code_to).alias("__to")))
+    return broadcast_if_small(table)
+
+
 def observation_payload(weather: DataFrame, fields: Sequence[str] = WEATHER_FIELDS) -> list[str]:
     return [f for f in fields if f in weather.columns]
 
@@ -80,8 +89,9 @@ def enrich_both_ends(legs: DataFrame, weather: DataFrame, codes: DataFrame,
                                 bucket_minutes)
         return x.drop("__origin_station", "__destination_station")
     narrow = legs.select(key, "origin_airport", "destination_airport", "off_block_date", "on_block_date")
-    narrow = code_lookup(narrow, codes, "origin_airport", "__origin_station")
-    narrow = code_lookup(narrow, codes, "destination_airport", "__destination_station")
+    table = code_table(codes)
+    narrow = code_lookup(narrow, table, "origin_airport", "__origin_station")
+    narrow = code_lookup(narrow, table, "destination_airport", "__destination_station")
     o = nearest_observation(narrow.select(key, "__origin_station", "off_block_date"), weather, "__origin_station",
                             "off_block_date", "origin_", payload, bucket_minutes)
     d = nearest_observation(narrow.select(key, "__destination_station", "on_block_date"), weather,
