@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from legflow.llm import decontaminate, mixing, neardup, secrets, toxicity
+from legflow.llm import chat, decontaminate, license, mixing, neardup, quality, secrets, spans, toxicity, voronoi
 from legflow.llm.shared import table
 
 #: Production mixture: sources by domain, and integer weights by tree level (1 where none is given).
@@ -41,6 +41,14 @@ def op3_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,11 +58,28 @@ def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op9_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprinted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], rows.schema)
+    records = chat.as_records(rows.unionByName(extra))
+    return chat.digests(chat.formatted(chat.canonical(records)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixture, op2_hyperminhash, op3_linked_secrets, op6_segment_toxicity, op7_prefix_join, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_source_mixture, op2_hyperminhash, op3_linked_secrets, op4_sentence_spans, op5_pu_quality, op6_segment_toxicity,
+    op7_prefix_join, op8_voronoi_knn, op9_license_alignment, op10_fingerprinted_chat, pipeline)}
 ORACLE_SQL: dict[str, str] = {}

@@ -50,8 +50,8 @@ def is_empty(df: DataFrame) -> bool:
 BITMAP_BITS = 1 << 25
 
 
-def id_bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS):
-    """A Bloom bitmap of an id column as a numpy array of ``bits`` bits, whatever the number of ids.
+def hash_bitmap(rows: DataFrame, column: str, bits: int = BITMAP_BITS):
+    """A Bloom bitmap of a column of 64-bit hashes as a numpy array of ``bits`` bits, whatever the number of rows.
 
     Built by a distributed ``bit_or`` over at most ``bits / 64`` words, so what
     reaches the driver is bounded by the parameter.  False positives only cost
@@ -59,18 +59,23 @@ def id_bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS):
     """
     import numpy as np
 
-    h = F.xxhash64(F.col(column))
+    h = F.col(column)
     spots = F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits)))).alias("bit")
-    words = (ids.select(spots).select((F.col("bit") / 64).cast("int").alias("word"),
-                                      F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask"))
+    words = (rows.select(spots).select((F.col("bit") / 64).cast("int").alias("word"),
+                                       F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask"))
              .groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas())
     out = np.zeros(bits // 64, np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).astype(np.uint64)
     return out
 
 
+def id_bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS):
+    """The bitmap of the xxhash64 digests of an id column."""
+    return hash_bitmap(ids.select(F.xxhash64(column).alias("digest")), "digest", bits)
+
+
 def bitmap_has(bitmap, digest):
-    """Which int64 xxhash64 digests may be in ``bitmap``."""
+    """Which int64 hashes may be in ``bitmap``."""
     import numpy as np
 
     bits = len(bitmap) * 64

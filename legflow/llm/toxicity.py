@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from legflow.llm import words as W
 from legflow.llm.labelled import fold, logistic, squash, training_ids
-from legflow.llm.shared import bitmap_has, cut, extended
+from legflow.llm.shared import bitmap_has, cut, extended, hash_bitmap
 
 PARTS, HELD = 5, 0
 #: Labelled documents of each class that the fit may read.
@@ -152,18 +152,6 @@ def word_counts(docs: DataFrame, wanted=None) -> DataFrame:
     return docs.mapInArrow(run, "word bigint, y int, n bigint").groupBy("word", "y").agg(F.sum("n").alias("n"))
 
 
-def words_bitmap(counts: DataFrame):
-    """Bitmap of the ``word`` column; words are hashes already, so they are their own digests."""
-    bits = 1 << 25
-    spots = F.explode(F.array(F.pmod("word", F.lit(bits)), F.pmod(F.shiftrightunsigned("word", 32), F.lit(bits)))).alias("bit")
-    parts = (counts.select(spots).select((F.col("bit") / 64).cast("int").alias("at"),
-                                         F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask"))
-             .groupBy("at").agg(F.expr("bit_or(mask)").alias("mask")).toPandas())
-    out = np.zeros(bits // 64, np.uint64)
-    out[parts["at"].to_numpy(np.int64)] = parts["mask"].to_numpy(np.int64).astype(np.uint64)
-    return out
-
-
 def root(scores: np.ndarray, share: np.ndarray) -> float:
     """The positive lam with sum(share * exp(lam * scores)) = 1 (the mean score is negative)."""
     low, high = 0.0, 1.0
@@ -187,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if size is None or not size.clean or not size.toxic:
         return none
     toxic_words = counts.filter("word is not null and toxic > 0")
-    corpus = cut(word_counts(text.select("text", F.lit(0).alias("y")), words_bitmap(toxic_words)).select("word", F.col("n").alias("prior")))
+    corpus = cut(word_counts(text.select("text", F.lit(0).alias("y")), hash_bitmap(toxic_words, "word")).select("word", F.col("n").alias("prior")))
     total = corpus.filter("word is null").agg(F.sum("prior")).head()[0] or 0
     alpha = F.col("prior") * F.lit(PRIOR_WORDS / max(total, 1))
     rest = F.lit(PRIOR_WORDS)

@@ -115,3 +115,79 @@ def auc(score, y):
     p = sum(y)
     n = len(y) - p
     return (total - p * (p + 1) / 2) / (p * n) if p and n else math.nan
+
+
+def top_k(rows, k=20, wanted=lambda i: i % 20 == 0):
+    """{(query row, rank): (vec_id, score)} over rows (vec_id, vector)."""
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, (i, v) in enumerate(whole):
+        if wanted(i):
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for r, (j, w) in enumerate(whole) if r != q)
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+def conversations(rows):
+    """{conv_id: (n_turns, turns_sha, loss_chars, loss_sha)} over rows (conv_id, turn, role, text)."""
+    by = defaultdict(list)
+    for c, t, r, x in rows:
+        by[c].append((t is not None, t or 0, r or "", x or ""))
+    out = {}
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(x for _, _, r, x in turns if r == "assistant")
+        out[c] = (len(turns), sha("".join(f"{r}\n{x}\n" for _, _, r, x in turns)), len(loss), sha(loss))
+    return out
+
+
+def sentences(text, anchor):
+    """[(start, words)] of a text's sentences; anchor(word) ends one too."""
+    found = list(SPACED.finditer(text or ""))
+    out, now = [], []
+    for i, m in enumerate(found):
+        now.append(m)
+        word = m[0]
+        bare = word
+        while len(bare) > 1 and bare[-1] in "\"')]":
+            bare = bare[:-1]
+        gap = text[m.end():found[i + 1].start()] if i + 1 < len(found) else "\n"
+        if bare[-1] in ".!?" or "\n" in gap or "\r" in gap or anchor(word.translate(LOWER)):
+            out.append((now[0].start(), tuple(x[0].translate(LOWER) for x in now)))
+            now = []
+    return out
+
+
+def span_dedup(rows, anchor, run=2, least=16):
+    """{doc_id: (n_sentences, n_removed, text left)}; rows: (doc_id, text) with distinct ids."""
+    first, per = {}, {}
+    for d, t in sorted(rows):
+        s = sentences(t, anchor)
+        spans = []
+        for i in range(len(s)):
+            j, n = i, 0
+            while j < len(s) and (n < least or j - i < run):
+                n += len(s[j][1])
+                j += 1
+            if n >= least and j - i >= run:
+                key = sum((x[1] for x in s[i:j]), ())
+                first.setdefault(key, (d, i))
+                spans.append((i, j, key))
+        per[d] = (s, spans)
+    out = {}
+    for d, t in rows:
+        s, spans = per[d]
+        gone = set()
+        for i, j, key in spans:
+            if first[key] != (d, i):
+                gone |= set(range(i, j))
+        left, last = [], 0
+        text = t or ""
+        for i in sorted(gone):
+            end = s[i + 1][0] if i + 1 < len(s) else len(text)
+            left.append(text[last:s[i][0]])
+            last = end
+        left.append(text[last:])
+        out[d] = (len(s), len(gone), "".join(left) if t is not None else None)
+    return out
