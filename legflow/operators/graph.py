@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legflow.llm.shared import cut, is_empty
+from legflow.session import ensure_checkpoint_dir
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,28 +18,30 @@ def components(edges: DataFrame) -> DataFrame:
     a node with very many edges is split by adaptive skew handling.  Null
     ends and loops give no edge; an empty table gives an empty result.
     """
-    edges = cut(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = (edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+             .distinct().checkpoint())
     roots = None
-    while not is_empty(edges):
+    while edges.take(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"))
-                     .select("node", F.least("node", "low").alias("root")))
-        while True:
+        parent = (both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"))
+                  .select("node", F.least("node", "low").alias("root")).checkpoint())
+        moved = True
+        while moved:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            longer = cut(parent.join(up, "root").select("node", F.col("above").alias("root"),
-                                                        (F.col("above") != F.col("root")).alias("moved")))
+            longer = parent.join(up, "root").select(
+                "node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")).checkpoint()
+            moved = bool(longer.filter("moved").take(1))
             parent = longer.select("node", "root")
-            if is_empty(longer.filter("moved")):
-                break
         if roots is None:
             roots = parent
         else:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            roots = cut(roots.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+            roots = roots.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).checkpoint()
         left = parent.select(F.col("node").alias("u"), F.col("root").alias("a"))
         right = parent.select(F.col("node").alias("v"), F.col("root").alias("b"))
-        edges = cut(edges.join(left, "u").join(right, "v").filter("a <> b")
-                    .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        edges = (edges.join(left, "u").join(right, "v").filter("a <> b")
+                 .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().checkpoint())
     if roots is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots
