@@ -5,7 +5,8 @@ sequence as one shingle if it has fewer words).  The top byte of a hash picks
 one of 256 buckets; a bucket's register stores, of its smallest remaining
 value, the number of leading zeros and ``MANTISSA`` further bits.  An empty
 bucket borrows the register of the first filled bucket in a fixed random
-order of its own, so short documents band like long ones.
+order of its own, so short documents band like long ones.  (Only for banding:
+estimates use filled registers alone.)
 
 Bands of ``ROWS`` registers bring candidates together; the share of equal
 registers, corrected for the chance collisions of truncated registers, gives
@@ -15,11 +16,13 @@ full sets.
 * Documents with equal sets are one class before banding (exact copies cost
   nothing further).
 * Candidates are taken in two passes.  First each band bucket's members
-  against its smallest member: as many pairs as members.  Then, only in
-  buckets whose members are still in different components, the members
-  outside the bucket's largest component against all others in blocks of
-  fixed size, compared on registers inside the task.  Pairs inside one
-  component are never made, and no pair of one bucket that could join two
+  against its smallest member: as many pairs as members.  Then only buckets
+  whose members are still in different components are looked at again: the
+  members outside the bucket's largest component are compared with the whole
+  of that component, and with one another, in blocks of fixed size.  There
+  registers and full sets are compared inside the task, and only links that
+  join two components leave it, so the rows made follow the number of
+  members, not of pairs.  No pair that shares a bucket and could join two
   components is left out.
 * At similarity 0.8 a pair shares no band with probability
   (1 - 0.8**5)**51 = 1.6e-9.
@@ -39,16 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legflow.llm import words as W
-from legflow.llm.graph import components
 from legflow.llm.shared import bitmap_has, cut, id_bitmap, is_empty
+from legflow.operators.graph import components
 
 BUCKETS = 256
 MANTISSA = 10
 VALUE_BITS = 48
 ROWS = 5
 BANDS = BUCKETS // ROWS
-#: Registers held at once when a bucket is compared in blocks, and pairs of one document confirmed by one task.
-BLOCK = 2048
+#: Sets held at once when a group is compared in blocks, and pairs of one document confirmed by one task.
+BLOCK = 512
 #: Standard deviations that an estimate may fall short before a candidate is dropped unconfirmed.
 SLACK = 6.0
 
@@ -64,7 +67,7 @@ def fill_order() -> np.ndarray:
 
 
 def registers(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers (texts x BUCKETS) of sorted distinct hash sets; 0 for an empty set."""
+    """HyperMinHash registers (texts x BUCKETS) of sorted distinct hash sets; 0 where a bucket is empty."""
     n = len(at) - 1
     text = np.repeat(np.arange(n), np.diff(at))
     cell = text * BUCKETS + (values >> np.uint64(56)).astype(np.int64)
@@ -78,19 +81,29 @@ def registers(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     bits = np.where(low > 0, ((part * 2 - 1) * (1 << MANTISSA)).astype(np.int64), 0)
     out = np.zeros(n * BUCKETS, np.uint16)
     out[cell] = (zeros << MANTISSA) + bits + 1
-    empty = np.flatnonzero((out == 0) & np.repeat(np.diff(at) > 0, BUCKETS))
-    order, source, step = fill_order(), out.copy(), 0
+    return out.reshape(n, BUCKETS)
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Keys (texts x BANDS) of the bands, after empty buckets have borrowed a register."""
+    n = len(regs)
+    source = regs.reshape(-1)
+    out = source.copy()
+    empty = np.flatnonzero((out == 0) & np.repeat(regs.any(axis=1), BUCKETS))
+    order, step = fill_order(), 0
     while len(empty):
         bucket = empty % BUCKETS
         got = source[empty - bucket + order[bucket, step]]
         out[empty] = got
         empty = empty[got == 0]
         step += 1
-    return out.reshape(n, BUCKETS)
+    wide = out.reshape(n, BUCKETS)[:, :BANDS * ROWS].reshape(n, BANDS, ROWS).astype(np.uint64)
+    factors = W.odd_numbers(ROWS, 31)
+    return W.mix(W.mix((wide * factors).sum(axis=2, dtype=np.uint64)) + W.odd_numbers(BANDS, 57)[None, :])
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, s1, s2, regs): set size, 128-bit digest of the set, registers."""
+    """(doc_id, n, s1, s2, regs, keys): set size, 128-bit digest of the set, registers, band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in W.pieces(batch.column(1)):
@@ -102,10 +115,11 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 regs = registers(values, at)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(s1), pa.array(s2),
-                     pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n", "s1", "s2", "regs"])
+                     pa.array([r.tobytes() for r in regs], pa.binary()),
+                     pa.array(list(band_keys(regs).view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "regs", "keys"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, regs binary")
+        run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, regs binary, keys array<bigint>")
 
 
 # ---------------------------------------------------------------- estimation
@@ -125,17 +139,25 @@ def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return both.sum(axis=1) / (1 << MANTISSA)
 
 
-def estimate(same: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Collision-corrected Jaccard estimate from the number of equal registers."""
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard estimates of register rows, and how many buckets each rests on."""
+    used = ((a != 0) | (b != 0)).sum(axis=1)
+    same = ((a == b) & (a != 0)).sum(axis=1)
     c = collision_rate(n, m)
-    return (same / BUCKETS - c) / (1 - c)
+    return (same / np.maximum(used, 1) - c) / (1 - c), used
+
 
+def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a pair can still have a similarity of ``percent``: by set sizes, and by the estimate with SLACK deviations.
 
-def may_reach(same: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a pair can still have a similarity of ``percent``: by set sizes, and by the estimate with SLACK deviations."""
+    Buckets sample the union without replacement, which is what makes the
+    deviation of small sets small; a register and a half is allowed besides.
+    """
     t = percent / 100
-    spread = SLACK * np.sqrt(t * (1 - t) * (1 / BUCKETS + 1 / np.maximum(n, m)))
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (estimate(same, n, m) >= t - spread)
+    j, used = estimate(a, b, n, m)
+    union = np.maximum((n + m) / (1 + t), used)
+    spread = SLACK * np.sqrt(t * (1 - t) / np.maximum(used, 1) * (1 - used / np.maximum(union, 1))) + 1.5 / np.maximum(used, 1)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (j >= t - spread)
 
 
 def stacked(column) -> np.ndarray:
@@ -152,8 +174,7 @@ def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 u, v, nu, ru, nv, rv = (batch.column(batch.schema.get_field_index(c)) for c in ("u", "v", "nu", "ru", "nv", "rv"))
-                same = (stacked(ru) == stacked(rv)).sum(axis=1)
-                ok = may_reach(same, nu.to_numpy(), nv.to_numpy(), percent)
+                ok = may_reach(stacked(ru), stacked(rv), nu.to_numpy(), nv.to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([u.filter(pa.array(ok)), v.filter(pa.array(ok))], ["u", "v"])
 
     return pairs.join(a, "u").join(b, "v").mapInArrow(run, "u bigint, v bigint")
@@ -162,7 +183,7 @@ def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 # -------------------------------------------------------------- confirmation
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, members): the sorted shingle hashes of the documents whose id is in ``ids`` (column id).
+    """(doc_id, regs, members): registers and sorted shingle hashes of the documents whose id is in ``ids`` (column id).
 
     A bitmap of fixed size keeps most other documents out before their text
     is shuffled; the join then is exact.
@@ -179,14 +200,24 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 values, at = W.shingle_sets(W.split_words(data, offsets, W.spaced_words()), k)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a),
-                     pa.array([values[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "members"])
+                     pa.array([r.tobytes() for r in registers(values, at)], pa.binary()),
+                     pa.array([values[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "regs", "members"])
 
     some = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .filter("doc_id is not null").withColumn("digest", F.xxhash64("doc_id")))
-    return (some.mapInArrow(run, "doc_id bigint, members binary")
+    return (some.mapInArrow(run, "doc_id bigint, regs binary, members binary")
             .join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity, exactly."""
+    low, high = sorted((len(x), len(y)))
+    if not low or 100 * low < percent * high:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (low + high - both)
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold.
 
@@ -196,7 +227,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     """
     pairs = cut(pairs)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("uses"))
-    sets = cut(full_sets(docs, ends.select("id"), k))
+    sets = cut(full_sets(docs, ends.select("id"), k).select("doc_id", "members"))
     uses = cut(ends)
     side = (pairs.join(uses.select(F.col("id").alias("u"), F.col("uses").alias("cu")), "u")
             .join(uses.select(F.col("id").alias("v"), F.col("uses").alias("cv")), "v")
@@ -221,11 +252,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                     own.append(x)
                     continue
                 for y in own:
-                    low, high = sorted((len(x), len(y)))
-                    if not low or 100 * low < percent * high:
-                        continue
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (low + high - both):
+                    if alike(x, y, percent):
                         u.append(min(hub, other))
                         v.append(max(hub, other))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -238,71 +265,89 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 
 def bands(reps: DataFrame) -> DataFrame:
     """(key, rep): one row for each band of each representative."""
-    key = f"xxhash64(b, substring(regs, b * {2 * ROWS} + 1, {2 * ROWS}))"
-    return reps.select(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> {key})").alias("keys"), "rep").select(
-        F.explode("keys").alias("key"), "rep")
+    return reps.select(F.explode("keys").alias("key"), "rep")
 
 
-def across(shared: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that share a bucket, are in different components, and whose estimate may reach the threshold."""
+def across(docs: DataFrame, shared: DataFrame, comp: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between components whose members share a bucket of ``shared`` (key, rep), confirmed on full sets.
+
+    ``comp``: (node, root) of the components so far; other members are their
+    own.  u and v are roots.  A group is either a bucket's largest component
+    with all members that share a bucket of it from outside, or a bucket's
+    members outside its largest component.
+    """
     member = cut(shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
                  .select("key", "rep", F.coalesce("root", "rep").alias("comp")))
     mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
     member = cut(member.join(mixed, "key"))
     if is_empty(member):
         return member.select(F.col("rep").alias("u"), F.col("comp").alias("v"))
-    by_comp = member.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    # the largest component of a bucket (ties to the smallest id): packed so that the maximum is one number's
-    main = by_comp.groupBy("key").agg(F.max(F.struct("size", (-F.col("comp")).alias("c"))).alias("top"), F.sum("size").alias("size"))
-    main = cut(main.select("key", (-F.col("top.c")).alias("main"), "size", (F.col("size") - F.col("top.size")).alias("rest")))
-    m = (member.join(main, "key")
-         .withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn("slots", F.ceil(F.col("rest") / BLOCK)))
-    # probes: members outside the main component, kept in blocks of BLOCK and sent to every part of the bucket
-    probes = (m.filter("comp <> main").withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots")))
-              .withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("side", F.lit(0)))
-    whole = (m.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))
-             .withColumn("slot", F.explode(F.expr("sequence(0L, slots - 1)"))).withColumn("side", F.lit(1)))
-    cols = ["key", "slot", "part", "side", "rep", "comp"]
-    rows = probes.select(cols).unionByName(whole.select(cols)).join(reps.select("rep", "n", "regs"), "rep")
+    size = member.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    # the largest component of a bucket; of equal ones the smallest id
+    main = cut(size.groupBy("key").agg(F.max(F.struct("size", (-F.col("comp")).alias("c"))).alias("top"))
+               .select("key", (-F.col("top.c")).alias("main")))
+    outside = cut(member.join(main, "key").filter("comp <> main"))
+    near = outside.select(F.lit(0).alias("kind"), F.col("main").alias("id"), "rep", "comp").distinct()
+    several = outside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    apart = outside.join(several, "key").select(F.lit(1).alias("kind"), F.col("key").alias("id"), "rep", "comp")
+    probes = cut(near.unionByName(apart))
+    wanted = near.select("id").distinct()
+    inner = (comp.select(F.col("root").alias("id"), F.col("node").alias("rep")).join(wanted, "id")
+             .unionByName(wanted.join(comp.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.col("id").alias("rep")))
+             .select(F.lit(0).alias("kind"), "id", "rep", F.col("id").alias("comp")))
+    held = cut(inner.unionByName(apart))
+    sets = cut(full_sets(docs, probes.select(F.col("rep").alias("id")).unionByName(held.select(F.col("rep").alias("id"))).distinct(), k))
+    n_held = held.groupBy("kind", "id").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    n_probes = probes.groupBy("kind", "id").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
+    groups = cut(n_held.join(n_probes, ["kind", "id"]))
+    cols = ["kind", "id", "slot", "part", "side", "rep", "comp"]
+    asked = (probes.join(groups, ["kind", "id"]).withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots")))
+             .withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("side", F.lit(0)))
+    read = (held.join(groups, ["kind", "id"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))
+            .withColumn("slot", F.explode(F.expr("sequence(0L, slots - 1)"))).withColumn("side", F.lit(1)))
+    rows = asked.select(cols).unionByName(read.select(cols)).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    names = [*cols, "regs", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, rest = None, [], []
-
-        def compare():
-            """Pairs between held probes and the members read so far."""
-            if not held or not rest:
-                return [], []
-            hr, hc, hn, hg = zip(*held)
-            hr, hc, hn, hg = np.array(hr), np.array(hc), np.array(hn), np.frombuffer(b"".join(hg), np.uint16).reshape(-1, BUCKETS)
-            u, v = [], []
-            for rep, comp, n, regs in rest:
-                ok = np.flatnonzero((hc != comp) & (100 * np.minimum(hn, n) >= percent * np.maximum(hn, n)))
-                if len(ok):
-                    same = (hg[ok] == np.frombuffer(regs, np.uint16)).sum(axis=1)
-                    ok = ok[may_reach(same, hn[ok], np.full(len(ok), n), percent)]
-                    u.extend(np.minimum(hr[ok], rep).tolist())
-                    v.extend(np.maximum(hr[ok], rep).tolist())
-            rest.clear()
-            return u, v
-
-        def out(uv):
-            return pa.RecordBatch.from_arrays([pa.array(uv[0], pa.int64()), pa.array(uv[1], pa.int64())], ["u", "v"])
+        now, own, block, parent = None, [], None, {}
+
+        def root(c):
+            while parent.setdefault(c, c) != c:
+                c = parent[c]
+            return c
 
         for batch in batches:
-            for key, slot, part, side, rep, comp, n, regs in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if (key, slot, part) != now:
-                    yield out(compare())
-                    now, held, rest = (key, slot, part), [], []
+            u, v = [], []
+            for kind, i, slot, part, side, rep, comp, regs, members in zip(*(batch.column(j).to_pylist() for j in range(9))):
+                if (kind, i, slot, part) != now:
+                    now, own, block, parent = (kind, i, slot, part), [], None, {}
+                x = np.frombuffer(members, np.uint64)
                 if side == 0:
-                    held.append((rep, comp, n, regs))
-                else:
-                    rest.append((rep, comp, n, regs))
-                    if len(rest) >= BLOCK:
-                        yield out(compare())
-        yield out(compare())
-
-    return (rows.select(*cols, "n", "regs").repartition("key", "slot", "part").sortWithinPartitions("key", "slot", "part", "side")
-            .mapInArrow(run, "u bigint, v bigint").distinct())
+                    own.append((rep, comp, np.frombuffer(regs, np.uint16), x))
+                    continue
+                if not own:
+                    continue
+                if block is None:
+                    block = (np.array([r for r, _, _, _ in own]), np.array([c for _, c, _, _ in own]), np.array([g for _, _, g, _ in own]),
+                             np.array([len(y) for _, _, _, y in own]))
+                reps, comps, theirs, sizes = block
+                # in a bucket's rest every pair comes twice
+                open_ = np.flatnonzero((comps != comp) & ((reps < rep) if kind == 1 else True)
+                                       & (100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x))))
+                if not len(open_):
+                    continue
+                mine = np.broadcast_to(np.frombuffer(regs, np.uint16), (len(open_), BUCKETS))
+                open_ = open_[may_reach(theirs[open_], mine, sizes[open_], np.full(len(open_), len(x)), percent)]
+                for j in open_.tolist():
+                    a, b = root(own[j][1]), root(comp)
+                    if a != b and alike(own[j][3], x, percent):
+                        parent[max(a, b)] = min(a, b)
+                        u.append(own[j][1])
+                        v.append(comp)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    by = ["kind", "id", "slot", "part"]
+    return rows.select(names).repartition(*by).sortWithinPartitions(*by, "side").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -313,7 +358,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     rows = cut(sketch(docs, k))
     reps = cut(rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n")
-               .agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")))
+               .agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("keys").alias("keys")))
     keyed = bands(reps)
     centres = cut(keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last")
                   .select("key", "centre"))
@@ -326,20 +371,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     several = (narrow.join(sets, ["s1", "s2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
                .filter("u < v").select("u", "v"))
     first = components(links.unionByName(several))
-    more = across(shared.select("key", "rep"), reps, first, percent).join(stars, ["u", "v"], "left_anti")
-    more = cut(more)
+    more = cut(across(docs, shared.select("key", "rep"), first, k, percent))
     if is_empty(more):
         roots = first
     else:
-        extra = confirmed(docs, more, k, percent)
-        up = first.select(F.col("node").alias("u"), F.col("root").alias("a"))
-        down = first.select(F.col("node").alias("v"), F.col("root").alias("b"))
-        joined = components(extra.join(up, "u", "left").join(down, "v", "left")
-                            .select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")))
-        top = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = (first.join(top, "root", "full_outer")
-                 .select(F.coalesce("node", "root").alias("node"), F.coalesce("top", "root").alias("root")))
-        roots = roots.unionByName(top.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct()
+        top = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        joined = first.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        # components of one member are not in the first table
+        roots = joined.unionByName(top.join(first.select(F.col("node").alias("root")), "root", "left_anti")
+                                   .select(F.col("root").alias("node"), F.col("top").alias("root")))
     classes = cut(sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
                   .select("s1", "s2", "n", F.coalesce("root", "rep").alias("component_id")))
     return (narrow.join(classes, ["s1", "s2", "n"], "left")

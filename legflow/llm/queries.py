@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from legflow.llm import chat, decontaminate, license, mixing, neardup, quality, secrets, spans, toxicity, voronoi
+from legflow.llm import chat, decontaminate, license, mixing, neardup, oracle, quality, secrets, spans, toxicity, voronoi
 from legflow.llm.shared import table
 
 #: Production mixture: sources by domain, and integer weights by tree level (1 where none is given).
@@ -82,4 +82,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_source_mixture, op2_hyperminhash, op3_linked_secrets, op4_sentence_spans, op5_pu_quality, op6_segment_toxicity,
     op7_prefix_join, op8_voronoi_knn, op9_license_alignment, op10_fingerprinted_chat, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries have no SQL form (look-around patterns, word hashes, fitted models, alignments); tests/llm checks them.
+ORACLE_SQL = {
+    "op1_source_mixture": oracle.mixture(DOMAINS, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED, MIX_BUDGET),
+    "op2_hyperminhash": oracle.near_duplicates(2, 80),
+    "op7_prefix_join": oracle.decontaminated(decontaminate.WINDOW),
+    "op8_voronoi_knn": oracle.nearest(20, voronoi.SCALE),
+    "op10_fingerprinted_chat": oracle.conversations(),
+}

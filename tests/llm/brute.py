@@ -191,3 +191,70 @@ def span_dedup(rows, anchor, run=2, least=16):
         left.append(text[last:])
         out[d] = (len(s), len(gone), "".join(left) if t is not None else None)
     return out
+
+
+def segments(scores):
+    """All maximal-scoring segments by definition: the best segment (shortest, then leftmost), then either side of it."""
+    best = None
+    for i in range(len(scores)):
+        total = 0.0
+        for j in range(i, len(scores)):
+            total += scores[j]
+            if total > 1e-12 and (best is None or total > best[2] + 1e-9):
+                best = (i, j + 1, total)
+    if best is None:
+        return []
+    i, j, _ = best
+    return segments(scores[:i]) + [best] + [(a + j, b + j, s) for a, b, s in segments(scores[j:])]
+
+
+def shared_out(budget, children):
+    """{name: grant} by rounds: who cannot use a share gives it to siblings; children: {name: (weight, capacity)}."""
+    grant, left, open_ = {}, budget, {n: wc for n, wc in children.items() if wc[0] > 0}
+    while open_:
+        total = sum(w for w, _ in open_.values())
+        full = [n for n, (w, c) in open_.items() if left > 0 and c * total <= left * w]
+        if not full:
+            for n, (w, _) in open_.items():
+                grant[n] = max(left, 0) * w // total
+            break
+        spent = 0
+        for n in full:
+            grant[n] = open_.pop(n)[1]
+            spent += grant[n]
+        left -= spent
+    return grant
+
+
+def mixture(rows, weights, epochs, seed, budget):
+    """{row number: (full_epochs, part_words)} of rows (doc_id, domain, lang, source, words); budget: words of all leaves -> words."""
+    levels = ("domain", "lang", "source")
+    leaf = defaultdict(int)
+    for _, d, g, s, n in rows:
+        if n:
+            leaf[d, g, s] += n
+    weight = lambda level, name: weights.get(levels[level], {}).get(name, 1)
+    leaf = {k: v for k, v in leaf.items() if all(weight(i, k[i]) > 0 for i in range(3))}
+
+    def down(level, prefix, grant):
+        caps = defaultdict(int)
+        for k, v in leaf.items():
+            if k[:level] == prefix:
+                caps[k[level]] += v * epochs
+        got = shared_out(grant, {n: (weight(level, n), c) for n, c in caps.items()})
+        if level == 2:
+            return {(*prefix, n): g for n, g in got.items()}
+        return {k: g for n, x in got.items() for k, g in down(level + 1, (*prefix, n), x).items()}
+
+    cap = sum(v * epochs for v in leaf.values())
+    grants = down(0, (), min(cap, budget(sum(leaf.values()))))
+    out = {}
+    for key, grant in grants.items():
+        whole, rest = divmod(grant, leaf[key])
+        mine = [(hashlib.md5(f"{seed}:{whole}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[4], i)
+                for i, r in enumerate(rows) if r[1:4] == key and r[4]]
+        at = 0
+        for _, n, i in sorted(mine):
+            out[i] = (whole, max(0, min(n, rest - at)))
+            at += n
+    return {i: v for i, v in out.items() if v[0] or v[1]}
