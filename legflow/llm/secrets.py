@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from legflow.llm.shared import cut, text_key
 
 SCOPE = 300
+RUN = 256
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A shorter match of AKIA[A-Z0-9]+ or [0-9a-f]+ fails as a whole run, so the matches that are left are the long runs.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -46,23 +47,39 @@ SPAN = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
 def found(text: Column, pattern: str, kind: str, value: str | None = None, least: int = 0) -> Column:
-    """Spans of all matches of ``pattern``; with ``value``, only those whose group 1 has ``least`` characters."""
+    """Spans of all matches of ``pattern``; with ``value``, only those whose group 1 has ``least`` characters.
+
+    Positions are running sums over (piece before, match) lengths.  They are
+    summed in blocks of ``RUN`` matches, since an array that grows in a fold
+    is copied at every step: a text of n matches takes about RUN * n steps.
+    """
     between = F.transform(F.split(text, pattern, -1), F.length)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if value else matches
     rows = F.arrays_zip(between.alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(group, F.length).alias("value"))
     empty = F.array().cast(SPAN)
+    zero = F.lit(0).cast("bigint")
+
+    def total(block):
+        return F.aggregate(block, zero, lambda s, r: s + r["gap"] + F.coalesce(r["size"], F.lit(0)))
+
+    def begin(state, size):
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
 
     def step(state, r):
-        begin = state["at"] + r["gap"]
-        end = begin + r["size"]
-        span = F.array(F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.lit(kind).alias("kind")))
+        start = state["at"] + r["gap"]
+        end = start + r["size"]
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
         more = F.when(r["size"].isNotNull() & (r["value"] >= least), span).otherwise(empty)
-        return F.struct(F.coalesce(end, state["at"]).cast("bigint").alias("at"), F.concat(state["spans"], more).alias("spans"))
+        return F.struct(F.coalesce(end, state["at"]).alias("at"), F.concat(state["spans"], more).alias("spans"))
+
+    def spans(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans"))
-    spans = F.aggregate(rows, start, step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda b: F.slice(rows, b * RUN + 1, RUN))
+    starts = F.aggregate(F.transform(blocks, total), F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("starts")), begin,
+                         lambda s: s["starts"])
+    return F.when(text.rlike(pattern), F.flatten(F.zip_with(blocks, starts, spans))).otherwise(empty)
 
 
 def parts_of(text: Column) -> list[Column]:

@@ -210,7 +210,8 @@ def test_base_spans_match(spark, docs):
 def test_base_spans_of_hard_texts(spark):
     texts = ["token: token: abcdefghij", "PassWord = 'aaaabbbb' ſecret=longenough1", "api-key=12345678 apikey:\"12345678\" API_KEY = 1234567",
              "𝒳𝒳 token=abcdefgh1 é" + "AKIA" + "Z" * 12 + "é" + "ab" * 16, "AKIA" * 5, "AKIAAKIAAKIA", "0" * 31 + "g" + "0" * 32,
-             "secret=" + "f" * 40, "token==abcdefgh", "token=secret=abcdefgh123", "\ntoken\n=abcdefghi", "x" * 5000 + " passwd:qwertyuiop " * 200]
+             "secret=" + "f" * 40, "token==abcdefgh", "token=secret=abcdefgh123", "\ntoken\n=abcdefghi", "x" * 5000 + " passwd:qwertyuiop " * 2000,
+             "".join(f"é token={'a' * (i % 12 + 1)} " for i in range(1025))]
     check_secrets(spark.createDataFrame(list(enumerate(texts)), DOC))
 
 
