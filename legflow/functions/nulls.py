@@ -59,14 +59,16 @@ def uniform(key, seed: int, multiplier: int = 2654435761) -> Column:
 
     The arithmetic form is the one the oracle SQL also computes, so
     samples and masks are checkable.  Give each column its own seed and
-    odd multiplier (the sequence is low-discrepancy, not random).
+    odd multiplier (the sequence is low-discrepancy, not random).  The key is
+    taken modulo 2**31 first, so the product fits a bigint for any key.
     """
-    k = col_(key).cast("bigint")
+    k = F.pmod(col_(key).cast("bigint"), F.lit(1 << 31))
     return ((k * F.lit(multiplier) + F.lit(seed * 40503)) % F.lit(4294967296)).cast("double") / F.lit(4294967296.0)
 
 
 def uniform_sql(key: str, seed: int, multiplier: int = 2654435761) -> str:
-    return f"(CAST((CAST({key} AS BIGINT) * {multiplier} + {seed * 40503}) % 4294967296 AS DOUBLE) / 4294967296.0)"
+    k = f"(((CAST({key} AS BIGINT) % {1 << 31}) + {1 << 31}) % {1 << 31})"
+    return f"(CAST(({k} * {multiplier} + {seed * 40503}) % 4294967296 AS DOUBLE) / 4294967296.0)"
 
 
 def hash_uniform(key, seed: int) -> Column:

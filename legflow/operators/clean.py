@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from legflow.functions.nulls import keep_unless, to_double, to_timestamp_ntz
+from legflow.session import ensure_checkpoint_dir
 
 # ------------------------------------------------------------------ fixed values
 # Fixed values that must equal the reference's for the same results.
@@ -173,11 +174,15 @@ def with_dense_key(df: DataFrame, order_cols: Sequence[str], name: str = "row_ke
 
     A range-partitioned sort gives the order; each partition's offset comes
     from a per-partition count (as many rows as partitions), so no single
-    task ever sees all rows.  ``order_cols`` must be unique for a stable key.
+    task ever sees all rows.  The ranged rows are written once before they are
+    counted: range bounds are sampled, and partitions may be coalesced, so two
+    evaluations of the same exchange need not agree on partition numbers.
+    ``order_cols`` must be unique for a stable key.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     sorted_df = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
     tagged = sorted_df.withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        "__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint()
     sizes = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.withColumn(
         "__off", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),

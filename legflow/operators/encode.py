@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from legflow.operators.enrich import broadcast_if_small
 from legflow.operators.quantiles import wide_quantiles
+from legflow.session import ensure_checkpoint_dir
 
 
 class Fitted:
@@ -48,8 +49,8 @@ class Fitted:
 
 class LeaveOneOutEncoder:
     """Training rows get (level sum - own label) / (level count - 1); scoring
-    rows get the level mean; unseen levels, NULL, and training singletons get
-    the global mean.  ``transform`` never reads a label."""
+    rows get the level mean; unseen levels, NULL, and levels seen once in
+    training get the global mean.  ``transform`` never reads a label."""
 
     def __init__(self, cols: Sequence[str], label: str = "label", suffix: str = ""):
         self.cols, self.label, self.suffix = list(cols), label, suffix
@@ -61,8 +62,10 @@ class LeaveOneOutEncoder:
         return long.groupBy("__column", "__level").agg(F.sum("__y").alias("__sum"), F.count("__y").alias("__n"))
 
     def fit(self, df: DataFrame) -> LeaveOneOutModel:
+        # one scan of the training rows; the level table is written, so a fitted model does not follow its source
+        ensure_checkpoint_dir(df.sparkSession)
         prior = df.agg(F.avg(F.col(self.label).cast("double"))).first()[0]
-        return LeaveOneOutModel(self.cols, self.label, self.suffix, prior, self._levels(df))
+        return LeaveOneOutModel(self.cols, self.label, self.suffix, prior, self._levels(df).checkpoint())
 
     def fit_transform(self, df: DataFrame) -> tuple[LeaveOneOutModel, DataFrame]:
         model = self.fit(df)
@@ -72,11 +75,13 @@ class LeaveOneOutEncoder:
 class LeaveOneOutModel(Fitted):
     kind = "leave_one_out"
 
-    def __init__(self, cols, label, suffix, prior, levels: DataFrame):
+    def __init__(self, cols, label, suffix, prior, levels: DataFrame, min_count: int = 2):
         self.cols, self.label, self.suffix, self.prior, self.levels = cols, label, suffix, prior, levels
+        self.min_count = min_count
 
     def state(self):
-        return {"cols": self.cols, "label": self.label, "suffix": self.suffix, "prior": self.prior}
+        return {"cols": self.cols, "label": self.label, "suffix": self.suffix, "prior": self.prior,
+                "min_count": self.min_count}
 
     def tables(self):
         return {"levels": self.levels}
@@ -92,24 +97,30 @@ class LeaveOneOutModel(Fitted):
                 y = F.col(self.label).cast("double")
                 enc = F.when(n > 1, (s - y) / (n - 1))
             else:
-                enc = s / n
+                enc = F.when(n >= self.min_count, s / n)
             out = out.withColumn(c + self.suffix, F.coalesce(enc, F.lit(self.prior))).drop(
                 f"__lv_{c}", f"__s_{c}", f"__n_{c}")
         return out
 
 
 class TargetMeanEncoder:
-    """Smoothed level mean, blend weight n / (n + m) toward the prior (m-estimate);
-    ``smoothing = 0`` gives the plain level mean."""
+    """Level mean blended toward the prior by a sigmoid of the level count,
+    weight 1 / (1 + exp(-(n - min_samples_leaf) / smoothing)); a level seen
+    once gets the prior.  ``smoothing = 0`` gives the plain level mean."""
 
-    def __init__(self, cols: Sequence[str], label: str = "label", smoothing: float = 0.0):
-        self.cols, self.label, self.m = list(cols), label, smoothing
+    def __init__(self, cols: Sequence[str], label: str = "label", smoothing: float = 1.0, min_samples_leaf: int = 1):
+        self.cols, self.label, self.smoothing, self.min_samples_leaf = list(cols), label, smoothing, min_samples_leaf
 
     def fit(self, df: DataFrame) -> LeaveOneOutModel:
         inner = LeaveOneOutEncoder(self.cols, self.label).fit(df)
-        m = self.m
-        inner.levels = inner.levels.withColumns({
-            "__sum": F.col("__sum") + F.lit(m * inner.prior), "__n": F.col("__n") + F.lit(m)})
+        n, mean = F.col("__n"), F.col("__sum") / F.col("__n")
+        if self.smoothing > 0:
+            w = 1 / (1 + F.exp(-(n - self.min_samples_leaf) / F.lit(float(self.smoothing))))
+            mean = F.when(n > 1, F.lit(inner.prior) * (1 - w) + mean * w).otherwise(F.lit(inner.prior))
+        # the model scores sum / count: store the blended value with a count of one
+        inner.levels = inner.levels.where(n > 0).select("__column", "__level", mean.alias("__sum"),
+                                                        F.lit(1).cast("bigint").alias("__n"))
+        inner.min_count = 1
         return inner
 
 
@@ -130,7 +141,8 @@ class OrdinalEncoder:
         # dense rank of the level within its column = number of smaller levels + 1,
         # computed without sending a column's levels to one task
         ranks = value_ranks(long, "__column", "__level")
-        return OrdinalModel(self.cols, ranks.select("__column", "__level", (F.col("below") + 1).alias("__code")))
+        # written once, so transforms do not rank the training rows again
+        return OrdinalModel(self.cols, ranks.select("__column", "__level", (F.col("below") + 1).alias("__code")).checkpoint())
 
 
 class OrdinalModel(Fitted):
@@ -182,18 +194,34 @@ class OneHotEncoder:
         self.cols, self.max_levels = list(cols), max_levels
 
     def fit(self, df: DataFrame) -> OneHotModel:
-        from legflow.operators.enrich import has_at_most
-
         long = df.select(*[F.col(c).cast("string").alias(c) for c in self.cols]).unpivot(
             [], self.cols, "c", "v").where(F.col("v").isNotNull()).distinct()
-        if not has_at_most(long, self.max_levels):
-            raise ValueError(f"more than {self.max_levels} levels: one-hot columns would not fit a schema")
+        rows = long.orderBy("c", "v").limit(self.max_levels + 1).collect()
+        if len(rows) > self.max_levels:
+            raise ValueError(f"more than {self.max_levels} levels: one-hot columns would not fit a schema; "
+                             "use one_hot_vector, which has no bound")
         levels: dict[str, list[str]] = {c: [] for c in self.cols}
-        for r in long.orderBy("c", "v").collect():  # at most max_levels rows
+        for r in rows:
             levels[r["c"]].append(r["v"])
         return OneHotModel(levels)
 
 
+def one_hot_vector(df: DataFrame, cols: Sequence[str], suffix: str = "_vec") -> DataFrame:
+    """E4 for any number of levels: a sparse indicator vector per column instead of a
+    column per level; NULL and levels unseen in ``df`` give a NULL vector."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    codes = OrdinalEncoder(cols).fit(df)
+    sizes = {r["__column"]: int(r["n"]) for r in codes.levels.groupBy("__column").agg(F.max("__code").alias("n")).collect()}
+    out = df.withColumns({f"__raw_{c}": F.col(c) for c in cols})
+    out = codes.transform(out)
+    for c in cols:
+        n = sizes.get(c, 0)
+        make = F.udf(lambda i, n=n: None if i is None else Vectors.sparse(n, [int(i) - 1], [1.0]), VectorUDT())
+        out = out.withColumn(c + suffix, make(F.col(c))).withColumn(c, F.col(f"__raw_{c}")).drop(f"__raw_{c}")
+    return out
+
+
 class OneHotModel(Fitted):
     kind = "one_hot"
 
@@ -345,7 +373,8 @@ class PCAModel(Fitted):
             new[f"{self.output}{j + 1}"] = expr
         return df.withColumns(new)
 
-    def inverse_transform(self, df: DataFrame) -> DataFrame:
+    def decoded(self) -> dict:
+        """Each column's reconstruction as an expression over the component columns."""
         new = {}
         for i, c in enumerate(self.cols):
             expr = F.lit(self.means[c])
@@ -355,7 +384,10 @@ class PCAModel(Fitted):
                     z = z * F.lit(math.sqrt(self.variances[j]) if self.variances[j] > 0 else 1.0)
                 expr = expr + z * F.lit(comp[i])
             new[c] = expr
-        return df.withColumns(new)
+        return new
+
+    def inverse_transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(self.decoded())
 
     def explained_variance(self, spark: SparkSession) -> DataFrame:
         """E11 + W3: per component ratio and running total."""

@@ -20,19 +20,20 @@ WEATHER_FIELDS = [
     "ice_accretion_6h", "peak_wind_gust", "peak_wind_direction",
 ]
 
-# Rows a side may have and still be broadcast (a proven bound, checked by a
-# bounded count before the hint is given).
-BROADCAST_MAX_ROWS = 2_000_000
+# Bytes a side may have, by the optimizer's statistics, and still get a broadcast hint.
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has no more than ``max_rows`` rows; reads at most max_rows + 1."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df``; no job runs.  Scans count their files, and
+    filters, projections and aggregations at most their input."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked size; otherwise a plain (shuffled) side."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only behind a checked size in bytes; otherwise a plain side, which
+    adaptive execution may still broadcast once its shuffled size is known."""
+    return F.broadcast(df) if plan_bytes(df) <= max_bytes else df
 
 
 def code_lookup(df: DataFrame, codes: DataFrame, col: str, out: str, code_from: str = "iata",

@@ -122,11 +122,22 @@ def feature_importances(spark, model, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def permuted(df: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
+    """``df`` with the values of ``column`` dealt anew: rows and donors are numbered densely in two hash orders."""
+    from legflow.operators.clean import with_dense_key
+
+    # equal keys are ordered by value, so rows that share a key do not depend on partitioning
+    pos = with_dense_key(df.withColumn("__h1", F.xxhash64(key, F.lit(seed))), ["__h1", key, column], "__place")
+    donor = with_dense_key(df.select(key, column).withColumn("__h2", F.xxhash64(key, F.lit(seed + 1))),
+                           ["__h2", key, column], "__place").select("__place", F.col(column).alias("__new"))
+    return pos.join(donor, "__place").withColumn(column, F.col("__new")).drop("__new", "__place", "__h1")
+
+
 def permutation_importance(pred_fn, df: DataFrame, features: Sequence[str], key: str, label: str = "label",
                            seed: int = 0) -> DataFrame:
     """Drop in R2 when one feature column is permuted (one round, seeded),
-    normalised by the sum, rounded to 3, only > 0, descending.  The permutation
-    pairs each row with another through two hash orders and dense positions."""
+    normalised by the sum, rounded to 3, only > 0, descending.  Rows are numbered
+    once; each feature's donors are numbered in a hash order of their own."""
     from legflow.operators.clean import with_dense_key
 
     def r2(d):
@@ -135,12 +146,12 @@ def permutation_importance(pred_fn, df: DataFrame, features: Sequence[str], key:
         return 1 - s["sse"] / s["sst"] if s["sst"] else 0.0
 
     base = r2(df)
-    pos = with_dense_key(df.withColumn("__h1", F.xxhash64(key, F.lit(seed))), ["__h1", key], "perm_pos")
+    pos = with_dense_key(df.withColumn("__h1", F.xxhash64(key, F.lit(seed))), ["__h1", key], "__place").drop("__h1")
     drops = []
     for i, f in enumerate(features):
         donor = with_dense_key(df.select(key, f).withColumn("__h2", F.xxhash64(key, F.lit(seed + i + 1))),
-                               ["__h2", key], "perm_pos").select("perm_pos", F.col(f).alias("__new"))
-        shuffled = pos.join(donor, "perm_pos").withColumn(f, F.col("__new")).drop("__new", "perm_pos", "__h1")
+                               ["__h2", key, f], "__place").select("__place", F.col(f).alias("__new"))
+        shuffled = pos.join(donor, "__place").withColumn(f, F.col("__new")).drop("__new", "__place")
         drops.append((f, base - r2(shuffled)))
     total = sum(d for _, d in drops) or 1.0
     rows = [(f, float(round(d / total, 3))) for f, d in drops if round(d / total, 3) > 0]

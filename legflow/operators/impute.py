@@ -28,7 +28,7 @@ MASK_MULTIPLIERS = [2654435761, 2246822519, 3266489917, 668265263, 374761393, 15
 
 def row_uniform(key: str, seed: int, slot: int, arithmetic: bool) -> "F.Column":
     """Per-row value in [0, 1).  Library default: xxhash64 (safe for any key);
-    ``arithmetic`` uses the closed form the SQL oracle can recompute (keys < 3e9)."""
+    ``arithmetic`` uses the closed form the SQL oracle can recompute."""
     if arithmetic:
         return uniform(key, seed + 101 * slot, MASK_MULTIPLIERS[slot % len(MASK_MULTIPLIERS)])
     return hash_uniform(key, seed * 1009 + slot)
@@ -68,13 +68,16 @@ def missing_mask(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
 
 # ------------------------------------------------------------------ M4..M6, M9: scores
 
-def _cells(truth: DataFrame, pred: DataFrame, incomplete: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
-    """Long form (column, truth, pred, masked) over all cells of ``cols``."""
-    cols = list(cols)
-    t = truth.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(key, cols, "column", "t")
-    p = pred.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(key, cols, "column", "p")
-    m = incomplete.select(key, *[F.col(c).isNull().alias(c) for c in cols]).unpivot(key, cols, "column", "masked")
-    return t.join(p, [key, "column"]).join(m, [key, "column"])
+def _cells(truth: DataFrame, pred: DataFrame, incomplete: DataFrame, cols: Sequence[str], key: str,
+           kind: str = "double") -> DataFrame:
+    """Long form (column, t, p, masked) over all cells of ``cols``: one join of the wide rows on the key, then a
+    narrow expansion, so a row is shuffled once and not once per column."""
+    t = truth.select(key, *[F.col(c).cast(kind).alias(f"{c}__t") for c in cols])
+    p = pred.select(key, *[F.col(c).cast(kind).alias(f"{c}__p") for c in cols])
+    m = incomplete.select(key, *[F.col(c).isNull().alias(f"{c}__m") for c in cols])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__t").alias("t"), F.col(f"{c}__p").alias("p"),
+                               F.col(f"{c}__m").alias("masked")) for c in cols])
+    return t.join(p, key).join(m, key).select(F.inline(cells))
 
 
 def masked_scores(truth: DataFrame, pred: DataFrame, incomplete: DataFrame, cols: Sequence[str], key: str,
@@ -82,7 +85,7 @@ def masked_scores(truth: DataFrame, pred: DataFrame, incomplete: DataFrame, cols
     """M4 / M6: MSE, MAE, MAPE over the masked numeric cells (``observed`` scores
     the other cells instead), pooled or per column."""
     cells = _cells(truth, pred, incomplete, cols, key).where(F.col("masked") != F.lit(observed))
-    t, p = F.col("t").cast("double"), F.col("p").cast("double")
+    t, p = F.col("t"), F.col("p")
     aggs = [F.avg((t - p) ** 2).alias("mse"), F.avg(F.abs(t - p)).alias("mae"),
             (F.avg(F.try_divide(F.abs(t - p), F.abs(t))) * 100).alias("mape"), F.count(F.lit(1)).alias("n_cells")]
     return cells.groupBy("column").agg(*aggs) if per_column else cells.agg(*aggs)
@@ -91,7 +94,7 @@ def masked_scores(truth: DataFrame, pred: DataFrame, incomplete: DataFrame, cols
 def masked_accuracy(truth: DataFrame, pred: DataFrame, incomplete: DataFrame, cols: Sequence[str], key: str,
                     per_column: bool = False) -> DataFrame:
     """M5 / M6: share of masked categorical cells predicted exactly."""
-    cells = _cells(truth, pred, incomplete, cols, key).where(F.col("masked"))
+    cells = _cells(truth, pred, incomplete, cols, key, "string").where(F.col("masked"))
     aggs = [F.avg((F.col("t") == F.col("p")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n_cells")]
     return cells.groupBy("column").agg(*aggs) if per_column else cells.agg(*aggs)
 
@@ -145,7 +148,9 @@ class IterativeImputer:
     """Start from column means, then for ``max_iter`` rounds regress each
     incomplete column (fewest missing first) on all other columns, using rows
     where it is observed, and overwrite only its missing cells.  ``fit`` learns
-    the per-round regressions on one frame; ``transform`` replays them."""
+    the per-round regressions on one frame; ``transform`` replays them by round
+    and column, in the fitted order.  A column that had no gaps in ``fit`` has
+    no regression: its gaps keep the fitted mean."""
 
     def __init__(self, cols: Sequence[str], key: str, max_iter: int = 10, reg: float = 1e-6):
         self.cols, self.key, self.max_iter, self.reg = list(cols), key, max_iter, reg
@@ -153,27 +158,26 @@ class IterativeImputer:
     def _run(self, df: DataFrame, models=None):
         ensure_checkpoint_dir(df.sparkSession)
         cols = self.cols
-        miss = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-        order = sorted([c for c in cols if miss[c] > 0], key=lambda c: (miss[c], cols.index(c)))
+        if models is None:
+            miss = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
+            order = sorted([c for c in cols if miss[c] > 0], key=lambda c: (miss[c], cols.index(c)))
+        else:
+            order = [c for it, c in models if it == 0]  # dicts keep the fitted order
         means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict() if models is None else self.means
         cur = df.select(self.key, *[F.col(c).cast("double").alias(c) for c in cols],
                         *[F.col(c).isNull().alias(f"{c}__m") for c in cols])
         cur = cur.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in cols}).checkpoint()
-        learnt = [] if models is None else models
+        learnt = {} if models is None else models
         for it in range(self.max_iter):
-            for j, c in enumerate(order):
+            for c in order:
                 others = [o for o in cols if o != c]
                 vec = VectorAssembler(inputCols=others, outputCol="__x")
                 if models is None:
                     train = vec.transform(cur.where(~F.col(f"{c}__m")))
                     m = LinearRegression(featuresCol="__x", labelCol=c, regParam=self.reg, elasticNetParam=0.0,
                                          solver="normal").fit(train)
-                    learnt.append((c, list(map(float, m.coefficients)), float(m.intercept)))
-                    coefs, b = learnt[-1][1], learnt[-1][2]
-                else:
-                    _, coefs, b = models[it * len(order) + j] if it * len(order) + j < len(models) else (c, None, None)
-                    if coefs is None:
-                        continue
+                    learnt[it, c] = (list(map(float, m.coefficients)), float(m.intercept))
+                coefs, b = learnt[it, c]
                 pred = F.lit(b) + sum(F.col(o) * F.lit(w) for o, w in zip(others, coefs))
                 cur = cur.withColumn(c, F.when(F.col(f"{c}__m"), pred).otherwise(F.col(c)))
             cur = cur.checkpoint()
@@ -219,14 +223,11 @@ class ReconstructImputer:
         x = x.withColumns({c: F.coalesce(F.col(c), F.lit(self.init)) for c in cols}).checkpoint()
         self.history = []
         for _ in range(self.max_iter):
-            z = self.pca.transform(x)
-            recon = self.pca.inverse_transform(z.select(self.key, *[f"pc{j + 1}" for j in range(self.k)])
-                                               .withColumns({c: F.lit(0.0) for c in cols}))
-            recon = recon.select(self.key, *[F.col(c).alias(f"{c}__r") for c in cols])
+            # encode and decode on the row itself: no join, so repeated keys stay single rows
             w = F.lit(self.blend)
-            x = x.join(recon, self.key).withColumns(
-                {c: F.when(F.col(f"{c}__m"), (1 - w) * F.col(c) + w * F.col(f"{c}__r")).otherwise(F.col(c))
-                 for c in cols}).drop(*[f"{c}__r" for c in cols]).checkpoint()
+            x = self.pca.transform(x).withColumns(
+                {c: F.when(F.col(f"{c}__m"), (1 - w) * F.col(c) + w * r).otherwise(F.col(c))
+                 for c, r in self.pca.decoded().items()}).drop(*[f"pc{j + 1}" for j in range(self.k)]).checkpoint()
         out = self.scaler.inverse_transform(x.select(self.key, *cols))
         return out
 
@@ -241,52 +242,65 @@ def drop_unfilled(pred: DataFrame, truth: DataFrame, key: str) -> tuple[DataFram
 
 # ------------------------------------------------------------------ M15, M16: nearest neighbours
 
-def _knn_partition(train_x: np.ndarray, train_y: np.ndarray, train_id: np.ndarray, k: int):
+KNN_BLOCK_BYTES = 16 << 20
+KNN_CHUNK = 256
+
+
+def _knn_block(k: int):
+    """Top k of each query against the block of train rows that precedes it in a task's sorted rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tx2 = (train_x ** 2).sum(axis=1)
+        block, held, ready = None, [], None
         for pdf in batches:
-            if pdf.empty:
-                continue
-            q = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-            d2 = (q ** 2).sum(axis=1)[:, None] + tx2[None, :] - 2.0 * q @ train_x.T
-            kk = min(k, train_x.shape[0])
-            # stable order on (distance, train id) so ties are reproducible
-            order = np.lexsort((np.broadcast_to(train_id, d2.shape), d2), axis=1)[:, :kk]
-            rows = {"query_id": np.repeat(pdf["id"].to_numpy(), kk),
-                    "rank": np.tile(np.arange(1, kk + 1), len(pdf)),
-                    "neighbour_id": train_id[order].ravel(),
-                    "neighbour_label": train_y[order].ravel(),
-                    "dist2": np.take_along_axis(d2, order, axis=1).ravel()}
-            yield pd.DataFrame(rows)
+            for (b, side), part in pdf.groupby(["block", "side"], sort=True):
+                if b != block:
+                    block, held, ready = b, [], None
+                if side == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    t = pd.concat(held).sort_values("id", kind="stable")
+                    x = np.stack(t["features"].to_numpy()).astype(np.float64)
+                    ready = (x, (x ** 2).sum(axis=1), t["label"].to_numpy(), t["id"].to_numpy())
+                x, x2, y, ids = ready
+                kk = min(k, len(ids))
+                for at in range(0, len(part), KNN_CHUNK):
+                    sub = part.iloc[at:at + KNN_CHUNK]
+                    q = np.stack(sub["features"].to_numpy()).astype(np.float64)
+                    d2 = (q ** 2).sum(axis=1)[:, None] + x2[None, :] - 2.0 * q @ x.T
+                    # everything not beyond the k-th distance, then order by (distance, train id)
+                    edge = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+                    rows = []
+                    for i in range(len(sub)):
+                        near = np.flatnonzero(d2[i] <= edge[i])
+                        near = near[np.lexsort((ids[near], d2[i][near]))][:kk]
+                        rows.append(pd.DataFrame({"query_id": sub["id"].iloc[i], "neighbour_id": ids[near],
+                                                  "neighbour_label": y[near], "dist2": d2[i][near]}))
+                    yield pd.concat(rows)
     return run
 
 
-def nearest_neighbours(train: DataFrame, query: DataFrame, k: int, chunk_rows: int = 200_000) -> DataFrame:
+def nearest_neighbours(train: DataFrame, query: DataFrame, k: int, block_bytes: int = KNN_BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, neighbour_id, neighbour_label, dist2): exact k nearest train
     rows per query row.  Inputs: ``id``, ``features`` (array<double>), train also
-    ``label``.  The train side goes to the tasks in chunks of ``chunk_rows``
-    (a proven bound per broadcast); each query partition keeps only its top k
-    per chunk, and a final per-query top k merges the chunks.  No pair of rows
-    is ever materialised."""
-    n = train.count()
-    parts = []
-    ordered = train.select("id", "features", "label")
-    n_chunks = max(1, -(-n // chunk_rows))
-    schema = "query_id long, rank int, neighbour_id long, neighbour_label int, dist2 double"
-    for ci in range(n_chunks):
-        chunk = ordered.where(F.pmod(F.col("id"), F.lit(n_chunks)) == ci) if n_chunks > 1 else ordered
-        pdf = chunk.toPandas()  # at most chunk_rows rows, bounded
-        tx = np.stack(pdf["features"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
-        ty = pdf["label"].to_numpy().astype(np.int64)
-        tid = pdf["id"].to_numpy().astype(np.int64)
-        parts.append(query.select("id", "features").mapInPandas(_knn_partition(tx, ty, tid, k), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if n_chunks > 1:
-        w = Window.partitionBy("query_id").orderBy("dist2", "neighbour_id")
-        out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out
+    ``label``.  Train rows are dealt into blocks of about ``block_bytes`` by a
+    hash of their id, whatever their number; every query goes to every block.
+    A task holds one block and reads queries as a stream, returns at most k
+    rows a query, and a per-query top k merges the blocks.  No pair of rows is
+    ever materialised, and nothing passes through the driver but two counts."""
+    r = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
+    blocks = max(1, -(-(r["n"] or 0) * 8 * max(r["d"] or 1, 1) // block_bytes))
+    cols = ["block", "side", "id", "features", "label"]
+    t = train.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"),
+                     F.col("id").cast("long").alias("id"), "features", F.col("label").cast("int").alias("label"))
+    q = query.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"),
+                     F.col("id").cast("long").alias("id"), "features", F.lit(0).cast("int").alias("label"))
+    out = (t.select(cols).unionByName(q.select(cols)).repartition("block").sortWithinPartitions("block", "side")
+           .mapInPandas(_knn_block(k), "query_id long, neighbour_id long, neighbour_label int, dist2 double"))
+    w = Window.partitionBy("query_id").orderBy("dist2", "neighbour_id")
+    return (out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "neighbour_id", "neighbour_label", "dist2"))
 
 
 def knn_vote(neighbours: DataFrame, k: int) -> DataFrame:
@@ -298,16 +312,15 @@ def knn_vote(neighbours: DataFrame, k: int) -> DataFrame:
 
 
 def knn_error_rates(neighbours: DataFrame, truth: DataFrame, ks: Sequence[int] = range(1, 10)) -> DataFrame:
-    """Error rate for each k from one ranked neighbour table."""
-    parts = []
-    for k in ks:
-        pred = knn_vote(neighbours, k).join(truth.select(F.col("id").alias("query_id"), "label"), "query_id")
-        parts.append(pred.agg(F.avg((F.col("prediction") != F.col("label")).cast("double")).alias("error_rate"))
-                     .withColumn("k", F.lit(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Error rate for each k from one ranked neighbour table: a neighbour of rank r votes
+    for every k >= r, so the search and its ranking run once."""
+    each = neighbours.select("query_id", "neighbour_label", F.explode(
+        F.expr(f"filter(array({', '.join(map(str, ks))}), k -> k >= rank)")).alias("k"))
+    votes = each.groupBy("query_id", "k", "neighbour_label").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("query_id", "k").agg(F.min(F.struct((-F.col("n")).alias("nn"), "neighbour_label")).alias("b"))
+    pred = best.select("query_id", "k", F.col("b.neighbour_label").alias("prediction")).join(
+        truth.select(F.col("id").alias("query_id"), "label"), "query_id")
+    return pred.groupBy("k").agg(F.avg((F.col("prediction") != F.col("label")).cast("double")).alias("error_rate"))
 
 
 # ------------------------------------------------------------------ M13: whole-table flow

@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legflow.functions.nulls import hash_uniform, uniform
@@ -80,8 +80,10 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     w_off = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(w_off), F.lit(0))).drop("__n")
     w = Window.partitionBy(label, "__b").orderBy("__u", key)
-    x = x.join(offs, [label, "__b"]).withColumn("__r", F.row_number().over(w) + F.col("__off") - 1)
-    return x.withColumn("fold", (F.col("__r") % k).cast("int")).drop("__u", "__b", "__off", "__r")
+    offs = offs.select(F.col(label).alias("__label"), F.col("__b").alias("__bucket"), "__off")
+    # null-safe: rows without a label form a stratum of their own
+    x = x.join(offs, x[label].eqNullSafe(offs["__label"]) & (x["__b"] == offs["__bucket"])).withColumn("__r", F.row_number().over(w) + F.col("__off") - 1)
+    return x.withColumn("fold", (F.col("__r") % k).cast("int")).drop("__u", "__b", "__off", "__r", "__label", "__bucket")
 
 
 # ------------------------------------------------------------------ R5..R10: regressors
@@ -114,16 +116,19 @@ def elastic_net(df: DataFrame, alpha: float = 1e-4, l1_ratio: float = 0.9, label
                             elasticNetParam=(alpha * l1_ratio) / reg, standardization=False, maxIter=1000, tol=1e-10)
 
 
-def boosted_trees(rounds: int = 500, label: str = "label", features: str = "features", seed: int = 0):
+def boosted_trees(rounds: int = 500, label: str = "label", features: str = "features", seed: int = 0,
+                  rate: float = 0.05, subset: str = "sqrt"):
     """500 x depth 4, rate 0.05, sqrt features per split."""
-    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=4, stepSize=0.05,
-                        featureSubsetStrategy="sqrt", seed=seed)
+    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=4, stepSize=rate,
+                        featureSubsetStrategy=subset, seed=seed)
 
 
-def regularised_boosted_trees(rounds: int = 500, label: str = "label", features: str = "features", seed: int = 0):
-    """500 rounds, rate 0.1, depth 4, row sample 0.8 (no leaf penalties in MLlib)."""
-    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=4, stepSize=0.1,
-                        subsamplingRate=0.8, seed=seed)
+def regularised_boosted_trees(rounds: int = 500, label: str = "label", features: str = "features", seed: int = 0,
+                              rate: float = 0.1):
+    """500 rounds, rate 0.1, depth 4, row sample 0.8, 0.7 of the features (per split;
+    MLlib has no leaf penalties)."""
+    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=4, stepSize=rate,
+                        subsamplingRate=0.8, featureSubsetStrategy="0.7", seed=seed)
 
 
 def random_forest(trees: int = 500, label: str = "label", features: str = "features", seed: int = 0):
@@ -136,12 +141,13 @@ def random_forest(trees: int = 500, label: str = "label", features: str = "featu
 
 def _factories(rounds: int, params: dict | None = None) -> dict[str, Callable[[DataFrame], object]]:
     p = {k: v for k, v in (params or {}).items() if k in ("alpha", "l1_ratio")}
+    g = {k: v for k, v in (params or {}).items() if k in ("rate", "subset")}
     return {
         "ridge": lambda d: ridge(d, **p),
         "lasso": lambda d: lasso(d, **p),
         "elastic": lambda d: elastic_net(d, **p),
-        "gb": lambda d: boosted_trees(rounds),
-        "xgb": lambda d: regularised_boosted_trees(rounds),
+        "gb": lambda d: boosted_trees(rounds, **g),
+        "xgb": lambda d: regularised_boosted_trees(rounds, **{k: v for k, v in g.items() if k == "rate"}),
         "rf": lambda d: random_forest(rounds),
     }
 
@@ -149,6 +155,33 @@ def _factories(rounds: int, params: dict | None = None) -> dict[str, Callable[[D
 MODEL_NAMES = ["ridge", "lasso", "elastic", "gb", "xgb", "rf", "stacking"]
 
 
+# Scaler, reducer and own parameters of each named model.
+MODEL_CHAINS = {
+    "ridge": dict(scaler="minmax", chi2_k=32, alpha=0.5),
+    "lasso": dict(scaler="robust", pca_k=29, alpha=1e-6),
+    "elastic": dict(scaler="robust", pca_k=29, alpha=1e-4, l1_ratio=0.9),
+    "gb": dict(scaler="robust", pca_k=31, whiten=True),
+    "xgb": dict(scaler="robust", pca_k=28, whiten=True),
+    "rf": dict(scaler="robust", pca_k=27),
+    "stacking": dict(scaler="robust", pca_k=22),
+}
+
+
+def chain_of(name: str, n_features: int) -> dict:
+    """The named model's chain; reducers keep at most the features there are."""
+    if name not in MODEL_CHAINS:
+        raise ValueError(f"unknown model {name!r}; expected one of {MODEL_NAMES}")
+    return {k: min(v, n_features) if k in ("pca_k", "chi2_k") else v for k, v in MODEL_CHAINS[name].items()}
+
+
+def fit_named(train: DataFrame, name: str, features: Sequence[str], categorical: Sequence[str] = (),
+              label: str = "label", rounds: int = 500, key: str | None = None) -> FittedChain:
+    """The named model with its own chain and parameters."""
+    p = chain_of(name, len(features) + len(categorical))
+    return fit_chain(train, name, features, categorical, label, scaler=p.get("scaler"), pca_k=p.get("pca_k"),
+                     whiten=p.get("whiten", False), chi2_k=p.get("chi2_k"), rounds=rounds, params=p, key=key)
+
+
 class FittedChain:
     """Encoder (leave-one-out, fitted with leave-one-out values on the
     training rows), column scaler, optional PCA, then an MLlib regressor."""
@@ -168,16 +201,27 @@ class FittedChain:
 
     def save(self, path: str) -> None:
         """Regressor as an MLlib PipelineModel; fitted statistics as parquet."""
+        import json
+
+        parts = {"encoder": self.encoder, "scaler": self.scaler, "pca": self.pca}
         self.model.write().overwrite().save(os.path.join(path, "model"))
-        for name, part in (("encoder", self.encoder), ("scaler", self.scaler), ("pca", self.pca)):
+        for name, part in parts.items():
             if part is not None:
                 part.save(os.path.join(path, name))
+        manifest = {"parts": [n for n, p in parts.items() if p is not None], "columns": list(self.assembler_cols),
+                    "label": self.label}
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1) \
+            .write.mode("overwrite").parquet(os.path.join(path, "manifest"))
 
 
 def fit_chain(train: DataFrame, name: str, features: Sequence[str], categorical: Sequence[str] = (),
               label: str = "label", scaler: str | None = "standard", pca_k: int | None = None,
-              rounds: int = 10, params: dict | None = None) -> FittedChain:
-    """Fit a named model chain; unknown names raise."""
+              rounds: int = 500, params: dict | None = None, whiten: bool = False, chi2_k: int | None = None,
+              key: str | None = None) -> FittedChain:
+    """Fit a model chain: leave-one-out codes, scaler, PCA (optionally
+    whitened) or the chi-square best columns, model; unknown names raise.
+    ``key`` names the row key that stacking deals its folds by."""
     from legflow.operators.encode import CenteredPCA, LeaveOneOutEncoder, MinMaxScaler, RobustScaler, StandardScaler
 
     factories = _factories(rounds, params)
@@ -194,12 +238,16 @@ def fit_chain(train: DataFrame, name: str, features: Sequence[str], categorical:
         x = sc.transform(x)
     pca = None
     if pca_k:
-        pca = CenteredPCA(cols, pca_k).fit(x)
+        pca = CenteredPCA(cols, pca_k, whiten=whiten).fit(x)
         x = pca.transform(x)
         cols = [f"pc{j + 1}" for j in range(pca_k)]
+    elif chi2_k:
+        from legflow.operators.select import select_k_best_chi2
+
+        cols = select_k_best_chi2(x, cols, chi2_k, label)
     assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     if name == "stacking":
-        est = StackingRegressor(rounds=rounds, label=label)
+        est = StackingRegressor(rounds=rounds, label=label, key=key)
         model = est.fit_pipeline(assembler, x)
     else:
         model = Pipeline(stages=[assembler, factories[name](x)]).fit(x)
@@ -210,32 +258,35 @@ def fit_chain(train: DataFrame, name: str, features: Sequence[str], categorical:
 
 class StackingRegressor:
     """Out-of-fold predictions of ridge, lasso and elastic net (5 folds) feed
-    a boosted-tree meta model; the bases are refitted on all rows."""
+    a boosted-tree meta model; the bases are refitted on all rows.  Folds are a
+    hash of ``key``; without one, of all the row's columns, so they never
+    depend on partitioning."""
 
-    def __init__(self, rounds: int = 10, label: str = "label", folds: int = 5, key: str | None = None):
+    def __init__(self, rounds: int = 500, label: str = "label", folds: int = 5, key: str | None = None):
         self.rounds, self.label, self.folds, self.key = rounds, label, folds, key
 
     def fit_pipeline(self, assembler: VectorAssembler, df: DataFrame) -> PipelineModel:
         from legflow.session import ensure_checkpoint_dir
 
         ensure_checkpoint_dir(df.sparkSession)
-        x = assembler.transform(df).withColumn("__rid", F.monotonically_increasing_id()).checkpoint()
-        x = x.withColumn("__fold", F.pmod(F.xxhash64("__rid"), F.lit(self.folds)))
+        by = [self.key] if self.key else [*assembler.getInputCols(), self.label]
+        x = df.withColumn("__fold", F.pmod(F.xxhash64(*by), F.lit(self.folds)))
+        x = assembler.transform(x).select("features", self.label, "__fold").checkpoint()
         bases = {"ridge": ridge, "lasso": lasso, "elastic": elastic_net}
+
+        def fitted(d: DataFrame) -> list:
+            return [f(d, label=self.label).setPredictionCol(f"p_{n}").fit(d) for n, f in bases.items()]
+
+        # the base models' predictions are chained as columns of the held-out rows: no joins
         oof = None
         for k in range(self.folds):
-            tr, te = x.where(F.col("__fold") != k), x.where(F.col("__fold") == k)
-            part = te.select("__rid", self.label)
-            for n, f in bases.items():
-                m = f(tr, label=self.label).setPredictionCol(f"p_{n}").fit(tr)
-                part = part.join(m.transform(te).select("__rid", f"p_{n}"), "__rid")
+            part = x.where(F.col("__fold") == k)
+            for m in fitted(x.where(F.col("__fold") != k)):
+                part = m.transform(part)
             oof = part if oof is None else oof.unionByName(part)
-        meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="__meta").transform(oof)
-        meta = GBTRegressor(featuresCol="__meta", labelCol=self.label, maxIter=self.rounds, maxDepth=4,
-                            stepSize=0.05).fit(meta_in)
-        stages = [assembler] + [f(x, label=self.label).setPredictionCol(f"p_{n}").fit(x) for n, f in bases.items()]
-        stages += [VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="__meta"), meta]
-        return PipelineModel(stages=stages)
+        to_meta = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="__meta")
+        meta = boosted_trees(self.rounds, self.label, "__meta").fit(to_meta.transform(oof))
+        return PipelineModel(stages=[assembler, *fitted(x), to_meta, meta])
 
 
 # ------------------------------------------------------------------ R13, R15..R17: CV and tuning
@@ -281,6 +332,14 @@ def grid_search(df: DataFrame, make: Callable[[dict], Callable[[DataFrame], obje
                                        "mae_std double, r2 double, r2_std double, n_folds int")
 
 
+def refit_best(df: DataFrame, make: Callable[[dict], Callable[[DataFrame], object]], grid: dict[str, list],
+               results: DataFrame):
+    """(parameters, model) of the grid point of least mean MSE, fitted on all rows."""
+    idx = results.orderBy("mse", "idx").first()["idx"]
+    params = dict(zip(grid, list(itertools.product(*grid.values()))[idx]))
+    return params, make(params)(df)
+
+
 def tuning_report(results: DataFrame) -> DataFrame:
     """Per metric the best index, best score, its deviation, the mean score;
     RMSE = sqrt(MSE), R2 in percent."""
@@ -302,21 +361,35 @@ def tuning_report(results: DataFrame) -> DataFrame:
     return out.unionByName(rmse)
 
 
+# The parameter grids of each model's branches.
+GRIDS = {
+    "ridge": dict(pca=dict(alpha=[0.01, 0.05, 0.1, 0.5, 1.0]), chi2=dict(alpha=[0.2, 0.5, 1.0])),
+    "lasso": dict(pca=dict(alpha=[1e-6, 5e-6, 1e-5, 5e-5, 1e-4, 5e-4]), chi2=dict(alpha=[1e-6, 5e-6, 1e-5, 5e-5, 1e-4, 5e-4])),
+    "elastic": dict(pca=dict(alpha=[1e-6, 1e-5, 1e-4], l1_ratio=[0.8, 0.9, 0.99]),
+                    chi2=dict(alpha=[1e-6, 1e-5, 1e-4], l1_ratio=[0.8, 0.9, 0.99])),
+    "xgb": dict(pca=dict(rounds=[500], rate=[0.1])),
+    "gb": dict(pca=dict(rounds=[500], rate=[0.01, 0.05], subset=["all", "sqrt"])),
+    "rf": dict(pca=dict(rounds=[500])),
+}
+
+
 def model_grid(name: str, n_features: int) -> list[dict]:
-    """Per-model branches: scaler choice x reducer (none, or n-5 .. n
-    principal components), plus the model's own parameter values."""
-    own = {
-        "ridge": [{"alpha": a} for a in (0.1, 0.5, 1.0)],
-        "lasso": [{"alpha": a} for a in (1e-6, 1e-4)],
-        "elastic": [{"alpha": a, "l1_ratio": r} for a in (1e-4, 1e-3) for r in (0.5, 0.9)],
-        "gb": [{"rounds": r} for r in (100, 500)],
-        "xgb": [{"rounds": r} for r in (100, 500)],
-        "rf": [{"rounds": r} for r in (100, 500)],
-    }
-    if name not in own:
+    """The branches of a model: scalers x reducer sizes (n-5 .. n) x whitening x the
+    model's own parameters for PCA, and min-max with the chi-square best columns
+    for the linear models.  Trees use the robust scaler and leave out the largest size."""
+    if name not in GRIDS:
         raise ValueError(f"unknown model {name!r}")
-    reducers = [None] + [k for k in range(max(1, n_features - 5), n_features + 1)]
-    return [dict(scaler=s, pca_k=k, **p) for s in ("standard", "robust", "minmax") for k in reducers for p in own[name]]
+    sizes = list(range(max(1, n_features - 5), n_features + 1))
+    linear = "chi2" in GRIDS[name]
+
+    def points(grid: dict) -> list[dict]:
+        return [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+
+    out = [dict(scaler=s, pca_k=k, whiten=w, **p) for s in (("standard", "robust") if linear else ("robust",))
+           for k in (sizes if linear else sizes[:-1] or sizes) for w in (True, False) for p in points(GRIDS[name]["pca"])]
+    if linear:
+        out += [dict(scaler="minmax", chi2_k=k, **p) for k in sizes for p in points(GRIDS[name]["chi2"])]
+    return out
 
 
 def tune_chain(df: DataFrame, name: str, features: Sequence[str], branches: Sequence[dict], label: str = "label",
@@ -329,7 +402,7 @@ def tune_chain(df: DataFrame, name: str, features: Sequence[str], branches: Sequ
         for i in range(k):
             tr, te = df.where(F.col(fold_col) != i), df.where(F.col(fold_col) == i)
             chain = fit_chain(tr, name, features, categorical, label, scaler=b.get("scaler"), pca_k=b.get("pca_k"),
-                              rounds=b.get("rounds", 10), params=b)
+                              whiten=b.get("whiten", False), chi2_k=b.get("chi2_k"), rounds=b.get("rounds", 500), params=b)
             scores.append(regression_scores(chain.transform(te), label))
         mse = [s["mse"] for s in scores]
         r2 = [s["r2"] for s in scores]

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from legflow.session import ensure_checkpoint_dir
+
 UNB = Window.unboundedPreceding
 
 
@@ -23,7 +25,9 @@ def value_ranks(long: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, cnt, below, n): ``below`` = rows of the group with a smaller
     value, ``n`` = non-null rows of the group.  NULL values are ignored."""
     counts = long.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt"))
-    ranged = counts.repartitionByRange(group, value).withColumn("__pid", F.spark_partition_id())
+    ensure_checkpoint_dir(long.sparkSession)
+    # written once: two evaluations of a sampled range exchange need not agree on partition numbers
+    ranged = counts.repartitionByRange(group, value).withColumn("__pid", F.spark_partition_id()).checkpoint()
     w_in = Window.partitionBy("__pid", group).orderBy(value).rowsBetween(UNB, 0)
     local = ranged.withColumn("__cum", F.sum("cnt").over(w_in))
     totals = local.groupBy("__pid", group).agg(F.max("__cum").alias("__tot"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legflow.operators.clean import columns_of_kind, is_missing
+from legflow.operators.graph import components
 from legflow.operators.quantiles import average_ranks, wide_quantiles
 
 UNB = Window.unboundedPreceding
@@ -240,29 +241,13 @@ def node_degrees(df: DataFrame, a: str = "origin_airport", b: str = "destination
     return ends.groupBy("node").agg(_n().alias("degree"))
 
 
-def connected_components(df: DataFrame, a: str = "origin_airport", b: str = "destination_airport",
-                         max_rounds: int = 100) -> DataFrame:
+def connected_components(df: DataFrame, a: str = "origin_airport", b: str = "destination_airport") -> DataFrame:
     """(node, component) where component = smallest node of its connected
-    component.  Min-label propagation over the edge list; each round is a
-    join + aggregation, lineage cut with ``checkpoint`` (shared checkpoint dir).
-    Rounds stop when no label changes (at most the graph diameter)."""
-    from legflow.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
+    component, for graphs of any diameter.  A node with only a self-loop is its own."""
     e = undirected_edges(df, a, b)
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
-    labels = (both.select(F.col("u").alias("node"))).distinct().withColumn("label", F.col("node")).checkpoint()
-    for _ in range(max_rounds):
-        proposals = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(
-            F.col("u").alias("node")).agg(F.min("label").alias("__p"))
-        new = labels.join(proposals, "node", "left").select(
-            "node", F.least("label", F.coalesce("__p", "label")).alias("label")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "__old"), "node").where(
-            F.col("label") != F.col("__old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+    roots = components(e)
+    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -265,11 +265,10 @@ def p11(spark, sf):
 
 
 @register("p13_dense_key", """
-SELECT CAST(row_number() OVER (ORDER BY scheduled_departure_date, leg_id) - 1 AS BIGINT) AS row_key, leg_id FROM legs
+SELECT CAST(row_number() OVER (ORDER BY scheduled_departure_date, leg_id) - 1 AS BIGINT) AS row_key, * FROM legs
 """)
 def p13(spark, sf):
-    return clean.with_dense_key(fx.legs(spark, sf).select("leg_id", "scheduled_departure_date"),
-                                ["scheduled_departure_date", "leg_id"]).select("row_key", "leg_id")
+    return clean.with_dense_key(fx.legs(spark, sf), ["scheduled_departure_date", "leg_id"])
 
 
 # ------------------------------------------------------------------ C: filters

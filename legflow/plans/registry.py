@@ -6,7 +6,8 @@ import importlib
 
 from legflow.plans.catalog import REGISTRY
 
-MODULES = ["legflow.plans.q_core", "legflow.plans.q_report", "legflow.plans.q_ml", "legflow.plans.q_io"]
+MODULES = ["legflow.plans.q_core", "legflow.plans.q_report", "legflow.plans.q_ml", "legflow.plans.q_io",
+           "legflow.plans.q_checked"]
 
 
 def all_queries():

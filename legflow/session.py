@@ -39,23 +39,24 @@ def local_session(cores: int | str = "*", app: str = "legflow", extra: dict | No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used untouched.  Only when
-    the setting is absent (local tests) is a fresh scratch folder created.
+    A cluster names a shared folder there; it is used untouched.  Without it,
+    a session in local mode (where driver and executors are one process) gets
+    a scratch folder; on a cluster a missing folder is an error, since a
+    machine-local one could not be read back by other machines.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    already = spark.sparkContext.getCheckpointDir()
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
+        if already is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
-    already = spark.sparkContext.getCheckpointDir()
     if already:
         return already
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="legflow-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
-    try:
-        spark.conf.set("spark.checkpoint.dir", path)
-    except Exception:  # noqa: BLE001 - some deployments refuse runtime changes of core settings
-        pass
     return path
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from legflow.functions.nulls import to_double
+from legflow.operators.clean import with_dense_key
 from legflow.session import checkpoint_path
 
 # Station-feed fields after the leading station field, in feed order.
@@ -65,11 +66,14 @@ def merge_sources(*frames: DataFrame) -> DataFrame:
 
 def read_station_feed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Comma text, header line, first field the station; blank lines skipped by
-    the reader.  ``feed_seq`` keeps the order of the feed (file, then line)."""
+    the reader.  ``feed_seq`` is the row's place in the feed: by file name, then
+    by split, then by line.  It does not change with how splits are packed."""
     df = (spark.read.schema(text_schema(["station", *FEED_FIELDS])).option("header", True)
           .option("mode", "PERMISSIVE").csv(path))
-    return (df.withColumn("time", F.col("time").try_cast("timestamp_ntz"))
-            .withColumn("feed_seq", F.monotonically_increasing_id()))
+    df = (df.withColumn("time", F.col("time").try_cast("timestamp_ntz"))
+          .select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+                  F.monotonically_increasing_id().alias("__line")))
+    return with_dense_key(df, ["__file", "__start", "__line"], "feed_seq").drop("__file", "__start", "__line")
 
 
 def write_tab(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -85,17 +89,21 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 
 
 def store_model_sets(df: DataFrame, path: str, target: str, fleet_type: str, split_col: str = "split",
-                     mode: str = "append") -> None:
-    """Model sets keyed by target, fleet type and split, as partition folders."""
-    x = df.withColumns({"target": F.lit(target), "fleet_type": F.lit(fleet_type)})
-    x.write.mode(mode).partitionBy("target", "fleet_type", split_col).parquet(path)
+                     imputed: bool = False, encoding: str = "none") -> None:
+    """Model sets keyed by target, fleet type, imputed flag, encoding and split, as
+    partition folders.  Writing a set again replaces it and leaves the others."""
+    x = df.withColumns({"target": F.lit(target), "fleet_type": F.lit(fleet_type), "imputed": F.lit(imputed),
+                        "encoding": F.lit(encoding)})
+    (x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("target", "fleet_type", "imputed", "encoding", split_col).parquet(path))
 
 
 def load_model_set(spark: SparkSession, path: str, target: str, fleet_type: str, split: str,
-                   split_col: str = "split") -> DataFrame:
+                   split_col: str = "split", imputed: bool = False, encoding: str = "none") -> DataFrame:
     """One set; the filter prunes partition folders at planning time."""
     return spark.read.parquet(path).where(
-        (F.col("target") == target) & (F.col("fleet_type") == fleet_type) & (F.col(split_col) == split))
+        (F.col("target") == target) & (F.col("fleet_type") == fleet_type) & (F.col("imputed") == imputed)
+        & (F.col("encoding") == encoding) & (F.col(split_col) == split))
 
 
 def scratch_table_path(spark: SparkSession, name: str) -> str:
@@ -104,7 +112,8 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
 
 
 def load_chain(path: str):
-    """Reload a fitted chain written by ``FittedChain.save``."""
+    """Reload a fitted chain written by ``FittedChain.save``: exactly the parts its manifest
+    lists; a part that cannot be read is an error."""
     import json
 
     from pyspark.ml import PipelineModel
@@ -113,15 +122,11 @@ def load_chain(path: str):
     from legflow.operators.model import FittedChain
 
     spark = SparkSession.getActiveSession()
+    manifest = json.loads(spark.read.parquet(os.path.join(path, "manifest")).first()["manifest"])
     model = PipelineModel.load(os.path.join(path, "model"))
     parts = {}
-    for name in ("encoder", "scaler", "pca"):
-        p = os.path.join(path, name, "state")
-        try:
-            row = spark.read.parquet(p).first()
-        except Exception:  # noqa: BLE001 - part absent
-            parts[name] = None
-            continue
+    for name in manifest["parts"]:
+        row = spark.read.parquet(os.path.join(path, name, "state")).first()
         st = json.loads(row["state"])
         if row["kind"] == "scaler":
             parts[name] = encode.ScalerModel(st["cols"], st["center"], st["scale"])
@@ -129,6 +134,7 @@ def load_chain(path: str):
             parts[name] = encode.PCAModel(**st)
         elif row["kind"] == "leave_one_out":
             levels = spark.read.parquet(os.path.join(path, name, "levels"))
-            parts[name] = encode.LeaveOneOutModel(st["cols"], st["label"], st["suffix"], st["prior"], levels)
-    cols = [f"pc{j + 1}" for j in range(parts["pca"].k)] if parts["pca"] else model.stages[0].getInputCols()
-    return FittedChain(parts["encoder"], parts["scaler"], parts["pca"], cols, model, "label")
+            parts[name] = encode.LeaveOneOutModel(st["cols"], st["label"], st["suffix"], st["prior"], levels, st["min_count"])
+        else:
+            raise ValueError(f"unknown part {row['kind']!r} in {path}")
+    return FittedChain(parts.get("encoder"), parts.get("scaler"), parts.get("pca"), manifest["columns"], model, manifest["label"])

@@ -42,8 +42,8 @@ def test_knn_matches_numpy(spark):
     T = spark.createDataFrame([(i, [float(v) for v in tr[i]], int(lab[i])) for i in range(120)],
                               "id long, features array<double>, label int")
     Q = spark.createDataFrame([(1000 + i, [float(v) for v in q[i]]) for i in range(30)], "id long, features array<double>")
-    for chunk in (1000, 50):
-        nb = impute.nearest_neighbours(T, Q, 3, chunk_rows=chunk)
+    for block in (1 << 20, 1000):
+        nb = impute.nearest_neighbours(T, Q, 3, block_bytes=block)
         got = {(r.query_id, r.rank): r.neighbour_id for r in nb.collect()}
         for i in range(30):
             order = np.argsort(((tr - q[i]) ** 2).sum(1), kind="stable")[:3]

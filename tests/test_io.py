@@ -32,7 +32,11 @@ def test_partitioned_sets_prune_by_folder(spark, tmp_path):
                                     "CASE WHEN id < 3 THEN 'test' ELSE 'train' END AS split")
     path = str(tmp_path / "sets")
     io.store_model_sets(df, path, "air_time", "nb")
-    assert sorted(os.listdir(os.path.join(path, "target=air_time", "fleet_type=nb"))) == ["split=test", "split=train"]
+    folder = os.path.join(path, "target=air_time", "fleet_type=nb", "imputed=false", "encoding=none")
+    assert sorted(os.listdir(folder)) == ["split=test", "split=train"]
+    io.store_model_sets(df.limit(4), path, "air_time", "nb", encoding="one_hot")
+    io.store_model_sets(df, path, "air_time", "nb")  # a rerun replaces the set
     got = io.load_model_set(spark, path, "air_time", "nb", "test")
     assert got.count() == 3
+    assert io.load_model_set(spark, path, "air_time", "nb", "test", encoding="one_hot").count() == 3
     assert "PartitionFilters: [isnotnull(target" in got._jdf.queryExecution().executedPlan().toString()

@@ -1,5 +1,7 @@
 """Results do not depend on partitioning; registry and smoothing contracts."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,10 +40,12 @@ def test_unknown_model_name_raises(spark):
 
 
 def test_target_mean_smoothing_pulls_to_prior(spark):
-    df = spark.createDataFrame([("a", 10.0), ("a", 10.0), ("b", 0.0), ("b", 0.0)], "c string, label double")
+    df = spark.createDataFrame([("a", 10.0), ("a", 10.0), ("b", 0.0), ("b", 0.0), ("one", 9.0)], "c string, label double")
     m = encode.TargetMeanEncoder(["c"], "label", smoothing=2.0).fit(df)
     got = {r.c0: r.c for r in m.transform(df.withColumn("c0", F.col("c"))).collect()}
-    assert got["a"] == pytest.approx((20 + 2 * 5) / 4) and got["b"] == pytest.approx((0 + 2 * 5) / 4)
+    prior, w = 29 / 5, 1 / (1 + math.exp(-(2 - 1) / 2.0))
+    assert got["a"] == pytest.approx(prior * (1 - w) + 10 * w) and got["b"] == pytest.approx(prior * (1 - w))
+    assert got["one"] == pytest.approx(prior)
 
 
 def test_dense_key_is_dense_and_ordered(spark):
