@@ -11,10 +11,11 @@ Scoring.  One linear scan per text finds all maximal-scoring segments.
 A segment's score S is calibrated by the extreme-value law of such scans:
 the number of chance segments of score S or more in n words has mean
 K * n * exp(-lam * S), with lam the positive root of E[exp(lam * score)] = 1
-under the corpus' word frequencies and K set so that the untoxic sample's
-best segments have the mean that the law predicts.  The surprise of a text is
-the sum of -log of that mean over its significant segments (mean below
-``E_MAX``), or the best segment's if none is.  A logistic curve, fitted on
+under the corpus' word frequencies and K set so that the untoxic sample has
+as many segments as the law predicts above its ``TAIL``-th highest.  The
+surprise of a text is the sum of -log of that mean over its significant
+segments (mean below ``E_MAX``), or the best segment's if none is, and 0 at
+least; a text without segments has none.  A logistic curve, fitted on
 the same labelled sample, turns surprise into a score.
 
 Null and empty texts have no words and get the score of no evidence.
@@ -46,6 +47,7 @@ Z_MIN = 4.0
 #: Words of largest significance that the lexicon may hold (it is sent to every task).
 LEXICON = 65_536
 E_MAX = 0.05
+TAIL = 10
 
 
 @dataclass
@@ -96,7 +98,7 @@ def surprise(found: list, n: int, lam: float, ln_k: float) -> tuple[float, list]
     strong = [(a, b) for e, a, b in each if e > -math.log(E_MAX)]
     if strong:
         return sum(e for e, _, _ in each if e > -math.log(E_MAX)), strong
-    return max([e for e, _, _ in each], default=-base), []
+    return max([0.0, *(e for e, _, _ in each)]), []
 
 
 def scan(column, model: Model) -> Iterator[tuple[int, int, list]]:
@@ -213,10 +215,11 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
 
     rows = sample.mapInArrow(run, "y int, n bigint, s array<double>").toPandas()
     y, n = rows["y"].to_numpy(float), rows["n"].to_numpy(float)
-    best = np.array([max(s, default=0.0) for s in rows["s"]])
     clean = y == 0
-    # E[best] = (ln K + ln n + 0.5772) / lam under the law
-    model.ln_k = float(model.lam * best[clean].mean() - np.log(np.maximum(n[clean], 1)).mean() - 0.5772)
+    high = sorted((v for s, c in zip(rows["s"], clean) if c for v in s), reverse=True)[:TAIL]
+    # K * n * exp(-lam * S) segments of score S or more are expected in n words
+    edge = high[-1] if high else float(model.scores.max())
+    model.ln_k = float(math.log(max(len(high), 1)) + model.lam * edge - math.log(max(n[clean].sum(), 1)))
     x = np.array([surprise([(0, 0, v) for v in s], int(k), model.lam, model.ln_k)[0] for s, k in zip(rows["s"], n)])
     model.slope, model.offset = logistic(np.clip(x, -50, 50), y)
     return model
