@@ -99,12 +99,13 @@ def first_places(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, maybe=None) -> DataFrame:
-    """(h1, h2, doc_id, place) of each document's distinct spans; with a bitmap, those whose hash may be in it."""
+    """(h1, h2, doc_id, digest, place) of the distinct spans of each text (doc_id, text, digest); with a bitmap, those
+    whose hash may be in it."""
     sent = docs.sparkSession.sparkContext.broadcast(maybe)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, digests = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, _, data, offsets in W.pieces(batch.column(1)):
                 w = W.split_words(data, offsets, W.spaced_words())
                 at, _, stop, (h1, h2) = spans_of(w)
@@ -120,18 +121,18 @@ def scan(docs: DataFrame, maybe=None) -> DataFrame:
                     order = order[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h1[order].view(np.int64)), pa.array(h2[order].view(np.int64)), pa.array(ids[a + text[order]]),
-                     pa.array((order - at[text[order]]).astype(np.int32))], ["h1", "h2", "doc_id", "place"])
+                     pa.array(digests[a + text[order]]), pa.array((order - at[text[order]]).astype(np.int32))], ["h1", "h2", "doc_id", "digest", "place"])
 
-    return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, place int")
+    return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, digest bigint, place int")
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, places): the spans of each document that an earlier document holds too, by their first sentence."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    """(id, digest, places): the spans of each text that an earlier document holds too, by their first sentence."""
+    docs = docs.filter("doc_id is not null")
     repeated = cut(scan(docs).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                    .filter("first < last").select("h1", "h2", "first"))
     hits = (scan(docs, hash_bitmap(repeated, "h1")).join(repeated, ["h1", "h2"]).filter("doc_id > first"))
-    return cut(hits.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+    return cut(hits.groupBy(F.col("doc_id").alias("id"), "digest").agg(F.collect_set("place").alias("places")))
 
 
 def removed(texts, places: list) -> Iterator[tuple[int, list, str | None]]:
@@ -180,10 +181,9 @@ def removed(texts, places: list) -> Iterator[tuple[int, list, str | None]]:
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed, text) for every row: ``removed`` lists the removed ranges (start:end,
     code points of the given text), ``text`` is what is left; a null text stays null."""
-    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1024))).otherwise(F.lit(0)).cast("bigint")
-    places = repeated_places(docs).select(F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("salt"), "places")
-    rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .withColumn("id", F.col("doc_id")).withColumn("salt", salt).join(places, ["id", "salt"], "left")
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    rows = (keyed.withColumn("id", F.col("doc_id")).join(repeated_places(keyed), ["id", "digest"], "left")
             .select("doc_id", "text", "places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
