@@ -52,7 +52,7 @@ def weight_of(name: Column, weights: dict[str, int], other: int) -> Column:
 
 def shared_out(children: DataFrame, parent: list[str]) -> DataFrame:
     """``children`` (parent keys, w, cap, budget of the parent) with ``grant``, the child's budget."""
-    by = [F.col(c) for c in parent]
+    by = [F.col(c) for c in parent] or [F.lit(0)]
     # capacity per weight as an exact comparison: cap * (10**9) div w keeps the order of near ties by cap, then name
     order = Window.partitionBy(*by).orderBy(F.expr("cast(cap as decimal(38, 0)) * 1000000000 div w"), "cap", "child")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -81,17 +81,16 @@ def plan(leaves: DataFrame, budget: Column, epochs: int, weights: dict[str, dict
     for name in LEVELS:
         leaves = leaves.filter(weight_of(F.col(name), weights.get(name, {}), other) > 0)
     leaves = leaves.withColumn("cap", F.col("words") * F.lit(epochs))
-    total = leaves.agg(F.sum("cap").alias("cap"), budget.alias("want")).select(F.least("cap", "want").alias("budget"))
-    level = total.withColumn("root", F.lit(0))
-    keys: list[str] = []
+    total = leaves.agg(F.sum("cap").alias("cap"), budget.alias("want")).select(F.least("cap", "want")).head()[0] or 0
+    level, keys = None, []
     for name in LEVELS:
         here = [*keys, name]
-        children = (leaves.groupBy(*here).agg(F.sum("cap").alias("cap")).withColumn("root", F.lit(0))
-                    .join(level.select("root", *keys, "budget"), ["root", *keys])
-                    .withColumn("child", F.col(name)).withColumn("w", weight_of(F.col(name), weights.get(name, {}), other)))
-        level = shared_out(children, ["root", *keys]).select("root", *here, F.col("grant").alias("budget"))
+        children = leaves.groupBy(*here).agg(F.sum("cap").alias("cap"))
+        children = children.withColumn("budget", F.lit(total).cast("bigint")) if level is None else children.join(level, keys)
+        children = children.withColumn("child", F.col(name)).withColumn("w", weight_of(F.col(name), weights.get(name, {}), other))
+        level = shared_out(children, keys).select(*here, F.col("grant").alias("budget"))
         keys = here
-    return (leaves.join(level.withColumnRenamed("budget", "grant").drop("root"), LEVELS)
+    return (leaves.join(level.withColumnRenamed("budget", "grant"), LEVELS)
             .withColumn("full_epochs", F.expr("grant div words")).withColumn("rest", F.expr("grant % words"))
             .select(*LEVELS, "words", "cap", "grant", "full_epochs", "rest"))
 
@@ -111,7 +110,8 @@ def mix(docs: DataFrame, domain: Column, budget: Column, weights: dict[str, dict
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c)
     rows = cut(docs.select("doc_id", F.coalesce(domain, F.lit("null")).alias("domain"), name("lang"), name("source"),
                            n_words().alias("n_words")).filter("n_words > 0"))
-    leaves = cut(plan(rows.groupBy(*LEVELS).agg(F.sum("n_words").alias("words")), budget, epochs, weights, other))
+    leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_words").alias("words")))
+    leaves = cut(plan(leaves, budget, epochs, weights, other))
     keyed = (rows.join(leaves.select(*LEVELS, "full_epochs", "rest"), LEVELS)
              .withColumn("key", order_key(seed, F.col("full_epochs"), F.col("doc_id")))
              .withColumn("range", F.conv(F.substring("key", 1, RANGES // 4), 16, 10).cast("int")))
