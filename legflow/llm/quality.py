@@ -43,7 +43,7 @@ PARTS, HELD = 3, 1
 SAMPLE = 10_000
 HASHED = 64
 MARKS = b"|#$%&*.,;:!?\"'()[]{}<>/\\-_=+@~^`"
-EPOCHS, STEP, BATCH, DECAY = 60, 0.02, 512, 1e-4
+ROUNDS, STEP, BATCH, DECAY = 1500, 0.02, 512, 1e-4
 
 
 def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -140,28 +140,26 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     d = positive.shape[1]
     theta, m, v, t = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1), 0
     p1, u1 = (np.column_stack([x, np.ones(len(x))]) for x in (positive, unlabelled))
-    steps = max(1, max(len(p1), len(u1)) // BATCH)
 
     def risk_and_slope(x: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
         s = squash(-sign * (x @ theta))  # sigmoid loss
         return s.mean(), (x * (-sign * s * (1 - s))[:, None]).mean(axis=0)
 
-    for _ in range(EPOCHS):
-        for _ in range(steps):
-            p = p1[rng.integers(0, len(p1), BATCH)]
-            u = u1[rng.integers(0, len(u1), BATCH)]
-            _, gain = risk_and_slope(p, 1)
-            p_neg, p_slope = risk_and_slope(p, -1)
-            u_neg, u_slope = risk_and_slope(u, -1)
-            if u_neg - prior * p_neg >= 0:
-                slope = prior * gain + u_slope - prior * p_slope
-            else:
-                slope = prior * p_slope - u_slope
-            slope = slope + DECAY * np.append(theta[:-1], 0)
-            t += 1
-            m = 0.9 * m + 0.1 * slope
-            v = 0.999 * v + 0.001 * slope * slope
-            theta = theta - STEP * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    for _ in range(ROUNDS):
+        p = p1[rng.integers(0, len(p1), BATCH)]
+        u = u1[rng.integers(0, len(u1), BATCH)]
+        _, gain = risk_and_slope(p, 1)
+        p_neg, p_slope = risk_and_slope(p, -1)
+        u_neg, u_slope = risk_and_slope(u, -1)
+        if u_neg - prior * p_neg >= 0:
+            slope = prior * gain + u_slope - prior * p_slope
+        else:
+            slope = prior * p_slope - u_slope
+        slope = slope + DECAY * np.append(theta[:-1], 0)
+        t += 1
+        m = 0.9 * m + 0.1 * slope
+        v = 0.999 * v + 0.001 * slope * slope
+        theta = theta - STEP * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
