@@ -17,6 +17,10 @@ from legflow.llm import decontaminate, neardup, queries, secrets, toxicity
 from legflow.llm.shared import cut, is_empty, shared_folder, table
 
 
+#: Ids (8 bytes each) that a join may send to every executor.
+BROADCAST_IDS = 1_000_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), prefix="__llm_")
@@ -30,8 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     digest stays.  Rows without an id all stay.
     """
     groups = cut(neardup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).select("doc_id", "kept"))
-    losers = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    stay = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    losers = cut(groups.filter(~F.col("kept")).select("doc_id").distinct())
+    # up to a counted size the ids go to the texts; beyond it both are shuffled
+    stay = docs.join(F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers, "doc_id", "left_anti").select(docs.columns)
     repeated = cut(groups.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if is_empty(repeated):
         return stay

@@ -102,8 +102,8 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return W.mix(W.mix((wide * factors).sum(axis=2, dtype=np.uint64)) + W.odd_numbers(BANDS, 57)[None, :])
 
 
-def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, s1, s2, regs, keys): set size, 128-bit digest of the set, registers, band keys."""
+def sketch(docs: DataFrame, k: int, with_registers: bool = True) -> DataFrame:
+    """(doc_id, n, s1, s2[, regs]): set size, 128-bit digest of the set, registers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in W.pieces(batch.column(1)):
@@ -112,14 +112,15 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 np.cumsum(values, out=total[0, 1:])
                 np.cumsum(W.mix(values ^ np.uint64(W.BASE)), out=total[1, 1:])
                 s1, s2 = (W.mix(t[at[1:]] - t[at[:-1]]).view(np.int64) for t in total)
-                regs = registers(values, at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(s1), pa.array(s2),
-                     pa.array([r.tobytes() for r in regs], pa.binary()),
-                     pa.array(list(band_keys(regs).view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "regs", "keys"])
+                cols = [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(s1), pa.array(s2)]
+                names = ["doc_id", "n", "s1", "s2"]
+                if with_registers:
+                    cols.append(pa.array([r.tobytes() for r in registers(values, at)], pa.binary()))
+                    names.append("regs")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, regs binary, keys array<bigint>")
+        run, "doc_id bigint, n bigint, s1 bigint, s2 bigint" + ", regs binary" * with_registers)
 
 
 # ---------------------------------------------------------------- estimation
@@ -264,8 +265,15 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 # ------------------------------------------------------------------ grouping
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(key, rep): one row for each band of each representative."""
-    return reps.select(F.explode("keys").alias("key"), "rep")
+    """(key, rep): one row for each band of each representative (rep, regs)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(stacked(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)),
+                                                  pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "rep"])
+
+    return reps.select("rep", "regs").mapInArrow(run, "key bigint, rep bigint")
 
 
 def across(docs: DataFrame, shared: DataFrame, comp: DataFrame, k: int, percent: int) -> DataFrame:
@@ -356,16 +364,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Documents are linked when 100 * |intersection| >= percent * |union| of
     their sets; component_id is the smallest doc_id reachable.
     """
-    rows = cut(sketch(docs, k))
-    reps = cut(rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n")
-               .agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("keys").alias("keys")))
+    # sizes and digests of all documents are kept; registers only of one document for each set
+    narrow = cut(sketch(docs, k, with_registers=False))
+    reps = cut(sketch(docs, k).filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n")
+               .agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")))
     keyed = bands(reps)
     centres = cut(keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last")
                   .select("key", "centre"))
     shared = cut(keyed.join(centres, "key").select("key", "rep", "centre").distinct())
     stars = cut(shared.filter("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct())
     links = cut(confirmed(docs, promising(stars, reps, percent), k, percent))
-    narrow = rows.select("doc_id", "n", "s1", "s2")
     sets = cut(reps.select("s1", "s2", "n", "rep"))
     # a doc_id with several texts joins its texts' classes
     several = (narrow.join(sets, ["s1", "s2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))

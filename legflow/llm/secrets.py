@@ -42,6 +42,9 @@ KEY = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Z
 HOST = r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
 IDENTIFIER = r"(?i:client_?id|account_?id|user_?name|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{4,}"
 
+#: Spans (about 40 bytes each) that a join may send to every executor.
+BROADCAST_SPANS = 300_000
+
 KINDS = ["assign", "access", "hex", "linked_key", "linked_host", "linked_id"]
 SPAN = "array<struct<start:bigint,end:bigint,kind:string>>"
 
@@ -150,8 +153,11 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     spans = spans_of(docs, [], scope).filter("size(strong) + size(links) > 0").groupBy("k1", "k2").agg(
         F.first(F.concat("strong", "links")).alias("__llm_spans"))
     spans = cut(spans.select(F.col("k1").alias("__llm_k1"), F.col("k2").alias("__llm_k2"), ordered(F.col("__llm_spans")).alias("__llm_spans")))
+    # up to a counted number of spans they go to the texts; beyond it both are shuffled
+    held = spans.agg(F.sum(F.size("__llm_spans") + 1)).head()[0] or 0
     k1, k2 = text_key()
-    rows = docs.withColumns({"__llm_k1": k1, "__llm_k2": k2}).join(spans, ["__llm_k1", "__llm_k2"], "left")
+    rows = docs.withColumns({"__llm_k1": k1, "__llm_k2": k2}).join(
+        F.broadcast(spans) if held <= BROADCAST_SPANS else spans, ["__llm_k1", "__llm_k2"], "left")
     text = F.col("text")
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
