@@ -14,7 +14,16 @@ import pyarrow as pa
 
 PIECE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
-CACHE: dict = {}
+
+
+class Cache(dict):
+    """Tables kept by a process; a copy shipped with a function starts empty."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+CACHE = Cache()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
