@@ -81,9 +81,12 @@ def _cells(truth: DataFrame, pred: DataFrame, incomplete: DataFrame, cols: Seque
 
 
 def masked_scores(truth: DataFrame, pred: DataFrame, incomplete: DataFrame, cols: Sequence[str], key: str,
-                  observed: bool = False, per_column: bool = False) -> DataFrame:
+                  observed: bool = False, per_column: bool = False, scaler=None) -> DataFrame:
     """M4 / M6: MSE, MAE, MAPE over the masked numeric cells (``observed`` scores
-    the other cells instead), pooled or per column."""
+    the other cells instead), pooled or per column.  With a fitted ``scaler`` the
+    scores are in its (standardised) units."""
+    if scaler is not None:
+        truth, pred = scaler.transform(truth), scaler.transform(pred)
     cells = _cells(truth, pred, incomplete, cols, key).where(F.col("masked") != F.lit(observed))
     t, p = F.col("t"), F.col("p")
     aggs = [F.avg((t - p) ** 2).alias("mse"), F.avg(F.abs(t - p)).alias("mae"),

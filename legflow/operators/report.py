@@ -250,23 +250,47 @@ def connected_components(df: DataFrame, a: str = "origin_airport", b: str = "des
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
-def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson for every ordered pair in one aggregation (pairwise-complete rows)."""
-    pairs = [(x, y) for x in cols for y in cols]
-    wide = df.agg(*[F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"{x}|{y}") for x, y in pairs])
-    long = wide.unpivot([], [f"`{x}|{y}`" for x, y in pairs], "__pair", "corr")
-    return long.select(F.split("__pair", r"\|")[0].alias("x"), F.split("__pair", r"\|")[1].alias("y"), "corr")
-
-
-def spearman_long(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
-    """Spearman = Pearson over average ranks.  Ranks come from the
-    distributed exact rank operator and are joined back by (column, value)."""
-    long = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(key, list(cols), "column",
-                                                                                       "value")
+def correlation_long(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Pearson for every ordered pair (or the given ones) in one aggregation, over
+    pairwise-complete rows; each unordered pair is computed once."""
+    pairs = [(x, y) for x in cols for y in cols] if pairs is None else list(pairs)
+    place = {c: i for i, c in enumerate(cols)}
+    once = sorted({tuple(sorted(p, key=place.get)) for p in pairs}, key=lambda p: (place[p[0]], place[p[1]]))
+    wide = df.agg(*[F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"c{i}") for i, (x, y) in enumerate(once)])
+    number = {p: f"c{i}" for i, p in enumerate(once)}
+    rows = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(number[tuple(sorted((x, y), key=place.get))]).alias("corr"))
+                     for x, y in pairs])
+    return wide.select(F.inline(rows))
+
+
+def spearman_long(df: DataFrame, cols: Sequence[str], key: str, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Spearman = Pearson over average ranks.  Ranks come from the distributed
+    exact rank operator and are joined back by (column, value).  A column is
+    ranked over its own non-null rows; a pair is correlated over the rows where
+    both are present."""
+    cols = list(dict.fromkeys(cols))
+    long = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(key, cols, "column", "value")
     ranks = average_ranks(long, "column", "value")
     ranked = long.join(ranks, ["column", "value"], "left")
-    wide = ranked.groupBy(key).pivot("column", list(cols)).agg(F.first("avg_rank"))
-    return correlation_long(wide, cols)
+    wide = ranked.groupBy(key).pivot("column", cols).agg(F.first("avg_rank"))
+    return correlation_long(wide, cols, pairs)
+
+
+def encoded_spearman(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], targets: Sequence[str], label: str,
+                     key: str) -> DataFrame:
+    """(matrix, x, y, corr) of the three rank matrices: numeric columns; leave-one-out encoded
+    categories with the targets; numeric columns and targets against encoded categories and targets."""
+    from legflow.operators.encode import LeaveOneOutEncoder
+
+    _, x = LeaveOneOutEncoder(categorical, label).fit_transform(df)
+    num, cat = list(dict.fromkeys([*numeric, *targets])), list(dict.fromkeys([*categorical, *targets]))
+    sides = {"numeric": [(a, b) for a in numeric for b in numeric], "categorical": [(a, b) for a in cat for b in cat],
+             "mixed": [(a, b) for a in num for b in cat]}
+    every = list(dict.fromkeys(p for pairs in sides.values() for p in pairs))
+    corr = spearman_long(x, [*num, *categorical], key, every)
+    parts = F.array(*[F.struct(F.lit(m).alias("matrix"), F.lit(a).alias("x"), F.lit(b).alias("y")) for m, pairs in sides.items() for a, b in pairs])
+    wanted = df.sparkSession.range(1).select(F.inline(parts))
+    return corr.join(F.broadcast(wanted), ["x", "y"]).select("matrix", "x", "y", "corr")
 
 
 def delay_source_comparison(df: DataFrame, given: str = "delay_minutes") -> DataFrame:

@@ -11,25 +11,28 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legflow.operators.enrich import broadcast_if_small
+from legflow.session import ensure_checkpoint_dir
 
 
 def chi2_scores(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
     """(feature, chi2) with observed = per-class feature sum and expected =
     class share x feature total.  Features must be non-negative."""
     feats = list(features)
-    neg = df.agg(*[F.min(c) for c in feats]).first()
-    if any(v is not None and v < 0 for v in neg):
+    # one scan: per class its rows and feature sums (a row per class), and the minima
+    per = df.groupBy(F.col(label).alias("__c")).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.sum(F.col(c).cast("double")).alias(f"__s_{c}") for c in feats],
+        *[F.min(F.col(c).cast("double")).alias(f"__m_{c}") for c in feats])
+    ensure_checkpoint_dir(df.sparkSession)
+    per = per.checkpoint()
+    all_ = per.agg(F.sum("__n").alias("__n"), *[F.sum(f"__s_{c}").alias(f"__s_{c}") for c in feats],
+                   *[F.min(f"__m_{c}").alias(f"__m_{c}") for c in feats]).first()
+    if any(all_[f"__m_{c}"] is not None and all_[f"__m_{c}"] < 0 for c in feats):
         raise ValueError("chi-square selection needs non-negative features")
-    n = df.count()
-    long = df.select(F.col(label).alias("__c"), *[F.col(c).cast("double").alias(c) for c in feats]).unpivot(
-        "__c", feats, "feature", "value")
-    obs = long.groupBy("feature", "__c").agg(F.sum("value").alias("obs"))
-    classes = df.groupBy(F.col(label).alias("__c")).agg((F.count(F.lit(1)) / F.lit(float(n))).alias("__p"))
-    totals = long.groupBy("feature").agg(F.sum("value").alias("__tot"))
-    j = obs.join(broadcast_if_small(classes), "__c").join(totals, "feature")
-    exp = F.col("__p") * F.col("__tot")
-    return j.groupBy("feature").agg(F.sum(F.try_divide((F.col("obs") - exp) ** 2, exp)).alias("chi2"))
+    share = F.col("__n") / F.lit(float(all_["__n"] or 1))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__s_{c}").alias("obs"),
+                               (share * F.lit(float(all_[f"__s_{c}"] or 0.0))).alias("exp")) for c in feats])
+    return per.select(F.inline(cells)).groupBy("feature").agg(
+        F.sum(F.try_divide((F.col("obs") - F.col("exp")) ** 2, F.col("exp"))).alias("chi2"))
 
 
 def select_k_best_chi2(df: DataFrame, features: Sequence[str], k: int, label: str = "label") -> list[str]:
@@ -106,25 +109,28 @@ def coefficient_table(spark, model, features: Sequence[str], conf: float = 0.95)
 
 
 def recursive_elimination_cv(df: DataFrame, features: Sequence[str], label: str = "label", fold_col: str = "fold",
-                             n_folds: int = 5) -> tuple[list[str], list[tuple[int, float]]]:
-    """Remove the smallest |coefficient| each step (features standardised by the
-    caller); score each feature count by mean CV R2; keep the best count."""
+                             n_folds: int = 5, alpha: float = 5e-4) -> tuple[list[str], list[tuple[int, float]]]:
+    """Lasso of penalty ``alpha`` on features standardised by the caller; remove the
+    smallest |coefficient| each step, score each feature count by mean squared
+    error over the folds, keep the count of least error (the fewer features at ties)."""
+    from legflow.operators.model import lasso
+
+    def fitted(d: DataFrame, cols: list[str]):
+        vec = VectorAssembler(inputCols=cols, outputCol="__x").transform(d)
+        return lasso(vec, alpha, label, "__x").fit(vec)
+
     current = list(features)
     history: list[tuple[list[str], float]] = []
     while current:
         scores = []
         for k in range(n_folds):
-            tr, te = df.where(F.col(fold_col) != k), df.where(F.col(fold_col) == k)
-            m = _ols(tr, current, label, intercept=True)
-            pred = m.transform(VectorAssembler(inputCols=current, outputCol="__x").transform(te))
-            r = pred.agg(F.sum((F.col(label) - F.col("prediction")) ** 2).alias("sse"),
-                         F.var_pop(label).alias("v"), F.count(F.lit(1)).alias("n")).first()
-            scores.append(1 - r["sse"] / (r["v"] * r["n"]) if r["v"] else 0.0)
+            test = VectorAssembler(inputCols=current, outputCol="__x").transform(df.where(F.col(fold_col) == k))
+            pred = fitted(df.where(F.col(fold_col) != k), current).transform(test)
+            scores.append(pred.agg(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0] or 0.0)
         history.append((list(current), sum(scores) / len(scores)))
-        full = _ols(df, current, label, intercept=True)
-        weakest = min(range(len(current)), key=lambda i: abs(full.coefficients[i]))
-        current.pop(weakest)
-    best = max(history, key=lambda h: (h[1], -len(h[0])))
+        full = fitted(df, current)
+        current.pop(min(range(len(current)), key=lambda i: abs(full.coefficients[i])))
+    best = min(history, key=lambda h: (h[1], len(h[0])))
     return best[0], [(len(f), s) for f, s in history]
 
 

@@ -32,27 +32,27 @@ def _split(spark, sf):
 WITH {_SPLIT},
 lv AS (SELECT o_custkey, sum(y) AS s, count(y) AS n FROM o WHERE is_train GROUP BY 1), pr AS (SELECT avg(y) AS prior FROM o WHERE is_train)
 SELECT o.o_orderkey, round(coalesce(CASE WHEN lv.n > 1 THEN CASE WHEN o.is_train THEN (lv.s - o.y) / (lv.n - 1) ELSE lv.s / lv.n END END,
-                                    pr.prior), 4) AS code
+                                    pr.prior), 6) AS code
 FROM o LEFT JOIN lv ON o.o_custkey = lv.o_custkey, pr
 """)
 def e1_rare(spark, sf):
     """Levels seen once or never in training get the global mean, in training and in scoring."""
     o = _split(spark, sf)
     m, train = encode.LeaveOneOutEncoder(["o_custkey"], "o_totalprice", "_enc").fit_transform(o.where("is_train"))
-    return train.unionByName(m.transform(o.where("NOT is_train"))).select("o_orderkey", F.round("o_custkey_enc", 4).alias("code"))
+    return train.unionByName(m.transform(o.where("NOT is_train"))).select("o_orderkey", F.round("o_custkey_enc", 6).alias("code"))
 
 
 @register("e2_target_mean_smoothed", f"""
 WITH {_SPLIT},
 lv AS (SELECT o_custkey, avg(y) AS m, count(y) AS n FROM o WHERE is_train GROUP BY 1), pr AS (SELECT avg(y) AS prior FROM o WHERE is_train)
 SELECT o.o_orderkey, round(coalesce(CASE WHEN lv.n > 1 THEN pr.prior * (1 - 1 / (1 + exp(-(lv.n - 1) / 1.5))) + lv.m / (1 + exp(-(lv.n - 1) / 1.5))
-                                         END, pr.prior), 4) AS code
+                                         END, pr.prior), 6) AS code
 FROM o LEFT JOIN lv ON o.o_custkey = lv.o_custkey, pr
 """)
 def e2_smoothed(spark, sf):
     o = _split(spark, sf)
     m = encode.TargetMeanEncoder(["o_custkey"], "o_totalprice", smoothing=1.5).fit(o.where("is_train"))
-    return m.transform(o).select("o_orderkey", F.round("o_custkey", 4).alias("code"))
+    return m.transform(o).select("o_orderkey", F.round("o_custkey", 6).alias("code"))
 
 
 @register("t20_box_cox_transform", """
@@ -127,6 +127,40 @@ def w3(spark, sf):
     return derive.running_total(days, "n", "day", "total")
 
 
+_LOO = ", ".join(f"""(sum(o_totalprice) OVER (PARTITION BY {c}) - o_totalprice) / (count(*) OVER (PARTITION BY {c}) - 1) AS {c}"""
+                 for c in ("o_orderpriority", "o_orderstatus"))
+_COLS = ["o_totalprice", "o_custkey", "o_orderpriority", "o_orderstatus"]
+_SIDES = {"numeric": (["o_custkey"], ["o_custkey"]), "categorical": (["o_orderpriority", "o_orderstatus", "o_totalprice"],) * 2,
+          "mixed": (["o_custkey", "o_totalprice"], ["o_orderpriority", "o_orderstatus", "o_totalprice"])}
+
+
+@register("a20_encoded_and_mixed_matrices", f"""
+WITH e AS (SELECT o_orderkey, o_totalprice, o_custkey, {_LOO} FROM orders),
+r AS (SELECT {", ".join(f"(rank() OVER (ORDER BY {c}) + rank() OVER (ORDER BY {c}) + count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _COLS)} FROM e)
+""" + " UNION ALL ".join(f"SELECT '{m}' AS matrix, '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 5) AS corr FROM r"
+                         for m, (xs, ys) in _SIDES.items() for x in xs for y in ys))
+def a20_encoded(spark, sf):
+    o = _orders(spark, sf, "o_totalprice", "o_custkey", "o_orderpriority", "o_orderstatus")
+    out = report.encoded_spearman(o, ["o_custkey"], ["o_orderpriority", "o_orderstatus"], ["o_totalprice"], "o_totalprice", "o_orderkey")
+    return out.withColumn("corr", F.round("corr", 5))
+
+
+@register("s4_feed_order", """
+SELECT CAST(row_number() OVER (ORDER BY station NULLS FIRST, time NULLS FIRST, feed_seq) - 1 AS BIGINT) AS place, station, time FROM weather_obs
+""")
+def s4_order(spark, sf):
+    """A feed written in one order of (station, time) comes back numbered in it."""
+    from legflow.sources import io
+
+    path = io.scratch_table_path(spark, "feed-order")
+    w = fx.weather_obs(spark, sf)
+    feed = w.orderBy("station", "time", "feed_seq").select(
+        "station", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"),
+        *[F.col(c) if c in w.columns else F.lit("M").alias(c) for c in io.FEED_FIELDS[1:]])
+    feed.write.option("header", True).csv(path)
+    return io.read_station_feed(spark, path).select(F.col("feed_seq").alias("place"), "station", "time")
+
+
 # ------------------------------------------------------------------ models in closed form
 
 @register("r5_ridge_one_column", """

@@ -265,10 +265,12 @@ def p11(spark, sf):
 
 
 @register("p13_dense_key", """
-SELECT CAST(row_number() OVER (ORDER BY scheduled_departure_date, leg_id) - 1 AS BIGINT) AS row_key, * FROM legs
+SELECT CAST(row_number() OVER (ORDER BY scheduled_departure_date, leg_id) - 1 AS BIGINT) AS row_key,
+       * REPLACE (CAST(delay_code AS VARCHAR) AS delay_code) FROM legs
 """)
 def p13(spark, sf):
-    return clean.with_dense_key(fx.legs(spark, sf), ["scheduled_departure_date", "leg_id"])
+    legs = fx.legs(spark, sf).withColumn("delay_code", F.col("delay_code").cast("string"))
+    return clean.with_dense_key(legs, ["scheduled_departure_date", "leg_id"], "row_key")
 
 
 # ------------------------------------------------------------------ C: filters

@@ -170,11 +170,11 @@ def e15(spark, sf):
                   "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
     feats = ["l_quantity", "l_discount", "l_tax"]
     x = encode.StandardScaler(feats).fit(x).transform(x)
-    x = model.stratified_folds(x.withColumn("__lbl", (F.col("label") / 20000).cast("int")), "__lbl", "row_id", k=3)
+    x = model.stratified_folds(x.withColumn("__lbl", (F.col("label") / 20000).cast("int")), "__lbl", "row_id", k=5)
     x = x.checkpoint()  # reused by every fit of the elimination loop
-    best, hist = select.recursive_elimination_cv(x, feats, "label", "fold", 3)
-    return spark.createDataFrame([(n, round(s, 3), n == len(best)) for n, s in hist],
-                                 "n_features int, mean_r2 double, chosen boolean")
+    best, hist = select.recursive_elimination_cv(x, feats, "label", "fold", 5)
+    return spark.createDataFrame([(n, float(f"{s:.4g}"), n == len(best)) for n, s in hist],
+                                 "n_features int, mean_mse double, chosen boolean")
 
 
 
