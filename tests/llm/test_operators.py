@@ -537,3 +537,11 @@ def test_mask_is_the_assistants_text(spark):
     assert a.mask == [] and b.formatted[b.mask[0]:b.mask[1]] == "é <\\/s> a"
     d, = chat.digests(chat.formatted(chat.canonical(chat.as_records(df)))).collect()
     assert d.loss_sha256 == hashlib.sha256("é </s> a".encode()).hexdigest() and d.loss_chars == 8
+
+
+def test_shipped_functions_do_not_carry_tables():
+    from pyspark import cloudpickle
+
+    W.powers(10), neardup.fill_order()
+    copy = cloudpickle.dumps((W.split_words, neardup.band_keys, license.found_in))
+    assert len(copy) < 200_000
