@@ -268,10 +268,11 @@ def bands(reps: DataFrame) -> DataFrame:
     """(key, rep): one row for each band of each representative (rep, regs)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys = band_keys(stacked(batch.column(1)))
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                keys = band_keys(stacked(part.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)),
-                                                  pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "rep"])
+                                                  pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["key", "rep"])
 
     return reps.select("rep", "regs").mapInArrow(run, "key bigint, rep bigint")
 

@@ -8,8 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts make large Arrow batches: where the session has Spark's default of 10,000 rows, take 2,000."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
+
+
 def ensure_shared_folder(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable: the cluster's ``spark.checkpoint.dir``, or a scratch folder in local mode only."""
+    small_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
@@ -34,6 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -61,7 +61,7 @@ def plain_words() -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(CACHE.get("powers", ((), ()))[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 20)
         both = []
         for b in (BASE, pow(BASE, -1, 1 << 64)):
             p = np.full(n, b, np.uint64)
