@@ -2,10 +2,13 @@
 
 Fitting.  Words are counted, once a text, in a bounded sample of labelled documents, by
 class, and over all documents; the corpus counts are the informative
-Dirichlet prior (its weight is ``PRIOR_WORDS`` words).  Words whose log-odds
-between the classes is at least ``Z_MIN`` standard deviations above zero
-form the lexicon and score their log-odds; all other words share one score,
-the log-odds of the rest.
+Dirichlet prior (its weight is ``PRIOR_WORDS`` words).  A word enters the
+lexicon if as many toxic texts among those that hold it are as unlikely, by
+the exact binomial tail at the toxic share of all words, as ``Z_MIN``
+standard deviations; the test holds for words never seen in clean text.  It
+scores its log-odds, if that is above zero; all other words share one score,
+the log-odds of the rest.  Every such word is in the lexicon, whose size is
+bounded by the sample: a word must be in several of its texts.
 
 Scoring.  One linear scan per text finds all maximal-scoring segments.
 A segment's score S is calibrated by the extreme-value law of such scans:
@@ -44,8 +47,6 @@ PARTS, HELD = 5, 0
 SAMPLE = 10_000
 PRIOR_WORDS = 10_000.0
 Z_MIN = 4.0
-#: Words of largest significance that the lexicon may hold (it is sent to every task).
-LEXICON = 65_536
 E_MAX = 0.05
 TAIL = 10
 
@@ -154,6 +155,34 @@ def word_counts(docs: DataFrame, wanted=None) -> DataFrame:
     return docs.mapInArrow(run, "word bigint, y int, n bigint").groupBy("word", "y").agg(F.sum("n").alias("n"))
 
 
+def log_tail(t: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """ln P(X >= t) of X binomial in n trials of chance p, for t > n * p (the terms fall from there on)."""
+    t, n = np.asarray(t, float), np.asarray(n, float)
+    lgamma = np.vectorize(math.lgamma, otypes=[float])
+    term, k = np.ones(len(t)), t.copy()
+    total = term.copy()
+    while (term > 1e-12 * total).any():
+        term = term * (n - k) / (k + 1) * (p / (1 - p))
+        total += term
+        k += 1
+    return lgamma(n + 1) - lgamma(t + 1) - lgamma(n - t + 1) + t * math.log(p) + (n - t) * math.log1p(-p) + np.log(total)
+
+
+def toxic_words(counts: DataFrame, base: float) -> DataFrame:
+    """(word, clean, toxic) of the words whose toxic count is too large for the toxic share ``base``."""
+    limit = math.log(math.erfc(Z_MIN / math.sqrt(2)) / 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean, toxic = (batch.column(i).to_numpy().astype(float) for i in (1, 2))
+            over = np.flatnonzero(toxic > (clean + toxic) * base)
+            unlikely = log_tail(toxic[over], (clean + toxic)[over], base) <= limit
+            yield batch.take(pa.array(over[unlikely]))
+
+    known = counts.filter("word is not null and toxic > 0").select("word", "clean", "toxic")
+    return known.mapInArrow(run, known.schema)
+
+
 def root(scores: np.ndarray, share: np.ndarray) -> float:
     """The positive lam with sum(share * exp(lam * scores)) = 1 (the mean score is negative)."""
     low, high = 0.0, 1.0
@@ -176,15 +205,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     size = counts.filter("word is null").head()
     if size is None or not size.clean or not size.toxic:
         return none
-    toxic_words = counts.filter("word is not null and toxic > 0")
-    corpus = cut(word_counts(text.select("text", F.lit(0).alias("y")), hash_bitmap(toxic_words, "word")).select("word", F.col("n").alias("prior")))
+    listed = cut(toxic_words(counts, size.toxic / (size.toxic + size.clean)))
+    corpus = cut(word_counts(text.select("text", F.lit(0).alias("y")), hash_bitmap(listed, "word")).select("word", F.col("n").alias("prior")))
     total = corpus.filter("word is null").agg(F.sum("prior")).head()[0] or 0
     alpha = F.col("prior") * F.lit(PRIOR_WORDS / max(total, 1))
     rest = F.lit(PRIOR_WORDS)
     t, c = F.col("toxic") + alpha, F.col("clean") + alpha
     odds = F.log(t / (F.lit(float(size.toxic)) + rest - t)) - F.log(c / (F.lit(float(size.clean)) + rest - c))
-    chosen = (toxic_words.join(corpus, "word").withColumn("score", odds).withColumn("z", F.col("score") / F.sqrt(1 / t + 1 / c))
-              .filter((F.col("z") >= Z_MIN)).orderBy(F.desc("z"), "word").limit(LEXICON).toPandas())
+    chosen = listed.join(corpus, "word").withColumn("score", odds).filter("score > 0").toPandas()
     if chosen.empty:
         return none
     chosen["key"] = chosen["word"].to_numpy(np.int64).view(np.uint64)

@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, empty tables, odd columns."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -337,6 +338,31 @@ def test_scores_depend_on_text_alone(spark):
         assert a == b
 
 
+def test_binomial_tail_is_the_sum_of_its_terms():
+    for t, n, p in ((21, 21, 0.12), (17, 21, 0.12), (5, 5, 0.5), (30, 200, 0.1)):
+        want = sum(math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(t, n + 1))
+        assert np.allclose(toxicity.log_tail([t], [n], p), [math.log(want)])
+
+
+def test_words_never_seen_in_clean_text_enter_the_lexicon(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEXICON", 1, raising=False)
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    rows, labels = [], []
+    for i in range(1200):
+        words, toxic = prose(60), i % 10 == 0
+        if toxic:
+            words[20:23] = [f"slur{i // 10 % 4}"] * 3
+        elif i % 300 == 1:
+            words[20] = "slur0"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    rows += [(9000 + k, " ".join(prose(30) + [f"slur{k}"] * 3 + prose(30))) for k in range(4)] + [(9100, " ".join(prose(60)))]
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, LABELS)).collect()}
+    assert [got[9000 + k].predicted for k in range(4)] == [1] * 4 and got[9100].predicted == 0
+    assert got[9003].score >= got[9000].score
+
+
 def test_segments_are_the_maximal_ones():
     rng = random.Random(2)
     for _ in range(150):
