@@ -507,6 +507,19 @@ def test_licenses_are_found_whole_changed_and_repeated(spark):
     assert got[8].licenses == "Apache-2.0,MIT text" and got[9].licenses == "Apache-2.0"
 
 
+def test_whole_licenses_and_short_notices_are_told_apart(spark):
+    whole = license.whole_texts()
+    notices = {"Released under the BSD License": "BSD", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+               "This work is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0",
+               "Released under the Foo License": "", "distributed under the MIT license": "MIT"}
+    texts = [(t, k) for k, t in whole.items()] + list(notices.items())
+    texts.append((("filler of its own " * 50).join(["", whole["GPL-2.0 text"], whole["GPL-2.0 text"] + whole["MPL-2.0 text"], ""]), "GPL-2.0 text,MPL-2.0 text"))
+    rows = [(i, t) for i, (t, _) in enumerate(texts)]
+    got = {r.doc_id: r for r in license.licenses(spark.createDataFrame(rows, DOC)).collect()}
+    assert {texts[i][1]: got[i].licenses for i in got} == {k: k for _, k in texts}
+    assert got[len(texts) - 1].n_found == 3 and {"AGPL-3.0 text", "BSD-2-Clause text", "BSD-3-Clause text", "Unlicense text"} <= set(whole)
+
+
 def test_licenses_odd_rows(spark, docs, rows):
     assert license.licenses(odd(spark)).count() == 11 and license.licenses(empty(spark)).count() == 0
     assert license.licenses(docs, {}).filter("n_found > 0").count() == 0
