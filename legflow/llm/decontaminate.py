@@ -245,7 +245,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int
             index, win, ids = sent.value
             seen = [bit_filter(p.keys) for p in index]
             for batch in batches:
-                rows = [hit_columns(n, ranges, [ids[i] for i in which])
+                rows = [hit_columns(n, ranges, {ids[i] for i in which})
                         for _, n, ranges, which in spans_of(batch.column(docs_at["text"]), index, seen, win)]
                 cols = list(zip(*rows)) if rows else [[]] * len(TYPES)
                 yield pa.RecordBatch.from_arrays(

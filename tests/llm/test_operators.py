@@ -426,6 +426,15 @@ def test_decontamination_of_hard_texts(spark):
     assert hits(df, bench) == want and hits(df, bench, block_bytes=200) == want
 
 
+def test_both_texts_of_an_item_in_one_document_count_once(spark):
+    items = [(4, "one two three four five"), (4, "six seven eight nine ten"), (5, "ten eleven twelve")]
+    docs = [(1, "one two three four five and six seven eight nine ten eleven twelve")]
+    want = sorted(brute.decontaminated(docs, items))
+    assert want[0][3] == 2
+    for block_bytes in (decontaminate.BLOCK_BYTES, 100):
+        assert hits(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes) == want
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, "plain words here")], "item_id bigint, text string").withColumn("k1", F.lit(3))
     out = decontaminate.mark(odd(spark), bench, prefix="__llm_")
