@@ -1,9 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a line end, after a word that ends in ``.``, ``!`` or
-``?`` (closing quotes and brackets may follow), and after any word whose hash
-is a multiple of ``ANCHOR``: the last rule depends on the word alone, so text
-without punctuation is cut at the same places wherever it is copied to.  A
+A sentence ends at a line end, after a word that ends in ``.``, ``!``,
+``?`` or a like mark of another script (closing quotes and brackets may
+follow), and after any word whose hash is a multiple of ``ANCHOR``: the last
+rule depends on the word alone, so text without punctuation is cut at the same
+places wherever it is copied to.  A passage without punctuation that has only
+a few different words may hold none of these.  Words are what spaces part: a
+mark inside a word, as in Chinese, ends nothing.  A
 span is the shortest run of at least ``RUN`` sentences from a sentence on that
 has ``LEAST`` words or more.  Spans are compared by 128-bit hashes of their
 lower-cased words.
@@ -38,29 +41,49 @@ from legflow.llm.shared import bitmap_has, cut, hash_bitmap
 
 RUN = 2
 LEAST = 16
-ANCHOR = 16
+ANCHOR = 4
+#: Sentence marks beyond ASCII, and closing quotes and brackets.
+STOPS = "。！？．｡…‼⁇⁈⁉؟۔।॥։።፧፨།༎၊။។៕᠃᠉"
+CLOSING = "\"')]”’»›」』）】》〉"
 SEED = np.uint64(0x5851F42D4C957F2D)
 
 
+def coded(marks: str) -> dict[int, np.ndarray]:
+    """UTF-8 bytes of the characters as numbers, by length."""
+    out: dict[int, list] = {}
+    for c in marks:
+        out.setdefault(len(c.encode()), []).append(int.from_bytes(c.encode(), "big"))
+    return {n: np.array(v, np.int64) for n, v in out.items()}
+
+
+def mark_length(w: W.Words, last: np.ndarray, marks: dict[int, np.ndarray]) -> np.ndarray:
+    """Bytes of the mark that ends at byte ``last`` of each word, or 0."""
+    out = np.zeros(len(last), np.int64)
+    code = np.zeros(len(last), np.int64)
+    for n in range(1, max(marks) + 1):
+        code = code | (w.data[np.maximum(last - n + 1, 0)].astype(np.int64) << (8 * (n - 1)))
+        if n in marks:
+            out[np.isin(code, marks[n]) & (last - n + 1 >= w.start)] = n
+    return out
+
+
 def sentence_ends(w: W.Words) -> np.ndarray:
     """For each word whether a sentence ends after it."""
     n = len(w.hash)
     if not n:
         return np.zeros(0, bool)
-    closing = np.zeros(256, bool)
-    closing[[34, 39, 41, 93]] = True
+    closing, stop = coded(CLOSING), coded("!.?" + STOPS)
     last = w.end - 1
     while True:
-        step = closing[w.data[last]] & (last > w.start)
+        step = mark_length(w, last, closing)
+        step[last - step < w.start] = 0
         if not step.any():
             break
         last = last - step
-    stop = np.zeros(256, bool)
-    stop[[33, 46, 63]] = True
     lines = np.zeros(len(w.data) + 1, np.int64)
     np.cumsum((w.data == 10) | (w.data == 13), out=lines[1:])
     following = np.append(w.start[1:], len(w.data))
-    out = stop[w.data[last]] | (lines[following] > lines[w.end]) | (w.hash % np.uint64(ANCHOR) == 0)
+    out = (mark_length(w, last, stop) > 0) | (lines[following] > lines[w.end]) | (w.hash % np.uint64(ANCHOR) == 0)
     out[w.at[1:][w.at[1:] > w.at[:-1]] - 1] = True
     return out
 

@@ -294,6 +294,26 @@ def test_span_ranges_are_what_was_removed(spark):
     assert left + text[last:] == r.text != text
 
 
+def test_passages_of_51_words_without_punctuation_are_found_mid_text(spark):
+    rng = random.Random(21)
+    junk = lambda n: " ".join(f"j{rng.randrange(10 ** 6)}" for _ in range(n))
+    rows = []
+    for i in range(150):
+        passage = junk(51)
+        rows += [(2 * i, f"{junk(40)} {passage} {junk(40)}"), (2 * i + 1, f"{junk(33)} {passage} {junk(27)}")]
+    got = {r.doc_id: r for r in spans.dedup(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(got[2 * i + 1].n_removed > 0 for i in range(150))
+    lost = [len(rows[2 * i + 1][1].split()) - len(got[2 * i + 1].text.split()) for i in range(150)]
+    assert np.mean(lost) > 0.8 * 51
+
+
+def test_sentences_end_at_marks_of_other_scripts():
+    texts = ["هذا نص؟ ثم", "यह है। फिर", "好 了。” 再", "ا ب۔ ج"]
+    for text, at in zip(texts, (1, 1, 1, 1)):
+        (_, _, data, offsets), = W.pieces(pa.array([text]))
+        assert spans.sentence_ends(W.split_words(data, offsets, W.spaced_words()))[at], text
+
+
 def test_spans_odd_rows(spark):
     got = spans.dedup(odd(spark)).collect()
     assert len(got) == 11 and sum(r.text is None for r in got) == 2
