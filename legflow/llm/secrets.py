@@ -13,13 +13,13 @@ prove nothing alone:
 * ``weak_id``: a name for an account or client, such as ``client_id=...``.
 
 A weak part is reported, as ``linked_key``, ``linked_host`` or
-``linked_id``, when its scope (within ``SCOPE`` characters of its start) also
-holds an identifier (``access`` or ``weak_id``), a secret (``assign``,
+``linked_id``, when its scope (at most ``SCOPE`` characters between the end of
+one part and the start of the other) also holds an identifier (``access`` or ``weak_id``), a secret (``assign``,
 ``hex`` or ``weak_key``) and an endpoint (``weak_host``), the part itself
 counting as one of them.  The scope join is an interval join: parts are
-keyed by text and by the ``SCOPE``-wide bin of their start, looked up in
-their own bin and the two beside it, and compared by distance.  A bin holds
-at most SCOPE parts of a kind, so the join is bounded by bin, not by text.
+keyed by text and by the ``SCOPE``-wide bins that they touch, looked up in
+these bins and the two beside them, and compared by distance.  At most
+SCOPE parts of a kind touch a bin, so the join is bounded by bin, not by text.
 
 Nulls count as empty; empty texts have no spans.  Spans are a function of the
 text, so repeated texts are linked once and every row gets its result.
@@ -101,13 +101,16 @@ def linked(scan: DataFrame, scope: int = SCOPE) -> DataFrame:
     texts = scan.filter(F.size("weak") > 0).groupBy("k1", "k2").agg(F.first("strong").alias("strong"), F.first("weak").alias("weak"))
     part = texts.select("k1", "k2", F.explode(F.concat("strong", "weak")).alias("p")).select("k1", "k2", "p.*")
     roles = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
-    part = cut(part.withColumn("role", roles[F.col("kind")]).withColumn("bin", F.floor(F.col("start") / scope)))
+    low, high = F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)
+    part = cut(part.withColumn("role", roles[F.col("kind")]).withColumn("low", low).withColumn("high", high))
     weak = part.filter(F.col("kind").startswith("weak_"))
-    near = (weak.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))))
-    # one row for each role and start: parts of a role are interchangeable for the test
-    other = part.select("k1", "k2", "bin", F.col("role").alias("other_role"), F.col("start").alias("other_start")).distinct()
+    near = weak.withColumn("bin", F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)))
+    # one row for each role and place: parts of a role are interchangeable for the test
+    other = part.select("k1", "k2", F.explode(F.sequence("low", "high")).alias("bin"), F.col("role").alias("other_role"),
+                        F.col("start").alias("other_start"), F.col("end").alias("other_end")).distinct()
+    gap = F.greatest(F.col("start") - F.col("other_end"), F.col("other_start") - F.col("end"))
     met = (near.join(other, ["k1", "k2", "bin"])
-           .filter((F.col("role") != F.col("other_role")) & (F.abs(F.col("start") - F.col("other_start")) <= scope))
+           .filter((F.col("role") != F.col("other_role")) & (gap <= scope))
            .groupBy("k1", "k2", "start", "end", "kind").agg(F.countDistinct("other_role").alias("n")).filter("n = 2"))
     span = F.struct("start", "end", F.regexp_replace("kind", "^weak_", "linked_").alias("kind"))
     return met.groupBy("k1", "k2").agg(F.collect_list(span).alias("links"))
