@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from legflow.llm import chat, decontaminate, license, mixing, neardup, oracle, quality, secrets, spans, toxicity, voronoi
+from legflow.llm import (
+    chat, decontaminate, license, mixing, neardup, oracle, quality, ranked, repair, secrets, spans, toxicity, urls, voronoi)
 from legflow.llm.shared import table
 
 #: Production mixture: sources by domain, and integer weights by tree level (1 where none is given).
@@ -73,6 +74,23 @@ def op10_fingerprinted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.canonical(records)))
 
 
+def op11_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+#: Rule list of the url filter: (host and path prefix, verdict).
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op12_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+
+
+def op13_bag_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +99,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_source_mixture, op2_hyperminhash, op3_linked_secrets, op4_sentence_spans, op5_pu_quality, op6_segment_toxicity,
-    op7_prefix_join, op8_voronoi_knn, op9_license_alignment, op10_fingerprinted_chat, pipeline)}
+    op7_prefix_join, op8_voronoi_knn, op9_license_alignment, op10_fingerprinted_chat,
+    op11_lightest_repair, op12_url_expressions, op13_bag_ranking, pipeline)}
 #: The other queries have no SQL form (look-around patterns, word hashes, fitted models, alignments); tests/llm checks them.
 ORACLE_SQL = {
     "op1_source_mixture": oracle.mixture(DOMAINS, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED, MIX_BUDGET),
@@ -89,4 +108,7 @@ ORACLE_SQL = {
     "op7_prefix_join": oracle.decontaminated(decontaminate.WINDOW),
     "op8_voronoi_knn": oracle.nearest(20, voronoi.SCALE),
     "op10_fingerprinted_chat": oracle.conversations(),
+    "op11_lightest_repair": oracle.repaired(),
+    "op12_url_expressions": oracle.filtered_urls(URL_RULES),
+    "op13_bag_ranking": oracle.ranked(ranked.TOP, ranked.NORM),
 }
