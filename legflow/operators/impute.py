@@ -1,25 +1,25 @@
 """Missing data: injection, imputation and its scoring (M1..M16).
 
 Frames are keyed by a row key (``key``); truth / prediction / mask frames
-are aligned by joining on it.  Iterative imputers cut lineage every round
-with ``checkpoint()`` into the shared checkpoint folder.
+are aligned by joining on it.  Iterative imputers learn from moment matrices
+and fill rows in one pass, without a written table between rounds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from legflow.functions.nulls import hash_uniform, uniform
 from legflow.operators.clean import complete_numeric_rows, drop_columns
 from legflow.operators.encode import CenteredPCA, StandardScaler
-from legflow.session import ensure_checkpoint_dir
+from legflow.operators.moments import Moments, moments, total
 
 # Odd multipliers for per-column masks (distinct so masks are not correlated).
 MASK_MULTIPLIERS = [2654435761, 2246822519, 3266489917, 668265263, 374761393, 1597334677, 3812015801,
@@ -147,70 +147,131 @@ class ModeFill:
 
 # ------------------------------------------------------------------ M10: chained equations
 
+#: Patterns of missing cells whose moments are kept at once; beyond it each regression scans the rows.
+PATTERNS = 1024
+
+
 class IterativeImputer:
     """Start from column means, then for ``max_iter`` rounds regress each
     incomplete column (fewest missing first) on all other columns, using rows
     where it is observed, and overwrite only its missing cells.  ``fit`` learns
     the per-round regressions on one frame; ``transform`` replays them by round
-    and column, in the fitted order.  A column that had no gaps in ``fit`` has
-    no regression: its gaps keep the fitted mean."""
+    and column, in the fitted order, in one pass over the rows.  A column that
+    had no gaps in ``fit`` has no regression: its gaps keep the fitted mean.
+    NaN counts as missing; a column without any value stays empty and is no
+    predictor.
+
+    Rows that miss the same cells are filled by the same affine map of what
+    they hold, in every round.  So the moments of each pattern of missing cells
+    (one scan) give the moments of the filled rows, and with them all
+    regressions of all rounds.  Where there are more than ``patterns``
+    patterns, each regression takes its moments from a scan instead.  ``reg``
+    is a ridge on standardised columns."""
+
+    def __init__(self, cols: Sequence[str], key: str, max_iter: int = 10, reg: float = 1e-6, patterns: int = PATTERNS):
+        self.cols, self.key, self.max_iter, self.reg, self.patterns = list(cols), key, max_iter, reg, patterns
+
+    def _regression(self, m: Moments, c: int, live: list[int]) -> tuple[np.ndarray, float]:
+        """Coefficients (zero for columns that are no predictors) and offset of column ``c`` on the other live ones."""
+        w = np.zeros(len(self.cols))
+        others = [o for o in live if o != c]
+        spread = np.sqrt(np.maximum(np.diag(m.ss)[others], 0))
+        used = [(o, s) for o, s in zip(others, spread) if s > 1e-9 * (1 + abs(m.mean[o])) * math.sqrt(max(m.n, 1))]
+        if used and m.n:
+            at, s = [o for o, _ in used], np.array([s for _, s in used])
+            corr = m.ss[np.ix_(at, at)] / np.outer(s, s) + self.reg * np.eye(len(at))
+            try:
+                w[at] = np.linalg.solve(corr, m.ss[at, c] / s) / s
+            except np.linalg.LinAlgError:
+                w[at] = np.linalg.lstsq(corr, m.ss[at, c] / s, rcond=None)[0] / s
+        return w, float(m.mean[c] - w @ m.mean) if m.n else 0.0
 
-    def __init__(self, cols: Sequence[str], key: str, max_iter: int = 10, reg: float = 1e-6):
-        self.cols, self.key, self.max_iter, self.reg = list(cols), key, max_iter, reg
-
-    def _run(self, df: DataFrame, models=None):
-        ensure_checkpoint_dir(df.sparkSession)
-        cols = self.cols
-        if models is None:
-            miss = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-            order = sorted([c for c in cols if miss[c] > 0], key=lambda c: (miss[c], cols.index(c)))
-        else:
-            order = [c for it, c in models if it == 0]  # dicts keep the fitted order
-        means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict() if models is None else self.means
-        cur = df.select(self.key, *[F.col(c).cast("double").alias(c) for c in cols],
-                        *[F.col(c).isNull().alias(f"{c}__m") for c in cols])
-        cur = cur.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in cols}).checkpoint()
-        learnt = {} if models is None else models
+    def fit(self, df: DataFrame) -> IterativeImputer:
+        cols, d = self.cols, len(self.cols)
+        x = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+        miss = x.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols], *[F.avg(c).alias(f"m_{c}") for c in cols]).first()
+        self.means = {c: miss[f"m_{c}"] for c in cols}
+        live = [i for i, c in enumerate(cols) if self.means[c] is not None]
+        order = sorted([i for i in live if miss[f"n_{cols[i]}"] > 0], key=lambda i: (miss[f"n_{cols[i]}"], i))
+        self.models = {}
+        if not order:
+            return self
+        pattern = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
+        coded = x.withColumn("__p", pattern)
+        seen = [r["__p"] for r in coded.select("__p").distinct().limit(self.patterns + 1).collect()]  # bounded
+        start = np.array([self.means[c] or 0.0 for c in cols])
+        if len(seen) <= self.patterns:
+            code = F.create_map(*[F.lit(v) for i, p in enumerate(sorted(seen)) for v in (p, i)])
+            held = moments(coded.withColumn("__i", code[F.col("__p")]), cols, "__i", partial=True)
+            gaps = {k: np.array([ch == "1" for ch in sorted(seen)[k]]) for k in held}
+            fill = {k: (np.diag((~g).astype(float)), np.where(g, start, 0.0)) for k, g in gaps.items()}
         for it in range(self.max_iter):
             for c in order:
-                others = [o for o in cols if o != c]
-                vec = VectorAssembler(inputCols=others, outputCol="__x")
-                if models is None:
-                    train = vec.transform(cur.where(~F.col(f"{c}__m")))
-                    m = LinearRegression(featuresCol="__x", labelCol=c, regParam=self.reg, elasticNetParam=0.0,
-                                         solver="normal").fit(train)
-                    learnt[it, c] = (list(map(float, m.coefficients)), float(m.intercept))
-                coefs, b = learnt[it, c]
-                pred = F.lit(b) + sum(F.col(o) * F.lit(w) for o, w in zip(others, coefs))
-                cur = cur.withColumn(c, F.when(F.col(f"{c}__m"), pred).otherwise(F.col(c)))
-            cur = cur.checkpoint()
-        return cur.select(self.key, *cols), learnt, means
-
-    def fit(self, df: DataFrame) -> IterativeImputer:
-        _, self.models, self.means = self._run(df)
+                if len(seen) <= self.patterns:
+                    m = total([held[k].affine(*fill[k], cols) for k in sorted(held) if not gaps[k][c]])
+                else:
+                    m = moments(self._replayed(x, cols[c]), cols).get(0) or Moments(cols, 0, start, np.zeros((d, d)), start, start)
+                w, b = self._regression(m, c, live)
+                self.models[it, cols[c]] = ([float(v) for v in w], b)
+                if len(seen) <= self.patterns:
+                    for k, (a, shift) in fill.items():
+                        if gaps[k][c]:
+                            a, shift = a.copy(), shift.copy()
+                            a[c], shift[c] = w @ a, w @ shift + b
+                            fill[k] = (a, shift)
         return self
 
+    def _filler(self):
+        cols = self.cols
+        start = np.array([np.nan if self.means[c] is None else self.means[c] for c in cols])
+        steps = [(cols.index(c), np.array(w), b) for (_, c), (w, b) in self.models.items()]
+
+        def filled(x: np.ndarray) -> np.ndarray:
+            gap = np.isnan(x)
+            x = np.where(gap, start, x)
+            for c, w, b in steps:
+                rows, used = gap[:, c], np.flatnonzero(w)
+                x[rows, c] = x[np.ix_(rows, used)] @ w[used] + b
+            return x
+        return filled
+
+    def _replayed(self, x: DataFrame, observed: str) -> DataFrame:
+        """The rows of ``x`` where ``observed`` is not missing, filled by the regressions learnt so far."""
+        return _mapped(x.where(F.col(observed).isNotNull()), [], self.cols, self._filler())
+
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        out, self.models, self.means = self._run(df)
-        return out
+        return self.fit(df).transform(df)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out, _, _ = self._run(df, self.models)
-        return out
+        return _mapped(df, [self.key], self.cols, self._filler())
+
+
+def _mapped(df: DataFrame, keep: Sequence[str], cols: Sequence[str], change) -> DataFrame:
+    """(``keep``, ``cols``) with the matrix of ``cols`` changed batch by batch; nulls are NaN inside and null outside."""
+    n = len(keep)
+    x = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = change(np.column_stack([batch.column(n + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(cols))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(out[:, i], pa.float64(), from_pandas=True) for i in range(len(cols))]],
+                                             [*keep, *cols])
+
+    return x.mapInArrow(run, x.schema)
 
 
 # ------------------------------------------------------------------ M11, M12: reconstruct and refill
 
 class ReconstructImputer:
-    """Missing cells start at ``init``; each round the row is encoded
+    """Missing cells start at ``init`` (in scaled units); each round the row is encoded
     to ``k`` centred principal components and decoded, and only missing cells
     take the reconstruction (``blend`` < 1 mixes old and new).  Scaling and
-    components are fitted on complete rows."""
+    components are fitted on complete rows.  The rounds are an iteration inside
+    the row: one pass over the rows, whatever their number."""
 
-    def __init__(self, cols: Sequence[str], key: str, k: int = 2, max_iter: int = 25, init: float = 0.0,
-                 blend: float = 1.0, trace: bool = False):
+    def __init__(self, cols: Sequence[str], key: str, k: int = 2, max_iter: int = 25, init: float = 0.0, blend: float = 1.0):
         self.cols, self.key, self.k, self.max_iter = list(cols), key, k, max_iter
-        self.init, self.blend, self.trace = init, blend, trace
+        self.init, self.blend = init, blend
 
     def fit(self, df: DataFrame) -> ReconstructImputer:
         complete = complete_numeric_rows(df, self.cols)
@@ -218,21 +279,25 @@ class ReconstructImputer:
         self.pca = CenteredPCA(self.cols, self.k).fit(self.scaler.transform(complete))
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        ensure_checkpoint_dir(df.sparkSession)
-        cols = self.cols
-        x = self.scaler.transform(df.select(self.key, *[F.col(c).cast("double").alias(c) for c in cols]))
-        x = x.withColumns({f"{c}__m": F.col(c).isNull() for c in cols})
-        x = x.withColumns({c: F.coalesce(F.col(c), F.lit(self.init)) for c in cols}).checkpoint()
-        self.history = []
-        for _ in range(self.max_iter):
-            # encode and decode on the row itself: no join, so repeated keys stay single rows
-            w = F.lit(self.blend)
-            x = self.pca.transform(x).withColumns(
-                {c: F.when(F.col(f"{c}__m"), (1 - w) * F.col(c) + w * r).otherwise(F.col(c))
-                 for c, r in self.pca.decoded().items()}).drop(*[f"pc{j + 1}" for j in range(self.k)]).checkpoint()
-        out = self.scaler.inverse_transform(x.select(self.key, *cols))
-        return out
+    def transform(self, df: DataFrame, rounds: int | None = None) -> DataFrame:
+        """(key, cols) after ``rounds`` rounds (all if None); fewer rounds give the trace of the filling."""
+        center = np.array([self.scaler.center[c] for c in self.cols], float)
+        scale = np.array([self.scaler.scale[c] for c in self.cols], float)
+        mean = np.array([self.pca.means[c] for c in self.cols], float)
+        components = np.array(self.pca.components, float).reshape(-1, len(self.cols))
+        n, init, blend = self.max_iter if rounds is None else rounds, self.init, self.blend
+
+        def filled(x: np.ndarray) -> np.ndarray:
+            gap = np.isnan(x)
+            z = np.where(gap, init, (x - center) / scale)
+            some = gap.any(axis=1)
+            part, there = z[some], gap[some]
+            for _ in range(n):
+                back = mean + (part - mean) @ components.T @ components
+                part = np.where(there, (1 - blend) * part + blend * back, part)
+            z[some] = part
+            return np.where(gap, z * scale + center, x)
+        return _mapped(df, [self.key], self.cols, filled)
 
 
 # ------------------------------------------------------------------ M14
@@ -331,7 +396,7 @@ def knn_error_rates(neighbours: DataFrame, truth: DataFrame, ks: Sequence[int] =
 def impute_table(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                  method: str = "iterative", max_iter: int = 10, k: int = 2, decomposed_dates: Sequence[str] = (),
                  out_path: str | None = None) -> DataFrame:
-    """Encode categories as ordinal codes, scale (fitted on complete rows),
+    """Encode categories as ordinal codes, scale (fitted on complete rows; on all where no row is complete),
     impute, unscale, round (numbers to 2 places, codes half-even), decode,
     drop decomposed date parts, rejoin the untouched columns by key, and
     optionally write the table."""
@@ -343,7 +408,8 @@ def impute_table(df: DataFrame, key: str, numeric: Sequence[str], categorical: S
     enc = OrdinalEncoder(categorical).fit(df) if categorical else None
     x = enc.transform(df.select(key, *cols)) if enc else df.select(key, *cols)
     x = x.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
-    scaler = StandardScaler(cols).fit(x)
+    complete = complete_numeric_rows(x, cols)
+    scaler = StandardScaler(cols).fit(complete if complete.limit(1).count() else x)
     scaled = scaler.transform(x)
     if method == "iterative":
         filled = IterativeImputer(cols, key, max_iter=max_iter).fit_transform(scaled)

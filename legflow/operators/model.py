@@ -13,12 +13,13 @@ import os
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legflow.functions.nulls import hash_uniform, uniform
+from legflow.operators.moments import LINEAR, LinearFit, fit_branches, fold_scores, moments, total, without
 
 # ------------------------------------------------------------------ R1..R4: splits and folds
 
@@ -271,22 +272,30 @@ class StackingRegressor:
         ensure_checkpoint_dir(df.sparkSession)
         by = [self.key] if self.key else [*assembler.getInputCols(), self.label]
         x = df.withColumn("__fold", F.pmod(F.xxhash64(*by), F.lit(self.folds)))
-        x = assembler.transform(x).select("features", self.label, "__fold").checkpoint()
-        bases = {"ridge": ridge, "lasso": lasso, "elastic": elastic_net}
-
-        def fitted(d: DataFrame) -> list:
-            return [f(d, label=self.label).setPredictionCol(f"p_{n}").fit(d) for n, f in bases.items()]
-
-        # the base models' predictions are chained as columns of the held-out rows: no joins
-        oof = None
-        for k in range(self.folds):
-            part = x.where(F.col("__fold") == k)
-            for m in fitted(x.where(F.col("__fold") != k)):
-                part = m.transform(part)
-            oof = part if oof is None else oof.unionByName(part)
+        x = x.select(*assembler.getInputCols(), self.label, "__fold").checkpoint()
+        cols = assembler.getInputCols()
+        bases = {"ridge": dict(alpha=0.5), "lasso": dict(alpha=1e-6), "elastic": dict(alpha=1e-4, l1_ratio=0.9)}
+        # one scan: a fold's bases come from the total's moments without its own
+        parts = moments(x, [*cols, self.label], "__fold")
+
+        def fitted(m) -> list:
+            return [fit_branches(m, n, cols, self.label, [p])[0] for n, p in bases.items()]
+
+        fits = {k: fitted(without(parts, k)) for k in sorted(parts)} if len(parts) > 1 else {k: fitted(parts[k]) for k in parts}
+        # a held-out row takes its fold's coefficients: no joins and no unions
+        oof = x
+        for i, n in enumerate(bases):
+            pred = None
+            for k, fs in fits.items():
+                here = sum([F.col(c).cast("double") * F.lit(float(w)) for c, w in zip(cols, fs[i].coefficients)], F.lit(float(fs[i].intercept)))
+                pred = F.when(F.col("__fold") == k, here) if pred is None else pred.when(F.col("__fold") == k, here)
+            oof = oof.withColumn(f"p_{n}", pred)
         to_meta = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="__meta")
         meta = boosted_trees(self.rounds, self.label, "__meta").fit(to_meta.transform(oof))
-        return PipelineModel(stages=[assembler, *fitted(x), to_meta, meta])
+        full = fitted(total([parts[k] for k in sorted(parts)]))
+        scored = [SQLTransformer(statement=f"SELECT *, {' + '.join([repr(float(f.intercept)) + 'D', *(f'CAST(`{c}` AS DOUBLE) * {float(w)!r}D' for c, w in zip(cols, f.coefficients))])} "
+                                           f"AS p_{n} FROM __THIS__") for n, f in zip(bases, full)]
+        return PipelineModel(stages=[assembler, *scored, to_meta, meta])
 
 
 # ------------------------------------------------------------------ R13, R15..R17: CV and tuning
@@ -392,10 +401,57 @@ def model_grid(name: str, n_features: int) -> list[dict]:
     return out
 
 
+def _mean_dev(values: Sequence[float | None]) -> tuple[float | None, float | None]:
+    known = [v for v in values if v is not None]
+    if not known:
+        return None, None
+    mean = sum(known) / len(known)
+    return mean, math.sqrt(sum((v - mean) ** 2 for v in known) / len(known))
+
+
+def _score_table(spark: SparkSession, scores: list[dict], branches: Sequence[dict]) -> DataFrame:
+    """The table of ``grid_search`` from fold scores."""
+    rows = []
+    for i, b in enumerate(branches):
+        mine = [s for s in scores if s["idx"] == i]
+        rows.append((i, str(b), *(v for m in ("mse", "mae", "r2") for v in _mean_dev([s[m] for s in mine])), len(mine)))
+    return spark.createDataFrame(rows, "idx int, params string, mse double, mse_std double, mae double, "
+                                       "mae_std double, r2 double, r2_std double, n_folds int")
+
+
+def cross_validate_linear(df: DataFrame, name: str, features: Sequence[str], branch: dict | None = None, label: str = "label",
+                          fold_col: str = "fold", k: int = 5) -> DataFrame:
+    """R13 for ridge, lasso and elastic chains, from moment matrices: two scans for all folds.  ``branch`` is a scaler,
+    reducer and penalty; without it, the named model's own chain."""
+    branch = chain_of(name, len(features)) if branch is None else branch
+    scores, _ = fold_scores(df, name, features, [branch], label, fold_col, k)
+    rows = [(str(s["fold"]), s["mse"], s["mae"], s["r2"]) for s in scores]
+    both = [_mean_dev([s[m] for s in scores]) for m in ("mse", "mae", "r2")]
+    rows += [("mean", *(m for m, _ in both)), ("std", *(d for _, d in both))]
+    return df.sparkSession.createDataFrame(rows, "fold string, mse double, mae double, r2 double")
+
+
+def grid_search_linear(df: DataFrame, name: str, features: Sequence[str], branches: Sequence[dict], label: str = "label",
+                       fold_col: str = "fold", k: int = 5) -> tuple[DataFrame, list[LinearFit]]:
+    """R15, R16 for linear models: the table of ``grid_search`` for every branch, and every branch refitted on all rows.
+    The number of scans does not depend on that of branches or folds."""
+    scores, fits = fold_scores(df, name, features, branches, label, fold_col, k)
+    return _score_table(df.sparkSession, scores, branches), fits
+
+
+def best_fit(results: DataFrame, fits: Sequence[LinearFit]) -> LinearFit:
+    """The refitted branch of least mean MSE."""
+    return fits[results.orderBy("mse", "idx").first()["idx"]]
+
+
 def tune_chain(df: DataFrame, name: str, features: Sequence[str], branches: Sequence[dict], label: str = "label",
                fold_col: str = "fold", k: int = 5, categorical: Sequence[str] = ()) -> DataFrame:
-    """Cross-validate each branch of a named chain (R15 contract per branch)."""
+    """Cross-validate each branch of a named chain (R15 contract per branch).  Linear models of numeric columns are
+    tuned from moment matrices; trees, and chains with encoders, fit each branch and fold."""
     spark = df.sparkSession
+    if name in LINEAR and not categorical:
+        res, _ = grid_search_linear(df, name, features, branches, label, fold_col, k)
+        return res.select("idx", F.col("params").alias("branch"), "mse", "r2")
     rows = []
     for idx, b in enumerate(branches):
         scores = []

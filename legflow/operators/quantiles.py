@@ -21,10 +21,12 @@ from legflow.session import ensure_checkpoint_dir
 UNB = Window.unboundedPreceding
 
 
-def value_ranks(long: DataFrame, group: str, value: str) -> DataFrame:
+def value_ranks(long: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
     """(group, value, cnt, below, n): ``below`` = rows of the group with a smaller
-    value, ``n`` = non-null rows of the group.  NULL values are ignored."""
-    counts = long.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt"))
+    value, ``n`` = non-null rows of the group.  NULL values are ignored.
+    ``weight`` names a column that says how many rows a row stands for."""
+    n_rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = long.where(F.col(value).isNotNull()).groupBy(group, value).agg(n_rows.alias("cnt"))
     ensure_checkpoint_dir(long.sparkSession)
     # written once: two evaluations of a sampled range exchange need not agree on partition numbers
     ranged = counts.repartitionByRange(group, value).withColumn("__pid", F.spark_partition_id()).checkpoint()
@@ -39,9 +41,9 @@ def value_ranks(long: DataFrame, group: str, value: str) -> DataFrame:
     return out.select(group, value, "cnt", (F.col("__off") + F.col("__cum") - F.col("cnt")).alias("below"), "n")
 
 
-def quantiles(long: DataFrame, group: str, value: str, probs: Sequence[float]) -> DataFrame:
+def quantiles(long: DataFrame, group: str, value: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:
     """(group, q, quantile): exact, linear interpolation between order statistics."""
-    ranks = value_ranks(long, group, value)
+    ranks = value_ranks(long, group, value, weight)
     # 0-based position h = (n - 1) q; need the values at floor(h) and floor(h) + 1.
     qs = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q")
     cand = ranks.select("*", qs).withColumn("__h", (F.col("n") - 1) * F.col("q"))

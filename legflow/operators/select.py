@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from legflow.operators.moments import Regression, eliminated, moments, recursive_elimination, total
 from legflow.session import ensure_checkpoint_dir
 
 
@@ -42,69 +42,27 @@ def select_k_best_chi2(df: DataFrame, features: Sequence[str], k: int, label: st
     return [f for f in features if f in best]
 
 
-def _ols(df: DataFrame, features: Sequence[str], label: str, intercept: bool = False):
-    vec = VectorAssembler(inputCols=list(features), outputCol="__x").transform(df)
-    return LinearRegression(featuresCol="__x", labelCol=label, solver="normal", regParam=0.0,
-                            fitIntercept=intercept).fit(vec)
-
-
 def backward_elimination(df: DataFrame, features: Sequence[str], label: str = "label",
-                         level: float = 0.05) -> tuple[list[str], object]:
-    """OLS without intercept; drop the largest p-value while it exceeds ``level``."""
-    kept = list(features)
-    while kept:
-        model = _ols(df, kept, label)
-        p = list(model.summary.pValues)
-        worst = max(range(len(kept)), key=lambda i: p[i])
-        if p[worst] <= level:
-            return kept, model
-        kept.pop(worst)
-    return kept, None
-
-
-def _t_quantile(prob: float, dof: int) -> float:
-    """Student t quantile by the Cornish-Fisher expansion around the normal quantile."""
-    z = _norm_quantile(prob)
-    v = float(max(dof, 1))
-    return (z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v ** 2)
-            + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v ** 3))
-
-
-def _norm_quantile(p: float) -> float:
-    """Acklam's rational approximation of the standard normal quantile."""
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
-         -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
-         -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00,
-         4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
-    lo = 0.02425
-    if p < lo:
-        q = math.sqrt(-2 * math.log(p))
-        return (((((c[0] * q + c[1]) * q + c[2]) * q + c[3]) * q + c[4]) * q + c[5]) / \
-            ((((d[0] * q + d[1]) * q + d[2]) * q + d[3]) * q + 1)
-    if p > 1 - lo:
-        return -_norm_quantile(1 - p)
-    q = p - 0.5
-    r = q * q
-    return (((((a[0] * r + a[1]) * r + a[2]) * r + a[3]) * r + a[4]) * r + a[5]) * q / \
-        (((((b[0] * r + b[1]) * r + b[2]) * r + b[3]) * r + b[4]) * r + 1)
-
-
-def coefficient_table(spark, model, features: Sequence[str], conf: float = 0.95) -> DataFrame:
-    """Per feature exp(coef) and exp of the confidence bounds."""
-    s = model.summary
-    t = _t_quantile(1 - (1 - conf) / 2, s.degreesOfFreedom)
+                         level: float = 0.05) -> tuple[list[str], Regression | None]:
+    """OLS without intercept; drop the largest p-value while it exceeds ``level``.  One scan: each removal is a
+    sweep of the moment matrix.  Columns that are combinations of earlier ones leave first."""
+    parts = moments(df, [*features, label])
+    fit = eliminated(total([parts[k] for k in sorted(parts)]), features, label, level) if parts else None
+    return (fit.features, fit) if fit else ([], None)
+
 
+def coefficient_table(spark, model: Regression | None, features: Sequence[str], conf: float = 0.95) -> DataFrame:
+    """Per feature exp(coef), exp of the confidence bounds, and the two-sided p-value."""
     def exp(v):
         try:
             return math.exp(v)
         except OverflowError:
             return float("inf")
     rows = []
-    for f, b, se, p in zip(features, model.coefficients, s.coefficientStandardErrors, s.pValues):
-        rows.append((f, float(exp(b)), float(exp(b - t * se)), float(exp(b + t * se)), float(p)))
+    if model is not None:
+        lower, upper = model.bounds(conf)
+        rows = [(f, *(exp(float(v)) for v in (b, lo, hi)), float(p))
+                for f, b, lo, hi, p in zip(features, model.coefficients, lower, upper, model.p_values)]
     return spark.createDataFrame(rows, "feature string, odds double, lower double, upper double, p_value double")
 
 
@@ -112,26 +70,9 @@ def recursive_elimination_cv(df: DataFrame, features: Sequence[str], label: str
                              n_folds: int = 5, alpha: float = 5e-4) -> tuple[list[str], list[tuple[int, float]]]:
     """Lasso of penalty ``alpha`` on features standardised by the caller; remove the
     smallest |coefficient| each step, score each feature count by mean squared
-    error over the folds, keep the count of least error (the fewer features at ties)."""
-    from legflow.operators.model import lasso
-
-    def fitted(d: DataFrame, cols: list[str]):
-        vec = VectorAssembler(inputCols=cols, outputCol="__x").transform(d)
-        return lasso(vec, alpha, label, "__x").fit(vec)
-
-    current = list(features)
-    history: list[tuple[list[str], float]] = []
-    while current:
-        scores = []
-        for k in range(n_folds):
-            test = VectorAssembler(inputCols=current, outputCol="__x").transform(df.where(F.col(fold_col) == k))
-            pred = fitted(df.where(F.col(fold_col) != k), current).transform(test)
-            scores.append(pred.agg(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0] or 0.0)
-        history.append((list(current), sum(scores) / len(scores)))
-        full = fitted(df, current)
-        current.pop(min(range(len(current)), key=lambda i: abs(full.coefficients[i])))
-    best = min(history, key=lambda h: (h[1], len(h[0])))
-    return best[0], [(len(f), s) for f, s in history]
+    error over the folds, keep the count of least error (the fewer features at ties).  One scan."""
+    parts = {f: m for f, m in moments(df, [*features, label], fold_col).items() if 0 <= f < n_folds}
+    return recursive_elimination(parts, features, label, alpha)
 
 
 def rbf_features(df: DataFrame, features: Sequence[str], k: int, gamma: float = 1.0, seed: int = 0,

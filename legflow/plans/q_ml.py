@@ -6,7 +6,6 @@ rounded tables and get the rows-only check.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from legflow.functions.nulls import uniform, uniform_sql
@@ -160,16 +159,6 @@ def _lineitem_xy(spark, sf):
                      F.col("l_extendedprice").alias("label"))
 
 
-@register("e13_e14_backward_elimination")
-def e13(spark, sf):
-    x = _lineitem_xy(spark, sf)
-    feats = ["l_quantity", "l_discount", "l_tax", "flag_r", "status_f"]
-    x = x.withColumn("label", F.col("label") / 10000.0)
-    kept, m = select.backward_elimination(x, feats, "label", 0.05)
-    return select.coefficient_table(spark, m, kept).select(
-        "feature", F.round("odds", 4).alias("odds"), F.round("p_value", 4).alias("p_value"))
-
-
 @register("e16_rbf_features")
 def e16(spark, sf):
     x = _lineitem_xy(spark, sf)
@@ -311,7 +300,7 @@ def m10(spark, sf):
         "l_discount")
     cols = ["l_quantity", "l_extendedprice", "l_discount"]
     inc = impute.inject_nulls(li, cols, 0.2, "rid", seed=5)
-    pred = impute.IterativeImputer(cols, "rid", max_iter=2).fit_transform(inc)
+    pred = impute.IterativeImputer(cols, "rid").fit_transform(inc)
     s = impute.masked_scores(li, pred, inc, cols, "rid", per_column=True)
     base = impute.masked_scores(li, impute.MeanFill(cols).fit(inc).transform(inc), inc, cols, "rid", per_column=True)
     return s.select("column", F.round("mae", 2).alias("mae")).join(
@@ -325,7 +314,7 @@ def m11(spark, sf):
         "l_discount", "l_tax")
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     inc = impute.inject_nulls(li, cols, 0.2, "rid", seed=9)
-    imp = impute.ReconstructImputer(cols, "rid", k=2, max_iter=3, blend=0.5).fit(inc)
+    imp = impute.ReconstructImputer(cols, "rid", k=2, blend=0.5).fit(inc)
     s = impute.masked_scores(li, imp.transform(inc), inc, cols, "rid", per_column=True)
     return s.select("column", F.round("mae", 2).alias("mae"), "n_cells")
 
@@ -553,26 +542,6 @@ def r12(spark, sf):
     return _model_metrics(spark, sf, "stacking", rounds=5)
 
 
-@register("r13_cross_validation")
-def r13(spark, sf):
-    x = _lineitem_xy(spark, sf)
-    x = model.stratified_folds(x.withColumn("__lbl", (F.col("label") / 10000).cast("int")), "__lbl", "row_id")
-    vec = VectorAssembler(inputCols=_FEATS, outputCol="features").transform(x)
-    cv = model.cross_validate(vec, lambda d: model.ridge(d).fit(d))
-    return cv.select("fold", *[F.round(c, 4).alias(c) for c in ("mse", "mae", "r2")])
-
-
-@register("r15_r17_grid_search_report")
-def r15(spark, sf):
-    x = _lineitem_xy(spark, sf)
-    x = model.stratified_folds(x.withColumn("__lbl", (F.col("label") / 10000).cast("int")), "__lbl", "row_id", k=3)
-    vec = VectorAssembler(inputCols=_FEATS, outputCol="features").transform(x).cache()
-    res = model.grid_search(vec, lambda p: (lambda d: model.ridge(d, alpha=p["alpha"]).fit(d)),
-                            {"alpha": [0.1, 10.0]}, k=3)
-    rep = model.tuning_report(res)
-    return rep.select("metric", "best_idx", F.round("best", 2).alias("best"))
-
-
 @register("r18_r24_batch_scoring_importance")
 def r18(spark, sf):
     x = _lineitem_xy(spark, sf)
@@ -603,7 +572,7 @@ def m13(spark, sf):
         F.col("taxi_in").cast("double").alias("taxi_in"), "fleet", "aircraft_type_code")
     truth = legs.dropna()
     inc = impute.inject_nulls(truth, _IMP + _CAT, 0.2, "leg_id", seed=21)
-    out = impute.impute_table(inc, "leg_id", _IMP, _CAT, method="iterative", max_iter=2)
+    out = impute.impute_table(inc, "leg_id", _IMP, _CAT, method="iterative")
     num = impute.masked_scores(truth, out, inc, _IMP, "leg_id", per_column=True).select(
         "column", F.round("mae", 2).alias("score"))
     cat = impute.masked_accuracy(truth, out, inc, _CAT, "leg_id", per_column=True).select(
@@ -638,14 +607,3 @@ def s7(spark, sf):
     b = again.transform(test).select("row_id", F.col("prediction").alias("p2"))
     return a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n_scored"),
                                    F.round(F.max(F.abs(F.col("p1") - F.col("p2"))), 9).alias("max_abs_diff"))
-
-
-@register("r16_branch_tuning")
-def r16(spark, sf):
-    """Scaler and reducer branches of the ridge chain, 2-fold cross-validated."""
-    x = _lineitem_xy(spark, sf)
-    x = model.stratified_folds(x.withColumn("__lbl", (F.col("label") / 10000).cast("int")), "__lbl", "row_id", k=2)
-    branches = [b for b in model.model_grid("ridge", len(_FEATS))
-                if b["alpha"] == 0.5 and b["pca_k"] in (None, len(_FEATS) - 1) and b["scaler"] != "minmax"]
-    res = model.tune_chain(x.cache(), "ridge", _FEATS, branches, k=2)
-    return res.select("idx", "branch", F.round("r2", 3).alias("r2"))
