@@ -17,8 +17,14 @@ assistant turns, without marks or blanks around it.
 
 Nulls: a null text or role is empty; a null conv_id is a conversation of its
 own; null turns come first.  Turns of equal number are ordered by role, then
-text; repeated rows are repeated turns.  A record of unknown layout gives one
-row with a null layout and no turn.
+text; repeated rows are repeated turns.
+
+A record may hold more than its mapping names: among the mappings whose paths
+it has all of, the one of most paths is taken, and ``n_unread`` counts the
+paths left aside.  Numbers and truth values become their JSON text, lists and
+``{"text": ...}`` parts are joined.  A record that is null, no JSON object, or
+of unknown layout gives one row with a null layout and no turn; ``accounted``
+counts them, so no record is lost unseen.
 """
 
 from __future__ import annotations
@@ -48,6 +54,7 @@ class Mapping:
 
 MAPPINGS = (
     Mapping("messages", ("messages[].role", "messages[].content"), "messages", (("$role", "content"),)),
+    Mapping("message parts", ("messages[].role", "messages[].content[].text"), "messages", (("$role", "content"),)),
     Mapping("dialogue", ("conversations[].from", "conversations[].value"), "conversations", (("$from", "value"),),
             (("human", "user"), ("gpt", "assistant"))),
     Mapping("nested", ("message.author.role", "message.content.parts[]"), None, (("$message.author.role", "message.content.parts"),)),
@@ -62,6 +69,10 @@ MAPPINGS = (
 )
 
 
+#: Fingerprints whose mapping a task remembers; any others are looked up again each time.
+LAYOUTS = 100_000
+
+
 def paths_of(value, path: str = "") -> set[str]:
     if isinstance(value, dict):
         return {p for k, v in value.items() for p in paths_of(v, f"{path}.{k}" if path else k)}
@@ -74,10 +85,23 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+def text_of(value) -> str:
+    """A JSON value as text: parts of a list are joined, of an object its ``text``."""
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, list):
+        return "".join(map(text_of, value))
+    if isinstance(value, dict):
+        return text_of(value.get("text"))
+    return json.dumps(value)
+
+
 def at_path(value, path: str):
     for step in path.split("."):
         value = value.get(step) if isinstance(value, dict) else None
-    return "".join(x or "" for x in value) if isinstance(value, list) else value
+    return value
 
 
 def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
@@ -85,37 +109,65 @@ def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     out = []
     for item in at_items(record, mapping.items):
         for role, path in mapping.turns:
-            role = at_path(item, role[1:]) if role.startswith("$") else role
-            out.append((names.get(role, role) or "", at_path(item, path) or ""))
+            role = text_of(at_path(item, role[1:])) if role.startswith("$") else role
+            out.append((names.get(role, role), text_of(at_path(item, path))))
     return out
 
 
 def at_items(record: dict, path: str | None) -> list:
-    return [record] if path is None else record.get(path) or []
+    items = [record] if path is None else record.get(path)
+    return items if isinstance(items, list) else []
+
+
+def mapping_for(paths: set[str], mappings: tuple[Mapping, ...]) -> Mapping | None:
+    """The first mapping of most paths among those whose paths are all there."""
+    fitting = [m for m in mappings if set(m.paths) <= paths]
+    return max(fitting, key=lambda m: len(m.paths), default=None)
+
+
+def loaded(raw: str | None):
+    """The JSON object of a record, or None."""
+    try:
+        record = json.loads(raw) if raw else None
+    except (ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
 
 
 def canonical(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(conv_id, turn, part, layout, role, text) of every turn of every record (conv_id, turn, record)."""
+    """(conv_id, turn, part, layout, role, text, n_unread) of every turn of every record (conv_id, turn, record)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {fingerprint(m.paths): m for m in mappings}
         for batch in batches:
-            at, part, layout, role, text = [], [], [], [], []
+            at, part, layout, role, text, unread = [], [], [], [], [], []
             for i, raw in enumerate(batch.column(2).to_pylist()):
-                record = json.loads(raw) if raw else None
-                mapping = known.get(fingerprint(paths_of(record))) if isinstance(record, dict) else None
-                for j, (r, t) in enumerate(turns_of(record, mapping) if mapping else [(None, None)]):
+                record = loaded(raw)
+                paths = paths_of(record) if record is not None else set()
+                key = fingerprint(paths)
+                if key not in known and len(known) < LAYOUTS:
+                    known[key] = mapping_for(paths, mappings)
+                mapping = known[key] if key in known else mapping_for(paths, mappings)
+                turns = turns_of(record, mapping) if record is not None and mapping else []
+                for j, (r, t) in enumerate(turns or [(None, None)]):
                     at.append(i)
                     part.append(j)
-                    layout.append(mapping and mapping.name)
+                    layout.append(mapping.name if turns else None)
                     role.append(r)
                     text.append(t)
+                    unread.append(len(paths - set(mapping.paths)) if turns else len(paths))
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(part, pa.int32()),
-                                              *(pa.array(x, pa.string()) for x in (layout, role, text))],
-                                             ["conv_id", "turn", "part", "layout", "role", "text"])
+                                              *(pa.array(x, pa.string()) for x in (layout, role, text)), pa.array(unread, pa.int64())],
+                                             ["conv_id", "turn", "part", "layout", "role", "text", "n_unread"])
 
     return records.select("conv_id", "turn", "record").mapInArrow(
-        run, "conv_id bigint, turn bigint, part int, layout string, role string, text string")
+        run, "conv_id bigint, turn bigint, part int, layout string, role string, text string, n_unread bigint")
+
+
+def accounted(turns: DataFrame) -> DataFrame:
+    """(layout, n_records, n_turns, n_unread) over the rows of ``canonical``; the null layout's records were not read."""
+    return turns.groupBy("layout").agg(F.count_if(F.col("part") == 0).alias("n_records"), F.count("layout").alias("n_turns"),
+                                       F.sum(F.when(F.col("part") == 0, F.col("n_unread")).otherwise(0)).alias("n_unread"))
 
 
 CONTROL = r"([\[<])(\\{})(/?INST\]|ASST\]|/?SYS\]|/?ROLE\]|/TURN\]|/?s>|\|[a-z_]{{1,40}}\|>)"

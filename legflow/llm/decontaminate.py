@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legflow.llm import words as W
-from legflow.llm.shared import cut, extended, text_key
+from legflow.llm.shared import Sent, cut, extended, text_key
 
 WINDOW = 13
 SHINGLE = 3
@@ -91,7 +91,7 @@ def found(values: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> tuple[np.nd
 
 def shingle_counts(docs: DataFrame, keys_by_length: list) -> dict[int, np.ndarray]:
     """How often each benchmark shingle occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(keys_by_length)
+    shared = Sent(docs.sparkSession, keys_by_length)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = shared.value
@@ -214,7 +214,7 @@ def block_index(docs: DataFrame, items: list, size: int, shingle: int):
     shingles = shingles_of(win, shingle)
     counts = shingle_counts(docs, [(k, np.unique(v)) for k, v in shingles]) if len(win.start) else {k: None for k, _ in shingles}
     index = prefixes(win, shingles, counts, shingle) if len(win.start) else []
-    return docs.sparkSession.sparkContext.broadcast((index, win, [i for i, _ in items]))
+    return Sent(docs.sparkSession, (index, win, [i for i, _ in items]))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,15 @@ def training_ids(labels: DataFrame, label: str, parts: int, held: int, most: int
     return labels.sparkSession.createDataFrame([(r.doc_id, r.y) for r in rows], "doc_id bigint, y int")
 
 
+def one_row(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(text, y): of the rows that share an id, the text of least digest, so a sample bounded by ids is bounded by rows too.
+
+    A map task passes on one row an id, however many share it.
+    """
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("text"), F.md5("text")))
+    return rows.withColumn("nth", nth).filter("nth = 1").select("text", "y")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> tuple[float, float]:
     """(slope, offset) of P(y = 1 | x) by Newton's method with a small ridge on the slope."""
     a, b = 0.0, float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legflow.llm import words as W
+from legflow.llm.shared import Sent
 
 GRAM = 3
 LEAST = 0.8
@@ -297,7 +298,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
     ``licenses``: names found, sorted; ``found``: name:start:end:matched of
     each place found, in word numbers, by start.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(index_of(TEMPLATES if templates is None else templates))
+    sent = Sent(docs.sparkSession, index_of(TEMPLATES if templates is None else templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value

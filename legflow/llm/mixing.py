@@ -53,8 +53,8 @@ def weight_of(name: Column, weights: dict[str, int], other: int) -> Column:
 def shared_out(children: DataFrame, parent: list[str]) -> DataFrame:
     """``children`` (parent keys, w, cap, budget of the parent) with ``grant``, the child's budget."""
     by = [F.col(c) for c in parent] or [F.lit(0)]
-    # capacity per weight as an exact comparison: cap * (10**9) div w keeps the order of near ties by cap, then name
-    order = Window.partitionBy(*by).orderBy(F.expr("cast(cap as decimal(38, 0)) * 1000000000 div w"), "cap", "child")
+    # capacity per weight to 10**-9, in two numbers that both fit a bigint: whole words per weight, then the rest's billionths
+    order = Window.partitionBy(*by).orderBy(F.expr("cap div w"), F.expr("(cap % w) * 1000000000 div w"), "cap", "child")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = (children.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
             .withColumn("w_rest", F.sum("w").over(Window.partitionBy(*by)) - F.coalesce(F.sum("w").over(before), F.lit(0)))

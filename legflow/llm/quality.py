@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legflow.llm import words as W
-from legflow.llm.labelled import fold, logistic, squash, training_ids
-from legflow.llm.shared import cut
+from legflow.llm.labelled import fold, logistic, one_row, squash, training_ids
+from legflow.llm.shared import Sent, cut
 
 PARTS, HELD = 3, 1
 SAMPLE = 10_000
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     others = (text.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold("doc_id", PARTS) != HELD))
               .orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(SAMPLE).collect())
     wanted = labelled.unionByName(spark.createDataFrame([(i, 2) for i in sorted({r.doc_id for r in others})], "doc_id bigint, y int"))
-    x, y = features(cut(text.join(F.broadcast(wanted), "doc_id").select("text", "y")))
+    x, y = features(cut(one_row(text.join(F.broadcast(wanted), "doc_id"), ["doc_id", "y"])))
     if not (y == 1).any() or not (y == 2).any():
         return prior
     centre, scale = x[y == 2].mean(axis=0), x[y == 2].std(axis=0) + 1e-3
@@ -204,7 +204,7 @@ def values(model: Model, x: np.ndarray) -> np.ndarray:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``; a null id is held out."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    sent = Sent(docs.sparkSession, fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -100,7 +100,6 @@ def exits(p: int, codes: tuple[str, ...]) -> list[int]:
     return [q for q in STATES if q == p or q in (2, 3) or (q == 1 and system)]
 
 
-@lru_cache(maxsize=1 << 14)
 def solved(codes: tuple[str, ...], whole: bool) -> tuple:
     """(p, q, cost, audit) of a block of lines for every entry state p and exit state q; of a ``whole`` conversation the goal's."""
     edges: dict = {}
@@ -179,12 +178,13 @@ def blocks(turns: DataFrame) -> DataFrame:
         part = TaskContext.get().partitionId()
         pair = pa.struct([("p", pa.int32()), ("q", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())])
         now, nth, first, kind = None, 0, True, None
+        solve = lru_cache(maxsize=1 << 14)(solved)  # most conversations read like others
         uids, codes, rows = [], [], []
 
         def close(ended: bool):
             # inside a range a conversation is whole; the first and the last of a range may go on in the next
             initials = [c[:-1] for c in codes]
-            pairs = solved(tuple(codes), ended and not first and nth == 0)
+            pairs = solve(tuple(codes), ended and not first and nth == 0)
             rows.append((now[0], part, nth, initials[0], initials[-1], sum(a + b not in LEGAL for a, b in zip(initials, initials[1:])),
                          *(sum(c[-1] == x for c in codes) for x in "bdt"), list(uids), list(codes),
                          [dict(zip(("p", "q", "cost", "audit"), x)) for x in pairs]))

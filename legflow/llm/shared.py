@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,20 @@ def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0
 
 
+class Sent:
+    """A value on its way to tasks: a broadcast of its pickle by value, so executors need not import the package to open it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self.bytes.value)
+
+    def unpersist(self) -> None:
+        self.bytes.unpersist()
+
+
 BITMAP_BITS = 1 << 25
 
 

@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legflow.llm import words as W
-from legflow.llm.labelled import fold, logistic, squash, training_ids
-from legflow.llm.shared import bitmap_has, cut, extended, hash_bitmap
+from legflow.llm.labelled import fold, logistic, one_row, squash, training_ids
+from legflow.llm.shared import Sent, bitmap_has, cut, extended, hash_bitmap
 
 PARTS, HELD = 5, 0
 #: Labelled documents of each class that the fit may read.
@@ -124,9 +124,10 @@ def word_counts(docs: DataFrame, wanted=None) -> DataFrame:
     A text counts a word once, however often it repeats it.  Rows with a null
     word hold the class's sum over all words.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    sent = Sent(docs.sparkSession, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
         for batch in batches:
             y = batch.column(1).to_numpy()
             seen: dict[int, list] = {}
@@ -140,8 +141,8 @@ def word_counts(docs: DataFrame, wanted=None) -> DataFrame:
                 h, of = h[first], y[text[first]]
                 for c, n in zip(*np.unique(of, return_counts=True)):
                     total[int(c)] = total.get(int(c), 0) + int(n)
-                if sent.value is not None:
-                    may = bitmap_has(sent.value, h.view(np.int64))
+                if bitmap is not None:
+                    may = bitmap_has(bitmap, h.view(np.int64))
                     h, of = h[may], of[may]
                 for c in np.unique(of):
                     seen.setdefault(int(c), []).append(h[of == c])
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -1.0)
     ids = training_ids(labels, "toxic", PARTS, HELD, SAMPLE)
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = cut(text.join(F.broadcast(ids), "doc_id").select("text", "y"))
+    sample = cut(one_row(text.join(F.broadcast(ids), "doc_id"), ["doc_id", "y"]))
     counts = cut(word_counts(sample).groupBy("word").pivot("y", [0, 1]).agg(F.sum("n")).na.fill(0, ["0", "1"])
                  .select("word", F.col("0").alias("clean"), F.col("1").alias("toxic")))
     size = counts.filter("word is null").head()
@@ -232,11 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def calibrate(model: Model, sample: DataFrame) -> Model:
     """ln K from the untoxic sample, then the logistic curve; what is collected is a few numbers per sampled row."""
-    sent = sample.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(sample.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
         for batch in batches:
-            rows = [(n, [s for _, _, s in found]) for _, n, found in scan(batch.column(0), sent.value)]
+            rows = [(n, [s for _, _, s in found]) for _, n, found in scan(batch.column(0), m)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.float64()))],
                 ["y", "n", "s"])
@@ -258,7 +260,7 @@ COLUMNS = "score double, predicted int, n_passages bigint, passages string"
 
 def score(docs: DataFrame, model: Model, prefix: str = "", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with score, predicted, n_passages and passages (significant word ranges, start:end) appended."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     kept = docs.columns if keep is None else keep
     names = [f"{prefix}{c.split()[0]}" for c in COLUMNS.split(", ")]
     at = {c: i for i, c in enumerate(docs.columns)}

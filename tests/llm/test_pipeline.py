@@ -125,7 +125,7 @@ def test_queries_are_registered():
 
     q, s = entry.queries(), entry.oracle_sql()
     assert [n for n in q if n.startswith("op")] == [n for n in queries.QUERIES if n.startswith("op")] and "pipeline" in q
-    assert sorted(int(n[2:].split("_")[0]) for n in q if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q if n.startswith("op")) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(s) and len(P.STAGES) == 5 and P.ORACLE_SQL is None
 
 

@@ -325,6 +325,69 @@ def test_words_with_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
     assert where.tolist() == [0, 1, 4]
 
 
+# ------------------------------------------------------------------- large budgets, odd records, shared ids
+
+def filled(children, budget):
+    """Integer water-filling of (name, cap, weight) by the definition: fullest first, the rest in proportion."""
+    order = sorted(children, key=lambda c: (c[1] * 10**9 // c[2], c[1], c[0]))
+    left, weight, out = budget, sum(c[2] for c in order), {}
+    for i, (name, cap, w) in enumerate(order):
+        if left > 0 and cap * weight <= left * w:
+            out[name] = cap
+            left, weight = left - cap, weight - w
+        else:
+            return out | {n: max(left, 0) * x // weight for n, _, x in order[i:]}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_budgets_of_huge_leaves(spark, seed):
+    """Leaves of 1e3 to 1e13 words and weights of 1 to 1,000, against plain big integers."""
+    from legflow.llm import mixing
+
+    rng = random.Random(seed)
+    names = {level: [f"{level}{i}" for i in range(3)] for level in mixing.LEVELS}
+    weights = {level: {n: rng.randint(1, 1000) for n in ns} for level, ns in names.items()}
+    leaves = [(d, g, s, int(10 ** rng.uniform(3, 13))) for d in names["domain"] for g in names["lang"] for s in names["source"]]
+    epochs, budget = 3, sum(x[3] for x in leaves) * rng.choice((1, 2, 5)) // 2
+    cap = lambda *key: epochs * sum(x[3] for x in leaves if x[:len(key)] == key)
+    want, level = {}, {(): min(budget, cap())}
+    for name in mixing.LEVELS:
+        level = {(*key, c): g for key, b in level.items()
+                 for c, g in filled([(c, cap(*key, c), weights[name][c]) for c in names[name]], b).items()}
+    want = level
+    frame = spark.createDataFrame(leaves, "domain string, lang string, source string, words bigint")
+    got = {(r.domain, r.lang, r.source): r.grant for r in mixing.plan(frame, F.lit(budget).cast("bigint"), epochs, weights).collect()}
+    assert got == want and all(v <= epochs * x[3] for x in leaves for v in [got[x[:3]]])
+
+
+def test_chat_records_of_unknown_and_malformed_layouts(spark):
+    from legflow.llm import chat
+
+    texts = ['{"prompt":"p","completion":"c","id":7}', '{"messages":[{"role":"user","content":"x","name":"n"},{"role":"assistant","content":[{"type":"text","text":"y"},"z"]}]}',
+             '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}', '{"prompt":3}', '{"prompt":true,"completion":null}',
+             '{"prompt', "[1,2]", "3", None, "", '{"other":"o"}', '{"messages":[]}', '{"messages":{"role":"user","content":"q"}}', "{" + '"a":{' * 3000]
+    rows = chat.canonical(spark.createDataFrame(list(enumerate(texts)), "conv_id bigint, record string").withColumn("turn", F.lit(0).cast("bigint")))
+    got = {}
+    for r in rows.orderBy("conv_id", "part").collect():
+        got.setdefault(r.conv_id, []).append((r.layout, r.role, r.text, r.n_unread))
+    assert got[0] == [("pair", "user", "p", 1), ("pair", "assistant", "c", 1)]
+    assert [x[1:3] for x in got[1]] == [("user", "x"), ("assistant", "yz")] and got[2] == [("message parts", "user", "ab", 1)]
+    assert got[3] == [("prompt", "user", "3", 0)] and got[4] == [("pair", "user", "true", 0), ("pair", "assistant", "", 0)]
+    assert all(len(got[i]) == 1 and got[i][0][:3] == (None, None, None) for i in range(5, 14)) and len(got) == 14
+    counts = {r.layout: (r.n_records, r.n_turns) for r in chat.accounted(rows).collect()}
+    assert counts == {"pair": (2, 4), "messages": (1, 2), "message parts": (1, 1), "prompt": (1, 1), None: (9, 0)}
+    assert chat.digests(chat.formatted(rows)).count() == 5
+
+
+def test_samples_are_bounded_by_rows(spark):
+    from legflow.llm.labelled import one_row
+
+    rows = spark.createDataFrame([(1, f"t{i % 7}", 1) for i in range(500)] + [(2, None, 0), (2, "x", 0)], "doc_id bigint, text string, y int")
+    got = one_row(rows, ["doc_id", "y"])
+    assert got.count() == 2 and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, one_row(rows.repartition(5), ["doc_id", "y"]).collect()), key=repr)
+
+
 # ------------------------------------------------------------------- executors without the package
 
 def test_operators_run_where_executors_lack_the_package(tmp_path):
