@@ -227,14 +227,14 @@ def index_of(templates: dict[str, str]) -> Index:
     return Index(names, words, bags, key[order], np.array(template, np.int64)[order], np.array(place, np.int64)[order])
 
 
-def in_place(words: np.ndarray, begin: int, template: list) -> tuple[int, int]:
-    """(first word, words) of the longest stretch of a text that equals the template put at ``begin``."""
-    low, high = max(begin, 0), min(begin + len(template), len(words))
-    same = words[low:high] == np.array(template[low - begin:high - begin], np.uint64)
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
-    size = edge[1::2] - edge[::2]
-    longest = int(size.argmax())
-    return low + int(edge[2 * longest]), int(size[longest])
+def unbroken(pairs: list[tuple[int, int]]) -> tuple[int, int]:
+    """(first pair, pairs) of the longest stretch of an alignment without words left out on either side."""
+    best, first = (0, 0), 0
+    for i in range(1, len(pairs) + 1):
+        if i == len(pairs) or pairs[i] != (pairs[i - 1][0] + 1, pairs[i - 1][1] + 1):
+            best = max(best, (first, i - first), key=lambda x: x[1])
+            first = i
+    return best
 
 
 def may_reach(words: np.ndarray, bag: tuple, least: float) -> bool:
@@ -257,8 +257,12 @@ def found_in(words: np.ndarray, hits: list[tuple[int, int]], index: Index, least
         while end + 1 < len(hits) and hits[end + 1][0] == t and hits[end + 1][1] - begin <= slack:
             end += 1
         if n <= NOTICE:
-            first, size = in_place(words, begin, index.words[t])
-            out.append((size / n, t, first, first + size, size))
+            # a notice must stand whole: aligned where its runs put it, and counted as far as nothing is left out or put in
+            low = max(0, begin)
+            pairs = aligned(index.words[t], words[low:max(0, begin + n)].tolist())
+            first, size = unbroken(pairs)
+            if size:
+                out.append((size / n, t, low + pairs[first][1], low + pairs[first][1] + size, size))
             at = end + 1
             continue
         # the place most runs point at, the range they point at, then with some room: a copy right beside it would hide the unique words
