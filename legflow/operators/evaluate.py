@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from legflow.functions.nulls import uniform
 from legflow.operators.derive import absolute_error, percentage_error
 from legflow.operators.report import PERC_ERROR_EDGES
 
@@ -122,37 +125,70 @@ def feature_importances(spark, model, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def permuted(df: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
-    """``df`` with the values of ``column`` dealt anew: rows and donors are numbered densely in two hash orders."""
+def bijections(n: int, count: int, seed: int = 0) -> list[tuple[int, int]]:
+    """(a, b) of ``count`` maps place -> (a place + b) mod n that are one to one: a has no factor in common with n."""
+    out = []
+    for i in range(count):
+        a = (0x9E3779B1 * (2 * (seed + i) + 1) + 0x85EBCA6B) % max(n, 1)
+        while math.gcd(a, max(n, 1)) != 1:
+            a += 1
+        out.append((a, (0xC2B2AE35 * (seed + i + 1)) % max(n, 1)))
+    return out
+
+
+def permuted_columns(df: DataFrame, columns: Sequence[str], key: str, seed: int = 0, arithmetic: bool = False) -> DataFrame:
+    """``df`` with ``__permuted_<column>``: for each column the values dealt anew, all in one exchange.
+
+    Rows are numbered once, in a hash order of their key.  A column's donor at
+    a place is an arithmetic bijection of it, so every row sends its value
+    straight to the place that takes it.  Rows that share a key are ordered by
+    their values, so the result does not depend on partitioning.
+    """
     from legflow.operators.clean import with_dense_key
+    from legflow.session import written
+
+    u = uniform(key, seed) if arithmetic else F.xxhash64(key, F.lit(seed))
+    rows = df.withColumn("__u", u)
+    placed = written(with_dense_key(rows, ["__u", key, *[c for c in columns if c != key]], "__place").drop("__u"), "placed")
+    n = placed.count()
+    maps = bijections(n, len(columns), seed)
+    # place p takes the value of place (a p + b) mod n, so place q gives its value to (q - b) / a mod n
+    gives = []
+    for i, (c, (a, b)) in enumerate(zip(columns, maps)):
+        back = pow(a, -1, n) if n > 1 else 0
+        to = F.expr(f"cast(pmod((cast(__place as decimal(19, 0)) - {b}) * cast({back} as decimal(18, 0)), cast({max(n, 1)} as decimal(18, 0))) as bigint)")
+        gives.append(F.struct(to.alias("place"), F.lit(i).alias("i"), F.col(c).cast("double").alias("v")))
+    given = placed.select(F.explode(F.array(*gives)).alias("g")).select("g.*").groupBy("place").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"__permuted_{c}") for i, c in enumerate(columns)])
+    return placed.join(given, placed["__place"] == given["place"]).drop("__place", "place")
 
-    # equal keys are ordered by value, so rows that share a key do not depend on partitioning
-    pos = with_dense_key(df.withColumn("__h1", F.xxhash64(key, F.lit(seed))), ["__h1", key, column], "__place")
-    donor = with_dense_key(df.select(key, column).withColumn("__h2", F.xxhash64(key, F.lit(seed + 1))),
-                           ["__h2", key, column], "__place").select("__place", F.col(column).alias("__new"))
-    return pos.join(donor, "__place").withColumn(column, F.col("__new")).drop("__new", "__place", "__h1")
+
+def permuted(df: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
+    """``df`` with the values of ``column`` dealt anew."""
+    kind = df.schema[column].dataType
+    out = permuted_columns(df, [column], key, seed)
+    return out.withColumn(column, F.col(f"__permuted_{column}").cast(kind)).select(df.columns)
 
 
 def permutation_importance(pred_fn, df: DataFrame, features: Sequence[str], key: str, label: str = "label",
-                           seed: int = 0) -> DataFrame:
+                           seed: int = 0, rounded: bool = True) -> DataFrame:
     """Drop in R2 when one feature column is permuted (one round, seeded),
-    normalised by the sum, rounded to 3, only > 0, descending.  Rows are numbered
-    once; each feature's donors are numbered in a hash order of their own."""
-    from legflow.operators.clean import with_dense_key
-
-    def r2(d):
-        s = pred_fn(d).agg(F.sum((F.col(label) - F.col("prediction")) ** 2).alias("sse"),
-                           (F.var_pop(label) * F.count(F.lit(1))).alias("sst")).first()
-        return 1 - s["sse"] / s["sst"] if s["sst"] else 0.0
-
-    base = r2(df)
-    pos = with_dense_key(df.withColumn("__h1", F.xxhash64(key, F.lit(seed))), ["__h1", key], "__place").drop("__h1")
-    drops = []
-    for i, f in enumerate(features):
-        donor = with_dense_key(df.select(key, f).withColumn("__h2", F.xxhash64(key, F.lit(seed + i + 1))),
-                               ["__h2", key, f], "__place").select("__place", F.col(f).alias("__new"))
-        shuffled = pos.join(donor, "__place").withColumn(f, F.col("__new")).drop("__new", "__place")
-        drops.append((f, base - r2(shuffled)))
+    normalised by the sum, rounded to 3, only > 0, descending (``rounded`` False:
+    the drops themselves).  Rows are numbered and dealt once for all features; the model then scores them as a map."""
+    from legflow.session import written
+
+    x = written(permuted_columns(df, features, key, seed), "permuted")
+
+    def errors(d, name):
+        return pred_fn(d).agg(F.sum((F.col(label) - F.col("prediction")) ** 2).alias("sse"),
+                              (F.var_pop(label) * F.count(F.lit(1))).alias("sst")).select(F.lit(name).alias("feature"), "sse", "sst")
+
+    # one job: the rows as they are, and once for each feature with its values dealt anew
+    parts = [errors(x, None)] + [errors(x.withColumn(f, F.col(f"__permuted_{f}")), f) for f in features]
+    got = {r["feature"]: (1 - r["sse"] / r["sst"] if r["sst"] else 0.0) for r in functools.reduce(DataFrame.unionByName, parts).collect()}
+    drops = [(f, got[None] - got[f]) for f in features]
+    if not rounded:
+        return df.sparkSession.createDataFrame([(f, float(d)) for f, d in drops], "feature string, importance double")
     total = sum(d for _, d in drops) or 1.0
     rows = [(f, float(round(d / total, 3))) for f, d in drops if round(d / total, 3) > 0]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(

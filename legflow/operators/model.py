@@ -13,12 +13,14 @@ import os
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legflow.functions.nulls import hash_uniform, uniform
+from legflow.operators.boost import EnsembleModel, Growth, StackedModel, boosted, forest
+from legflow.operators.encode import Fitted
 from legflow.operators.moments import LINEAR, LinearFit, fit_branches, fold_scores, moments, total, without
 
 # ------------------------------------------------------------------ R1..R4: splits and folds
@@ -117,40 +119,46 @@ def elastic_net(df: DataFrame, alpha: float = 1e-4, l1_ratio: float = 0.9, label
                             elasticNetParam=(alpha * l1_ratio) / reg, standardization=False, maxIter=1000, tol=1e-10)
 
 
-def boosted_trees(rounds: int = 500, label: str = "label", features: str = "features", seed: int = 0,
-                  rate: float = 0.05, subset: str = "sqrt"):
-    """500 x depth 4, rate 0.05, sqrt features per split."""
-    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=4, stepSize=rate,
-                        featureSubsetStrategy=subset, seed=seed)
+def boosted_trees(df: DataFrame, features: Sequence[str], rounds: int = 500, label: str = "label", seed: int = 0, rate: float = 0.05,
+                  subset: str = "sqrt", key: str | None = None, folder: str | None = None) -> EnsembleModel:
+    """500 x depth 4, rate 0.05, sqrt features per split, from the label's mean."""
+    if subset not in ("all", "sqrt"):
+        raise ValueError(f"unknown feature subset {subset!r}")
+    drawn = max(1, int(math.sqrt(len(features)))) if subset == "sqrt" else None
+    return boosted(df, features, label, rounds, rate, Growth(node_columns=drawn, seed=seed), None, key, folder)
 
 
-def regularised_boosted_trees(rounds: int = 500, label: str = "label", features: str = "features", seed: int = 0,
-                              rate: float = 0.1):
-    """500 rounds, rate 0.1, depth 4, row sample 0.8, 0.7 of the features (per split;
-    MLlib has no leaf penalties)."""
-    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=4, stepSize=rate,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.7", seed=seed)
+def regularised_boosted_trees(df: DataFrame, features: Sequence[str], rounds: int = 500, label: str = "label", seed: int = 0,
+                              rate: float = 0.1, reg_alpha: float = 1e-3, reg_lambda: float = 0.1, row_share: float = 0.8,
+                              tree_columns: float = 0.7, key: str | None = None, folder: str | None = None) -> EnsembleModel:
+    """500 rounds, rate 0.1, depth 4, row sample 0.8, 0.7 of the columns drawn for each tree, leaf weights with
+    L1 0.001 and L2 0.1, from one half."""
+    growth = Growth(l1=reg_alpha, l2=reg_lambda, row_share=row_share, tree_columns=tree_columns, seed=seed)
+    return boosted(df, features, label, rounds, rate, growth, 0.5, key, folder)
 
 
-def random_forest(trees: int = 500, label: str = "label", features: str = "features", seed: int = 0):
-    """500 trees of depth 4, every feature considered at each split."""
-    return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=4,
-                                 featureSubsetStrategy="all", seed=seed)
+def random_forest(df: DataFrame, features: Sequence[str], trees: int = 500, label: str = "label", seed: int = 0,
+                  key: str | None = None) -> EnsembleModel:
+    """500 trees of depth 4 on bootstrap samples, every feature considered at each split."""
+    return forest(df, features, label, trees, 4, seed, key)
 
 
 # ------------------------------------------------------------------ R11, R14: pipelines by name
 
-def _factories(rounds: int, params: dict | None = None) -> dict[str, Callable[[DataFrame], object]]:
+def _factories(params: dict | None = None) -> dict[str, Callable[[DataFrame], object]]:
+    """MLlib estimators of the linear models."""
     p = {k: v for k, v in (params or {}).items() if k in ("alpha", "l1_ratio")}
+    return {"ridge": lambda d: ridge(d, **p), "lasso": lambda d: lasso(d, **p), "elastic": lambda d: elastic_net(d, **p)}
+
+
+def _trees(name: str, df: DataFrame, cols: Sequence[str], rounds: int, params: dict | None, label: str, key: str | None,
+           folder: str | None) -> EnsembleModel:
     g = {k: v for k, v in (params or {}).items() if k in ("rate", "subset")}
-    return {
-        "ridge": lambda d: ridge(d, **p),
-        "lasso": lambda d: lasso(d, **p),
-        "elastic": lambda d: elastic_net(d, **p),
-        "gb": lambda d: boosted_trees(rounds, **g),
-        "xgb": lambda d: regularised_boosted_trees(rounds, **{k: v for k, v in g.items() if k == "rate"}),
-        "rf": lambda d: random_forest(rounds),
-    }
+    if name == "gb":
+        return boosted_trees(df, cols, rounds, label, key=key, folder=folder, **g)
+    if name == "xgb":
+        return regularised_boosted_trees(df, cols, rounds, label, key=key, folder=folder, **{k: v for k, v in g.items() if k == "rate"})
+    return random_forest(df, cols, rounds, label, key=key)
 
 
 MODEL_NAMES = ["ridge", "lasso", "elastic", "gb", "xgb", "rf", "stacking"]
@@ -176,11 +184,11 @@ def chain_of(name: str, n_features: int) -> dict:
 
 
 def fit_named(train: DataFrame, name: str, features: Sequence[str], categorical: Sequence[str] = (),
-              label: str = "label", rounds: int = 500, key: str | None = None) -> FittedChain:
+              label: str = "label", rounds: int = 500, key: str | None = None, folder: str | None = None) -> FittedChain:
     """The named model with its own chain and parameters."""
     p = chain_of(name, len(features) + len(categorical))
     return fit_chain(train, name, features, categorical, label, scaler=p.get("scaler"), pca_k=p.get("pca_k"),
-                     whiten=p.get("whiten", False), chi2_k=p.get("chi2_k"), rounds=rounds, params=p, key=key)
+                     whiten=p.get("whiten", False), chi2_k=p.get("chi2_k"), rounds=rounds, params=p, key=key, folder=folder)
 
 
 class FittedChain:
@@ -205,12 +213,15 @@ class FittedChain:
         import json
 
         parts = {"encoder": self.encoder, "scaler": self.scaler, "pca": self.pca}
-        self.model.write().overwrite().save(os.path.join(path, "model"))
+        if isinstance(self.model, Fitted):
+            self.model.save(os.path.join(path, "model"))
+        else:
+            self.model.write().overwrite().save(os.path.join(path, "model"))
         for name, part in parts.items():
             if part is not None:
                 part.save(os.path.join(path, name))
         manifest = {"parts": [n for n, p in parts.items() if p is not None], "columns": list(self.assembler_cols),
-                    "label": self.label}
+                    "label": self.label, "model": getattr(self.model, "kind", "pipeline")}
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1) \
             .write.mode("overwrite").parquet(os.path.join(path, "manifest"))
@@ -219,14 +230,15 @@ class FittedChain:
 def fit_chain(train: DataFrame, name: str, features: Sequence[str], categorical: Sequence[str] = (),
               label: str = "label", scaler: str | None = "standard", pca_k: int | None = None,
               rounds: int = 500, params: dict | None = None, whiten: bool = False, chi2_k: int | None = None,
-              key: str | None = None) -> FittedChain:
+              key: str | None = None, folder: str | None = None) -> FittedChain:
     """Fit a model chain: leave-one-out codes, scaler, PCA (optionally
     whitened) or the chi-square best columns, model; unknown names raise.
-    ``key`` names the row key that stacking deals its folds by."""
+    ``key`` names the row key that stacking deals its folds by and trees draw their rows by; a boosted
+    model saves its progress to ``folder`` and resumes there."""
     from legflow.operators.encode import CenteredPCA, LeaveOneOutEncoder, MinMaxScaler, RobustScaler, StandardScaler
 
-    factories = _factories(rounds, params)
-    if name not in factories and name != "stacking":
+    factories = _factories(params)
+    if name not in MODEL_NAMES:
         raise ValueError(f"unknown model {name!r}; expected one of {MODEL_NAMES}")
     enc = None
     x = train
@@ -246,12 +258,13 @@ def fit_chain(train: DataFrame, name: str, features: Sequence[str], categorical:
         from legflow.operators.select import select_k_best_chi2
 
         cols = select_k_best_chi2(x, cols, chi2_k, label)
-    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     if name == "stacking":
-        est = StackingRegressor(rounds=rounds, label=label, key=key)
-        model = est.fit_pipeline(assembler, x)
-    else:
+        model = StackingRegressor(rounds=rounds, label=label, key=key).fit(x, cols, folder)
+    elif name in factories:
+        assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
         model = Pipeline(stages=[assembler, factories[name](x)]).fit(x)
+    else:
+        model = _trees(name, x, cols, rounds, params, label, key, folder)
     return FittedChain(enc, sc, pca, cols, model, label)
 
 
@@ -266,36 +279,31 @@ class StackingRegressor:
     def __init__(self, rounds: int = 500, label: str = "label", folds: int = 5, key: str | None = None):
         self.rounds, self.label, self.folds, self.key = rounds, label, folds, key
 
-    def fit_pipeline(self, assembler: VectorAssembler, df: DataFrame) -> PipelineModel:
-        from legflow.session import ensure_checkpoint_dir
+    def fit(self, df: DataFrame, cols: Sequence[str], folder: str | None = None) -> StackedModel:
+        from legflow.session import written
 
-        ensure_checkpoint_dir(df.sparkSession)
-        by = [self.key] if self.key else [*assembler.getInputCols(), self.label]
-        x = df.withColumn("__fold", F.pmod(F.xxhash64(*by), F.lit(self.folds)))
-        x = x.select(*assembler.getInputCols(), self.label, "__fold").checkpoint()
-        cols = assembler.getInputCols()
+        by = [self.key] if self.key else [*cols, self.label]
+        x = df.withColumn("__fold", F.pmod(F.xxhash64(*by), F.lit(self.folds))).withColumn("__row", F.xxhash64(*by))
+        x = written(x.select(*cols, self.label, "__fold", "__row"), "stacked")
         bases = {"ridge": dict(alpha=0.5), "lasso": dict(alpha=1e-6), "elastic": dict(alpha=1e-4, l1_ratio=0.9)}
         # one scan: a fold's bases come from the total's moments without its own
         parts = moments(x, [*cols, self.label], "__fold")
 
-        def fitted(m) -> list:
+        def fitted(m) -> list[LinearFit]:
             return [fit_branches(m, n, cols, self.label, [p])[0] for n, p in bases.items()]
 
         fits = {k: fitted(without(parts, k)) for k in sorted(parts)} if len(parts) > 1 else {k: fitted(parts[k]) for k in parts}
         # a held-out row takes its fold's coefficients: no joins and no unions
         oof = x
         for i, n in enumerate(bases):
-            pred = None
+            pred = F.lit(None).cast("double")
             for k, fs in fits.items():
                 here = sum([F.col(c).cast("double") * F.lit(float(w)) for c, w in zip(cols, fs[i].coefficients)], F.lit(float(fs[i].intercept)))
-                pred = F.when(F.col("__fold") == k, here) if pred is None else pred.when(F.col("__fold") == k, here)
+                pred = F.when(F.col("__fold") == k, here).otherwise(pred)
             oof = oof.withColumn(f"p_{n}", pred)
-        to_meta = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="__meta")
-        meta = boosted_trees(self.rounds, self.label, "__meta").fit(to_meta.transform(oof))
-        full = fitted(total([parts[k] for k in sorted(parts)]))
-        scored = [SQLTransformer(statement=f"SELECT *, {' + '.join([repr(float(f.intercept)) + 'D', *(f'CAST(`{c}` AS DOUBLE) * {float(w)!r}D' for c, w in zip(cols, f.coefficients))])} "
-                                           f"AS p_{n} FROM __THIS__") for n, f in zip(bases, full)]
-        return PipelineModel(stages=[assembler, *scored, to_meta, meta])
+        meta = boosted_trees(oof, [f"p_{n}" for n in bases], self.rounds, self.label, key="__row", folder=folder)
+        full = fitted(total([parts[k] for k in sorted(parts)])) if parts else []
+        return StackedModel({n: (list(cols), [float(w) for w in f.coefficients], f.intercept) for n, f in zip(bases, full)}, meta)
 
 
 # ------------------------------------------------------------------ R13, R15..R17: CV and tuning

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legflow.functions.nulls import uniform, uniform_sql
-from legflow.operators import encode, impute, model, moments, select
+from legflow.operators import encode, evaluate, impute, model, moments, select
 from legflow.plans.catalog import register
 from legflow.sources import fixtures as fx
 
@@ -349,3 +349,24 @@ def m11_fixed(spark, sf):
     imp.scaler = encode.ScalerModel(_R_COLS, dict(zip(_R_COLS, _FIXED["center"])), dict(zip(_R_COLS, _FIXED["scale"])))
     imp.pca = encode.PCAModel(_R_COLS, 1, False, "pc", dict.fromkeys(_R_COLS, 0.0), [_FIXED["component"]], [1.0], [1.0], 1)
     return imp.transform(x.withColumns(gaps)).select("k", *[F.round(c, 6).alias(c) for c in _R_COLS])
+
+
+# ------------------------------------------------------------------ R25
+
+_MAPS = "".join(f""",
+c{i} AS (SELECT n, (SELECT min(a) FROM range(({(0x9E3779B1 * (2 * (5 + i) + 1) + 0x85EBCA6B)} % n), ({(0x9E3779B1 * (2 * (5 + i) + 1) + 0x85EBCA6B)} % n) + 1000) r(a) WHERE gcd(a, n) = 1) AS a,
+                {0xC2B2AE35 * (5 + i + 1)} % n AS b FROM (SELECT count(*) AS n FROM p))""" for i in range(2))
+
+
+@register("r25_permuted_values", f"""
+WITH p AS (SELECT o_orderkey, o_totalprice, o_custkey,
+                  row_number() OVER (ORDER BY {uniform_sql('o_orderkey', 5)}, o_orderkey) - 1 AS place FROM orders){_MAPS}
+SELECT p.o_orderkey, CAST(x.o_totalprice AS DOUBLE) AS price, CAST(y.o_custkey AS DOUBLE) AS customer
+FROM p, c0, c1, p x, p y
+WHERE x.place = (CAST(c0.a AS HUGEINT) * p.place + c0.b) % c0.n AND y.place = (CAST(c1.a AS HUGEINT) * p.place + c1.b) % c1.n
+""")
+def r25_values(spark, sf):
+    """Two columns dealt anew, row by row: the maps under the permutation importance."""
+    o = fx.read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    out = evaluate.permuted_columns(o, ["o_totalprice", "o_custkey"], "o_orderkey", seed=5, arithmetic=True)
+    return out.select("o_orderkey", F.col("__permuted_o_totalprice").alias("price"), F.col("__permuted_o_custkey").alias("customer"))

@@ -118,12 +118,17 @@ def load_chain(path: str):
 
     from pyspark.ml import PipelineModel
 
-    from legflow.operators import encode
+    from legflow.operators import boost, encode
     from legflow.operators.model import FittedChain
 
     spark = SparkSession.getActiveSession()
     manifest = json.loads(spark.read.parquet(os.path.join(path, "manifest")).first()["manifest"])
-    model = PipelineModel.load(os.path.join(path, "model"))
+    kind = manifest.get("model", "pipeline")
+    if kind == "pipeline":
+        model = PipelineModel.load(os.path.join(path, "model"))
+    else:
+        state = json.loads(spark.read.parquet(os.path.join(path, "model", "state")).first()["state"])
+        model = {"trees": boost.EnsembleModel, "stacked": boost.StackedModel}[kind].of(state)
     parts = {}
     for name in manifest["parts"]:
         row = spark.read.parquet(os.path.join(path, name, "state")).first()
