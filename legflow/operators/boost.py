@@ -125,6 +125,12 @@ def binned(df: DataFrame, features: Sequence[str], label: str, key: str | None,
     return x.select(*cols, "__y", "__h").mapInArrow(run, "bins binary, label double, h bigint"), edges
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by their hash where the input has fewer partitions than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, "h") if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(bins, label, h, margin) of about CHUNK rows at a time."""
     held, n = [], 0
@@ -313,7 +319,7 @@ def boosted(df: DataFrame, features: Sequence[str], label: str = "label", rounds
     saved = _progress(spark, folder)
     if saved is None:
         rows, edges = binned(df, features, label, key)
-        rows.write.mode("overwrite").parquet(f"{folder}/binned")
+        spread(rows).write.mode("overwrite").parquet(f"{folder}/binned")
         rows = spark.read.parquet(f"{folder}/binned")
         mean = rows.agg(F.avg("label")).first()[0]
         start = (0.0 if mean is None else float(mean)) if base is None else base
@@ -362,7 +368,7 @@ def forest(df: DataFrame, features: Sequence[str], label: str = "label", trees:
 
     p = Growth(depth=depth, bootstrap=True, seed=seed, node_columns=node_columns)
     rows, edges = binned(df, features, label, key)
-    rows = written(rows, "binned")
+    rows = written(spread(rows), "binned")
     mean = rows.agg(F.avg("label")).first()[0]
     model, shares = EnsembleModel(list(features), 0.0 if mean is None else float(mean), depth), np.zeros(len(features))
     if mean is not None:

@@ -312,6 +312,8 @@ def drop_unfilled(pred: DataFrame, truth: DataFrame, key: str) -> tuple[DataFram
 
 KNN_BLOCK_BYTES = 16 << 20
 KNN_CHUNK = 256
+#: Queries that meet a block of train rows in one task.
+KNN_QUERIES = 1 << 14
 
 
 def _knn_block(k: int):
@@ -319,7 +321,7 @@ def _knn_block(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, held, ready = None, [], None
         for pdf in batches:
-            for (b, side), part in pdf.groupby(["block", "side"], sort=True):
+            for (b, side), part in pdf.groupby(["task", "side"], sort=True):
                 if b != block:
                     block, held, ready = b, [], None
                 if side == 0:
@@ -349,23 +351,31 @@ def _knn_block(k: int):
     return run
 
 
-def nearest_neighbours(train: DataFrame, query: DataFrame, k: int, block_bytes: int = KNN_BLOCK_BYTES) -> DataFrame:
+def nearest_neighbours(train: DataFrame, query: DataFrame, k: int, block_bytes: int = KNN_BLOCK_BYTES,
+                       slot_queries: int = KNN_QUERIES) -> DataFrame:
     """(query_id, rank, neighbour_id, neighbour_label, dist2): exact k nearest train
     rows per query row.  Inputs: ``id``, ``features`` (array<double>), train also
-    ``label``.  Train rows are dealt into blocks of about ``block_bytes`` by a
-    hash of their id, whatever their number; every query goes to every block.
-    A task holds one block and reads queries as a stream, returns at most k
-    rows a query, and a per-query top k merges the blocks.  No pair of rows is
-    ever materialised, and nothing passes through the driver but two counts."""
+    ``label``.  Train rows are dealt into blocks of about ``block_bytes`` and
+    queries into slots of about ``slot_queries`` by hashes of their ids; a task
+    is one block and one slot, so tasks grow with either side and each holds
+    one block, reads its queries as a stream, and returns at most k rows a
+    query.  A per-query top k merges the blocks.  No pair of rows is ever
+    materialised, and nothing passes through the driver but three counts."""
     r = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
     blocks = max(1, -(-(r["n"] or 0) * 8 * max(r["d"] or 1, 1) // block_bytes))
-    cols = ["block", "side", "id", "features", "label"]
-    t = train.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"),
-                     F.col("id").cast("long").alias("id"), "features", F.col("label").cast("int").alias("label"))
-    q = query.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"),
-                     F.col("id").cast("long").alias("id"), "features", F.lit(0).cast("int").alias("label"))
-    out = (t.select(cols).unionByName(q.select(cols)).repartition("block").sortWithinPartitions("block", "side")
-           .mapInPandas(_knn_block(k), "query_id long, neighbour_id long, neighbour_label int, dist2 double"))
+    slots = max(1, -(-query.count() // slot_queries))
+    cols = ["task", "side", "id", "features", "label"]
+
+    def dealt(parts: int):
+        return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+
+    t = train.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: dealt(blocks) * slots + s)).alias("task"),
+                     F.lit(0).alias("side"), F.col("id").cast("long").alias("id"), "features", F.col("label").cast("int").alias("label"))
+    q = query.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * slots + dealt(slots))).alias("task"),
+                     F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), "features", F.lit(0).cast("int").alias("label"))
+    # a partition for each task by its number: a hash would pile several into one
+    both = t.select(cols).unionByName(q.select(cols)).repartitionById(blocks * slots, "task").sortWithinPartitions("task", "side")
+    out = both.mapInPandas(_knn_block(k), "query_id long, neighbour_id long, neighbour_label int, dist2 double")
     w = Window.partitionBy("query_id").orderBy("dist2", "neighbour_id")
     return (out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "neighbour_id", "neighbour_label", "dist2"))

@@ -242,7 +242,7 @@ SELECT count(*) AS n_scored, 1.0 AS total FROM lineitem WHERE {uniform_sql('l_or
 """)
 def r24_total(spark, sf):
     train, test = model.train_test_split(_priced(spark, sf), "l_orderkey", seed=10, arithmetic=True)
-    chain = model.fit_chain(train, "rf", ["l_quantity", "l_discount", "l_tax"], scaler=None, rounds=5)
+    chain = model.fit_chain(train, "rf", ["l_quantity", "l_discount", "l_tax"], scaler=None, rounds=500)
     imp = evaluate.feature_importances(spark, chain.model.stages[-1], chain.assembler_cols).agg(F.round(F.sum("importance"), 2).alias("total"))
     return chain.transform(test).agg(F.count("prediction").alias("n_scored")).crossJoin(F.broadcast(imp))
 

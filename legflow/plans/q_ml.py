@@ -513,10 +513,14 @@ def r19(spark, sf):
 _FEATS = ["l_quantity", "l_discount", "l_tax", "flag_r", "status_f"]
 
 
-def _model_metrics(spark, sf, name, rounds=5, **kw):
+#: Boosting rounds of the registered queries (the README has the seconds a round); forests have all of their trees.
+ROUNDS, TREES = 20, 500
+
+
+def _model_metrics(spark, sf, name, rounds=ROUNDS, **kw):
     x = _lineitem_xy(spark, sf)
     train, test = model.train_test_split(x, "row_id")
-    chain = model.fit_chain(train, name, _FEATS, rounds=rounds, **kw)
+    chain = model.fit_chain(train, name, _FEATS, rounds=TREES if name == "rf" else rounds, key="row_id", **kw)
     m = evaluate.test_metrics(chain.transform(test))
     return m.select(*[F.round(F.col(c), 2).alias(c) for c in m.columns]).withColumn("model", F.lit(name))
 
@@ -539,14 +543,14 @@ def r11(spark, sf):
 
 @register("r12_stacking")
 def r12(spark, sf):
-    return _model_metrics(spark, sf, "stacking", rounds=5)
+    return _model_metrics(spark, sf, "stacking")
 
 
 @register("r18_r24_batch_scoring_importance")
 def r18(spark, sf):
     x = _lineitem_xy(spark, sf)
     train, test = model.train_test_split(x, "row_id")
-    chain = model.fit_chain(train, "rf", _FEATS, scaler=None, rounds=5)
+    chain = model.fit_chain(train, "rf", _FEATS, scaler=None, rounds=TREES, key="row_id")
     scored = chain.transform(test)
     imp = evaluate.feature_importances(spark, chain.model.stages[-1], chain.assembler_cols)
     return imp.withColumn("n_scored", F.lit(scored.count()))

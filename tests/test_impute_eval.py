@@ -65,3 +65,14 @@ def test_request_validation(spark):
     v, r = evaluate.validate_requests(df)
     assert v.count() == 1 and r.collect()[0].reason.startswith("scheduled_block_time")
     assert v.columns[1:] == evaluate.REQUEST_FIELDS
+
+
+def test_neighbours_by_blocks_and_slots_are_the_same(spark):
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(0, 4, (90, 3)).astype(float), rng.integers(0, 4, (40, 3)).astype(float)
+    T = spark.createDataFrame([(i, r.tolist(), int(i % 3)) for i, r in enumerate(x)], "id long, features array<double>, label int")
+    Q = spark.createDataFrame([(1000 + i, r.tolist()) for i, r in enumerate(q)], "id long, features array<double>")
+    runs = [sorted(map(tuple, impute.nearest_neighbours(T, Q, 5, block_bytes=b, slot_queries=s).collect()))
+            for b, s in ((1 << 20, 1 << 14), (500, 7), (500, 1 << 14), (1 << 20, 9))]
+    assert runs[0] == runs[1] == runs[2] == runs[3] and len(runs[0]) == 200
+    assert impute.nearest_neighbours(T, Q.limit(0), 5).count() == 0 and impute.nearest_neighbours(T.limit(0), Q, 5).count() == 0
