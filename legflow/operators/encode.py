@@ -208,17 +208,23 @@ class OneHotEncoder:
 
 def one_hot_vector(df: DataFrame, cols: Sequence[str], suffix: str = "_vec") -> DataFrame:
     """E4 for any number of levels: a sparse indicator vector per column instead of a
-    column per level; NULL and levels unseen in ``df`` give a NULL vector."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    column per level; NULL and levels unseen in ``df`` give a NULL vector.  Encoded in the JVM."""
+    from pyspark.ml.feature import OneHotEncoder as IndexEncoder
+    from pyspark.ml.linalg import VectorUDT
 
     codes = OrdinalEncoder(cols).fit(df)
     sizes = {r["__column"]: int(r["n"]) for r in codes.levels.groupBy("__column").agg(F.max("__code").alias("n")).collect()}
-    out = df.withColumns({f"__raw_{c}": F.col(c) for c in cols})
-    out = codes.transform(out)
+    out = codes.transform(df.withColumns({f"__raw_{c}": F.col(c) for c in cols}))
     for c in cols:
-        n = sizes.get(c, 0)
-        make = F.udf(lambda i, n=n: None if i is None else Vectors.sparse(n, [int(i) - 1], [1.0]), VectorUDT())
-        out = out.withColumn(c + suffix, make(F.col(c))).withColumn(c, F.col(f"__raw_{c}")).drop(f"__raw_{c}")
+        if not sizes.get(c):
+            out = out.withColumn(c + suffix, F.lit(None).cast(VectorUDT()))
+        else:
+            # its size is that of the largest code; with "keep" the dropped last place is that of invalid codes, of which there are none
+            encoder = IndexEncoder(inputCol="__code", outputCol="__vec", dropLast=True, handleInvalid="keep").fit(
+                df.sparkSession.createDataFrame([(float(sizes[c] - 1),)], "__code double"))
+            out = encoder.transform(out.withColumn("__code", F.coalesce(F.col(c) - 1, F.lit(0.0)))).withColumn(
+                c + suffix, F.when(F.col(c).isNotNull(), F.col("__vec"))).drop("__code", "__vec")
+        out = out.withColumn(c, F.col(f"__raw_{c}")).drop(f"__raw_{c}")
     return out
 
 
