@@ -75,13 +75,19 @@ def recursive_elimination_cv(df: DataFrame, features: Sequence[str], label: str
     return recursive_elimination(parts, features, label, alpha)
 
 
+def rbf_columns(df: DataFrame, features: Sequence[str], centres: Sequence[Sequence[float]], gamma: float = 1.0,
+                prefix: str = "rbf") -> DataFrame:
+    """exp(-gamma * ||x - c||^2) for each of the given centres."""
+    new = {}
+    for j, c in enumerate(centres):
+        d2 = sum((F.col(f) - F.lit(float(v))) ** 2 for f, v in zip(features, c))
+        new[f"{prefix}{j + 1}"] = F.exp(-F.lit(gamma) * d2)
+    return df.withColumns(new)
+
+
 def rbf_features(df: DataFrame, features: Sequence[str], k: int, gamma: float = 1.0, seed: int = 0,
                  prefix: str = "rbf") -> tuple[DataFrame, list[list[float]]]:
     """K-means centres (k-means|| init), then exp(-gamma * ||x - c||^2) per centre."""
     vec = VectorAssembler(inputCols=list(features), outputCol="__x").transform(df.dropna(subset=list(features)))
     centres = [list(map(float, c)) for c in KMeans(k=k, seed=seed, featuresCol="__x").fit(vec).clusterCenters()]
-    new = {}
-    for j, c in enumerate(centres):
-        d2 = sum((F.col(f) - F.lit(v)) ** 2 for f, v in zip(features, c))
-        new[f"{prefix}{j + 1}"] = F.exp(-F.lit(gamma) * d2)
-    return df.withColumns(new), centres
+    return rbf_columns(df, features, centres, gamma, prefix), centres

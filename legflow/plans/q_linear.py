@@ -370,3 +370,64 @@ def r25_values(spark, sf):
     o = fx.read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
     out = evaluate.permuted_columns(o, ["o_totalprice", "o_custkey"], "o_orderkey", seed=5, arithmetic=True)
     return out.select("o_orderkey", F.col("__permuted_o_totalprice").alias("price"), F.col("__permuted_o_custkey").alias("customer"))
+
+
+# ------------------------------------------------------------------ E16, T20 with fixed parameters
+
+_CENTRES = [[1.0, 0.01], [10.0, 0.05], [25.0, 0.1], [50.0, 0.0]]
+
+
+@register("e16_rbf_fixed_centres", f"""
+SELECT l_orderkey, l_linenumber, {', '.join(f"round(exp(-0.01 * (power(l_quantity - {a}, 2) + power(l_discount - {b}, 2))), 6) AS rbf{j + 1}" for j, (a, b) in enumerate(_CENTRES))}
+FROM lineitem
+""")
+def e16_fixed(spark, sf):
+    li = fx.read_table(spark, sf, "lineitem")
+    out = select.rbf_columns(li, ["l_quantity", "l_discount"], _CENTRES, gamma=0.01)
+    return out.select("l_orderkey", "l_linenumber", *[F.round(f"rbf{j}", 6).alias(f"rbf{j}") for j in range(1, 5)])
+
+
+_LAMBDAS = [-1.0, -0.5, 0.0, 0.5, 1.0, 1.5]
+
+
+@register("t20_box_cox_fitted_lambda", """
+WITH x AS (SELECT CAST(o_totalprice AS DOUBLE) + 1 AS a, CAST(o_custkey AS DOUBLE) + 1 AS b FROM orders),
+l AS (SELECT unnest([""" + ", ".join(map(str, _LAMBDAS)) + """])::DOUBLE AS lam),
+ll AS (""" + " UNION ALL ".join(f"""SELECT '{n}' AS column_name, lam, -count(*) / 2.0 * ln(var_pop(CASE WHEN lam = 0 THEN ln({c}) ELSE (power({c}, lam) - 1) / (CASE WHEN lam = 0 THEN 1 ELSE lam END) END))
+       + (lam - 1) * sum(ln({c})) AS v FROM x, l GROUP BY lam""" for n, c in (("o_totalprice", "a"), ("o_custkey", "b"))) + """)
+SELECT column_name, arg_max(lam, v) AS lambda FROM ll GROUP BY 1
+""")
+def t20_fitted(spark, sf):
+    """The power of greatest likelihood over a grid, for two columns at once."""
+    m = encode.BoxCox(["o_totalprice", "o_custkey"], _LAMBDAS).fit(fx.read_table(spark, sf, "orders"))
+    return spark.createDataFrame(sorted(m.lambdas.items()), "column_name string, lambda double")
+
+
+# ------------------------------------------------------------------ R5, R11, R14: scores row by row
+
+@register("r11_ridge_chain_predictions", f"""
+WITH {_ROWS_SQL}, tr AS (SELECT * FROM x WHERE {uniform_sql('k', 9)} >= 0.2),
+{solved_sql(FEATURES, sums_sql(FEATURES, 'tr', False), MINMAX, 'alpha', grid([0.5]))}
+SELECT k, round(offset_ + {' + '.join(f'b_{c} * {c}' for c in FEATURES)}, 3) AS prediction FROM x, fit WHERE {uniform_sql('k', 9)} < 0.2
+""")
+def r11_predictions(spark, sf):
+    """The named ridge chain fitted on four fifths: every prediction on the rest."""
+    train, test = model.train_test_split(order_rows(spark, sf), "k", seed=9, arithmetic=True)
+    chain = model.fit_named(train, "ridge", FEATURES)
+    return chain.transform(test).select("k", F.round("prediction", 3).alias("prediction"))
+
+
+@register("r14_every_named_model")
+def r14_all(spark, sf):
+    """All seven named chains fitted and scored on the same split."""
+    from legflow.operators import evaluate as ev
+    from legflow.session import written
+
+    x = written(order_rows(spark, sf), "orders")
+    train, test = model.train_test_split(x, "k", seed=9)
+    out = None
+    for name in model.MODEL_NAMES:
+        chain = model.fit_named(train, name, FEATURES, rounds=100 if name == "rf" else 10, key="k")
+        m = ev.test_metrics(chain.transform(test)).select(F.lit(name).alias("model"), F.round("mae", 2).alias("mae"), F.round("r2", 1).alias("r2"))
+        out = m if out is None else out.unionByName(m)
+    return out
