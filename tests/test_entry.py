@@ -32,6 +32,23 @@ def test_standins_equal_in_both_engines(spark, name):
     assert s.count() == d[0][0]
 
 
+def test_every_query_of_the_library_is_built(spark, monkeypatch):
+    """Plans are made and fits are run, with two trees where a query trains many."""
+    from legflow.operators import model
+    from legflow.plans import registry
+
+    boosted, forest = model.boosted, model.forest
+    monkeypatch.setattr(model, "boosted", lambda df, cols, label, rounds, *a: boosted(df, cols, label, 2, *a))
+    monkeypatch.setattr(model, "forest", lambda df, cols, label, trees, *a: forest(df, cols, label, 2, *a))
+    failed = {}
+    for name, (builder, _) in registry.all_queries().items():
+        try:
+            assert builder(spark, SF_SMALL).columns
+        except Exception as e:  # noqa: BLE001  all failures are listed at once
+            failed[name] = repr(e)[:200]
+    assert not failed
+
+
 def test_oracle_matches_for_core_queries(spark):
     import tools.oracle_check as oc
 
