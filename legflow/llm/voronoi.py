@@ -1,9 +1,11 @@
 """Exact top-k inner products by a Voronoi-partitioned join.
 
 Vectors become whole numbers, floor(64 * x) by component.  A bounded sample
-of them are pivots; every vector belongs to the cell of its nearest pivot.
-Summaries of the cells (rows, radius) are a row each.  A cell of more than
-``BLOCK`` rows is split into blocks, so one cell may hold most rows.
+of them are pivots, as many as the square root of the rows (at least
+``PIVOTS``, at most ``PIVOTS_MOST``); every vector belongs to the cell of its
+nearest pivot.  Summaries of the cells (rows, radius) are a row each.  A cell
+of more than ``BLOCK`` rows is split into blocks, so one cell may hold most
+rows.
 
 1. Every query is solved in its own cell; the k-th best score there is its bound.
 2. Every other cell can reach at most q.p + |q| * r for a query q, its pivot
@@ -24,6 +26,7 @@ of its own answers.  Fewer than k others give fewer rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,10 @@ from legflow.llm.shared import cut
 
 SCALE = 64
 PIVOTS = 64
+#: Pivots and cell summaries go to the driver and every task; this bounds them.
+PIVOTS_MOST = 4096
 BLOCK = 8192
-#: Queries whose scores against a block are computed at once.
+#: Queries whose scores against a block are computed at once, and rows whose distances to the pivots are.
 CHUNK = 256
 WIDTHS = [np.dtype("<i1"), np.dtype("<i2"), np.dtype("<i4"), np.dtype("<i8")]
 
@@ -90,18 +95,24 @@ def whole(vectors: DataFrame, wanted: Column) -> DataFrame:
     return cut(rows.mapInArrow(run, "uid bigint, vec_id bigint, v binary, is_query boolean"))
 
 
+def pivots_for(n: int) -> int:
+    """Pivots for ``n`` rows."""
+    return min(max(PIVOTS, isqrt(n)), PIVOTS_MOST)
+
+
 def assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``rows`` with the cell (nearest pivot, first at ties) and the distance to its pivot."""
     sent = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, p = same_width(unpacked(batch.column(2).to_pylist()), sent.value)
+            for a in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(a, CHUNK)
+                x, p = same_width(unpacked(part.column(2).to_pylist()), sent.value)
                 far = (x * x).sum(axis=1)[:, None] - 2 * (x @ p.T) + (p * p).sum(axis=1)[None, :]
                 cell = far.argmin(axis=1)
                 away = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)],
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(away)],
                                                  ["uid", "vec_id", "v", "is_query", "cell", "away"])
 
     return rows.mapInArrow(run, "uid bigint, vec_id bigint, v binary, is_query boolean, cell int, away double")
@@ -170,22 +181,26 @@ def solved(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 LEAST = -(1 << 63)
 
 
-def top_k(vectors: DataFrame, wanted: Column, k: int = 20, n_pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best other rows of every row where ``wanted`` holds."""
+def top_k(vectors: DataFrame, wanted: Column, k: int = 20, n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best other rows of every row where ``wanted`` holds.
+
+    Without ``n_pivots`` their number follows the rows; the answers are the same for any number.
+    """
     rows = whole(vectors, wanted)
     spark = vectors.sparkSession
+    if n_pivots is None:
+        n_pivots = pivots_for(rows.count())
     sample = rows.select("v").orderBy(F.xxhash64("uid"), "uid").limit(4 * n_pivots).collect()
     pivots = unpacked(list(dict.fromkeys(bytes(r.v) for r in sample))[:n_pivots])
     if not len(pivots):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     rows = cut(assigned(rows, pivots))
     cells = {r.cell: (r.n, r.far) for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect()}
-    blocks = {c: -(-n // block) for c, (n, _) in cells.items()}
-    n_blocks = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("cell")]
-    data = rows.withColumn("block", F.pmod(F.xxhash64("uid"), n_blocks))
+    blocks = F.broadcast(spark.createDataFrame([(c, -(-n // block)) for c, (n, _) in cells.items()], "cell int, blocks bigint"))
+    data = rows.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
     queries = rows.filter("is_query")
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks.cast("bigint") - 1))
-    own = queries.withColumn("block", every).withColumn("bound", F.lit(LEAST))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    own = queries.join(blocks, "cell").withColumn("block", every).withColumn("bound", F.lit(LEAST))
     first = cut(solved(data, own, k))
     order = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid")
     near = first.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
@@ -197,21 +212,22 @@ def top_k(vectors: DataFrame, wanted: Column, k: int = 20, n_pivots: int = PIVOT
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, radius = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            q, pp = same_width(unpacked(batch.column(2).to_pylist()), p)
-            size = np.sqrt((q * q).sum(axis=1))
-            most = q @ pp.T + size[:, None] * radius[None, :]
-            most += 1e-9 * np.abs(most) + 1e-6  # the bound is rounded up
-            low = batch.column(4).to_numpy().astype(np.float64)
-            need = (most >= low[:, None]) & (radius >= 0)[None, :]
-            need[np.arange(len(q)), batch.column(3).to_numpy()] = False
-            at, cell = np.nonzero(need)
-            at = pa.array(at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in (0, 1, 2)), pa.array(cell.astype(np.int32)),
-                                              batch.column(4).take(at)], ["uid", "vec_id", "v", "cell", "bound"])
-
-    others = (bounded.mapInArrow(reach, "uid bigint, vec_id bigint, v binary, cell int, bound bigint").withColumn("block", every))
+            for a in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(a, CHUNK)
+                q, pp = same_width(unpacked(part.column(2).to_pylist()), p)
+                size = np.sqrt((q * q).sum(axis=1))
+                most = q @ pp.T + size[:, None] * radius[None, :]
+                most += 1e-9 * np.abs(most) + 1e-6  # the bound is rounded up
+                low = part.column(4).to_numpy().astype(np.float64)
+                need = (most >= low[:, None]) & (radius >= 0)[None, :]
+                need[np.arange(len(q)), part.column(3).to_numpy()] = False
+                at, cell = np.nonzero(need)
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in (0, 1, 2)), pa.array(cell.astype(np.int32)),
+                                                  part.column(4).take(at)], ["uid", "vec_id", "v", "cell", "bound"])
+
+    others = (bounded.mapInArrow(reach, "uid bigint, vec_id bigint, v binary, cell int, bound bigint")
+              .join(blocks, "cell").withColumn("block", every))
     second = solved(data, others, k)
     return (near.select("quid", "query_id", "uid", "vec_id", "score").unionByName(second)
             .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -496,6 +496,10 @@ def test_knn_ties_repeats_and_bad_vectors(spark):
     assert voronoi.top_k(spark.createDataFrame([], VEC), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_knn_pivots_follow_the_rows():
+    assert [voronoi.pivots_for(n) for n in (0, 4_096, 4_225, 1_000_000, 10**12)] == [64, 64, 65, 1_000, voronoi.PIVOTS_MOST]
+
+
 def test_knn_prunes_clustered_cells(spark):
     rng = random.Random(1)
     rows = [(i, [8.0 * (i % 4 == j) + rng.gauss(0, 0.05) for j in range(4)]) for i in range(400)]
