@@ -263,17 +263,38 @@ def correlation_long(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[s
     return wide.select(F.inline(rows))
 
 
+# Rows that the broadcast rank tables of one matrix may have together (16 bytes each).
+RANK_ROWS = 1 << 19
+
+
 def spearman_long(df: DataFrame, cols: Sequence[str], key: str, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """Spearman = Pearson over average ranks.  Ranks come from the distributed
-    exact rank operator and are joined back by (column, value).  A column is
-    ranked over its own non-null rows; a pair is correlated over the rows where
-    both are present."""
+    """Spearman = Pearson over average ranks.  A column is ranked over its
+    own non-null rows; a pair is correlated over the rows where both are present.
+
+    Ranks belong to distinct values, so they are looked up on the wide row: the
+    rank tables of the columns of fewest values, ``RANK_ROWS`` rows together,
+    are broadcast, and no row is shuffled.  Columns beyond that size are joined
+    by (column, value) in long form and come back by ``key`` (unique, not null).
+    """
     cols = list(dict.fromkeys(cols))
-    long = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(key, cols, "column", "value")
-    ranks = average_ranks(long, "column", "value")
-    ranked = long.join(ranks, ["column", "value"], "left")
-    wide = ranked.groupBy(key).pivot("column", cols).agg(F.first("avg_rank"))
-    return correlation_long(wide, cols, pairs)
+    wide = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    long = wide.unpivot(key, cols, "column", "value")
+    ranks = average_ranks(long, "column", "value").checkpoint()
+    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, looked_up = 0, []
+    for c in sorted(cols, key=lambda c: sizes.get(c, 0)):
+        total += sizes.get(c, 0)
+        if total <= RANK_ROWS:
+            looked_up.append(c)
+    joined = [c for c in cols if c not in looked_up]
+    out = wide.select(key, *looked_up)
+    for c in looked_up:
+        mine = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("avg_rank").alias("__rank"))
+        out = out.join(F.broadcast(mine), c, "left").drop(c).withColumnRenamed("__rank", c)
+    if joined:
+        ranked = long.where(F.col("column").isin(joined)).join(ranks, ["column", "value"], "left")
+        out = out.join(ranked.groupBy(key).pivot("column", joined).agg(F.first("avg_rank")), key, "left")
+    return correlation_long(out, cols, pairs)
 
 
 def encoded_spearman(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], targets: Sequence[str], label: str,

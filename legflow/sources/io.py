@@ -9,8 +9,10 @@ tab-separated text; split sets are partitioned folders so readers prune.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +49,26 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], columns: Sequ
 
 
 def read_mixed_folder(spark: SparkSession, paths: Sequence[str], sep: str = "\t", encoding: str = "UTF-8") -> DataFrame:
-    """Files whose headers differ; each read with its own header, unioned by name."""
+    """Files whose headers differ; each read with its own header, unioned by name.
+
+    One job reads the header lines of all paths (the first line of each file's
+    first block), and the files that share a header are one scan, so the plan
+    grows with the number of layouts and not with the number of files.  A path
+    may be a folder or a pattern.  Empty files add nothing.
+    """
+    lines = (spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("encoding", encoding).csv(list(paths))
+             .where("_metadata.file_block_start = 0")
+             .select(F.col("_metadata.file_path").alias("path"), "line", F.monotonically_increasing_id().alias("nth")))
+    first = lines.groupBy("path").agg(F.min_by("line", "nth").alias("line"))
+    layouts = first.groupBy("line").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.col("paths")[0]).collect()
+    if not layouts:
+        return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(list(paths))
     out = None
-    for p in paths:
+    for layout in layouts:
+        # file paths come as URIs, and the reader takes patterns: undo the one's escapes, add the other's
+        files = [re.sub(r"([\[\]{}*?])", r"\\\1", unquote(p)) for p in layout["paths"]]
         part = spark.read.option("header", True).option("sep", sep).option("encoding", encoding) \
-            .option("inferSchema", False).csv(p)
+            .option("inferSchema", False).csv(files)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

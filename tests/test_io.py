@@ -40,3 +40,22 @@ def test_partitioned_sets_prune_by_folder(spark, tmp_path):
     assert got.count() == 3
     assert io.load_model_set(spark, path, "air_time", "nb", "test", encoding="one_hot").count() == 3
     assert "PartitionFilters: [isnotnull(target" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mixed_folder_is_one_scan_a_layout(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"a {i}%.tsv").write_text(f"id\tx\n{i}\tv{i}\n")
+    (tmp_path / "b[1].tsv").write_text("x\tid\nw\t7\n")
+    (tmp_path / "c.tsv").write_text("id\ty\n8\t\"two words\"\n9\t\n")
+    (tmp_path / "empty.tsv").write_text("")
+    df = io.read_mixed_folder(spark, [str(tmp_path)])
+    got = sorted((r.id, r.x, r.y) for r in df.collect())
+    assert got == [(str(i), f"v{i}", None) for i in range(6)] + [("7", "w", None), ("8", None, "two words"), ("9", None, None)]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 3
+    few = io.read_mixed_folder(spark, [str(tmp_path / "c.tsv"), str(tmp_path / "a 0%.tsv")])
+    assert few.count() == 3 and set(few.columns) == {"id", "x", "y"}
+
+
+def test_mixed_folder_without_lines(spark, tmp_path):
+    (tmp_path / "empty.tsv").write_text("")
+    assert io.read_mixed_folder(spark, [str(tmp_path)]).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from legflow.operators import encode, model
+from legflow.operators import encode, model, report
 from legflow.operators.quantiles import average_ranks, quantiles
 
 
@@ -23,6 +23,27 @@ def test_quantiles_and_ranks_with_ties(spark):
         assert ranks[float(v)] == pytest.approx(r)
 
 
+def test_rank_matrix_is_the_same_looked_up_and_joined(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": range(400), "a": rng.integers(0, 5, 400), "b": rng.normal(size=400), "c": rng.integers(0, 60, 400)}).astype(
+        {"a": float, "c": float})
+    pdf["c"] += pdf["a"] * 9
+    pdf.loc[rng.random(400) < 0.1, "b"] = None
+    rows = [tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double")
+    ranks = pdf[["a", "b", "c"]].rank()
+    for most in (report.RANK_ROWS, 100, 0):
+        monkeypatch.setattr(report, "RANK_ROWS", most)
+        out = report.spearman_long(df, ["a", "b", "c"], "id")
+        got = {(r.x, r.y): r["corr"] for r in out.collect()}
+        assert len(got) == 9
+        for (x, y), v in got.items():
+            assert v == pytest.approx(ranks[x].corr(ranks[y])), (most, x, y)
+        if most > 1000:  # the rows themselves go through one exchange only, the sums' own
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.split("Initial Plan")[-1].count("Exchange SinglePartition") == 1 and "SortMergeJoin" not in plan
+
+
 def test_leave_one_out_hand_cases(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "c string, label double")
     m, tr = encode.LeaveOneOutEncoder(["c"], "label").fit_transform(df)
