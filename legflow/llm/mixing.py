@@ -21,6 +21,9 @@ budget exactly.  The order is cut by range of the md5: words are summed per
 leaf and range, and only the range that holds the cut is put in order, so no
 task orders a whole leaf.
 
+With ``texts`` the result carries what is taken: ``text``, once per full epoch, and ``part_text``, the text up to the end
+of word ``part_words``.  Texts are written once and only rows of the range that holds a cut are shuffled.
+
 Nulls: a null text has no words; null lang or source is a leaf of its own
 (named ``null``); a null id is ordered as empty text.  Documents without
 words are never taken, nor what a weight of 0 names.  Repeated rows count as often as they occur.  Rows
@@ -32,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legflow.llm.shared import cut
+from legflow.llm.shared import cut, written
 
 LEVELS = ["domain", "lang", "source"]
 RANGES = 12  # bits of the md5 that name a range
@@ -99,23 +102,32 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def prefix(text: str, words: str) -> Column:
+    """``text`` up to the end of its word number ``words``, spacing kept."""
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), F.col(words).cast("int")), "")
+
+
 def mix(docs: DataFrame, domain: Column, budget: Column, weights: dict[str, dict[str, int]], epochs: int = 4,
-        seed: int = 17, other: int = 1) -> DataFrame:
+        seed: int = 17, other: int = 1, texts: bool = False) -> DataFrame:
     """(doc_id, domain, lang, source, n_words, full_epochs, part_words, taken_words) of every document that is taken.
 
     ``domain`` is a column expression over ``docs``; ``budget`` an aggregate
     over the leaf table (columns words, cap).  ``part_words`` are the words
-    taken in the last, partial epoch.
+    taken in the last, partial epoch.  ``texts`` adds ``text`` (null without
+    a full epoch) and ``part_text`` (null without such words).
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c)
-    rows = cut(docs.select("doc_id", F.coalesce(domain, F.lit("null")).alias("domain"), name("lang"), name("source"),
-                           n_words().alias("n_words")).filter("n_words > 0"))
+    rows = docs.select("doc_id", F.coalesce(domain, F.lit("null")).alias("domain"), name("lang"), name("source"),
+                       n_words().alias("n_words"), *(["text"] if texts else [])).filter("n_words > 0")
+    # with texts as columns, so that the passes over words and keys leave the texts unread
+    rows = written(rows, "mixture") if texts else cut(rows)
     leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_words").alias("words")))
     leaves = cut(plan(leaves, budget, epochs, weights, other))
     keyed = (rows.join(leaves.select(*LEVELS, "full_epochs", "rest"), LEVELS)
              .withColumn("key", order_key(seed, F.col("full_epochs"), F.col("doc_id")))
              .withColumn("range", F.conv(F.substring("key", 1, RANGES // 4), 16, 10).cast("int")))
-    keyed = cut(keyed)
+    keyed = keyed if texts else cut(keyed)
     sums = keyed.filter("rest > 0").groupBy(*LEVELS, "range", "rest").agg(F.sum("n_words").alias("words"))
     upto = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # at most 2**RANGES rows a leaf; the range of the cut is the last that begins below the rest
@@ -127,6 +139,10 @@ def mix(docs: DataFrame, domain: Column, budget: Column, weights: dict[str, dict
                .withColumn("part_words", F.greatest(F.lit(0), F.least("n_words", F.col("rest") - F.col("start")))))
     clear = keyed.filter("edge is null or range <> edge").withColumn(
         "part_words", F.when(F.expr("range < edge"), F.col("n_words")).otherwise(F.lit(0)))
-    cols = ["doc_id", *LEVELS, "n_words", "full_epochs", "part_words"]
-    return (at_edge.select(cols).unionByName(clear.select(cols)).withColumn("part_words", F.col("part_words").cast("bigint"))
+    cols = ["doc_id", *LEVELS, "n_words", "full_epochs", "part_words", *(["text"] if texts else [])]
+    taken = (at_edge.select(cols).unionByName(clear.select(cols)).withColumn("part_words", F.col("part_words").cast("bigint"))
             .withColumn("taken_words", F.expr("n_words * full_epochs + part_words")).filter("taken_words > 0"))
+    if not texts:
+        return taken
+    part = F.when(F.expr("part_words = n_words"), F.col("text")).when(F.expr("part_words > 0"), prefix("text", "part_words"))
+    return taken.withColumn("part_text", part).withColumn("text", F.when(F.expr("full_epochs > 0"), F.col("text")))

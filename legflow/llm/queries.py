@@ -26,8 +26,8 @@ def domain() -> Column:
     return out
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    return mixing.mix(docs, domain(), F.expr(MIX_BUDGET), MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED)
+def mixed(docs: DataFrame, texts: bool = False) -> DataFrame:
+    return mixing.mix(docs, domain(), F.expr(MIX_BUDGET), MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED, texts=texts)
 
 
 def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

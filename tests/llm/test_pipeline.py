@@ -120,6 +120,22 @@ def test_written_stages_reach_the_end(spark, tmp_path):
     assert out.count() and {"doc_id", "taken_words"} <= set(out.columns)
 
 
+def test_mixture_gives_the_words_it_takes(spark):
+    docs = spark.createDataFrame([(i, f"  a{i} b\tc{i}\n\nd e{i} " * (1 + i % 4), "en", f"src{i % 3}", i) for i in range(90)], SCHEMA)
+    given = {r.doc_id: r.text for r in docs.collect()}
+    out = queries.mixed(docs, texts=True)
+    assert set(out.columns) == {*queries.mixed(docs).columns, "text", "part_text"}
+    assert sorted(out.drop("text", "part_text").collect()) == sorted(queries.mixed(docs).collect())
+    rows, cuts = out.collect(), 0
+    for r in rows:
+        assert r.text == (given[r.doc_id] if r.full_epochs else None)
+        assert (r.part_text is None) == (r.part_words == 0)
+        if r.part_words:
+            assert given[r.doc_id].startswith(r.part_text) and brute.SPACED.findall(r.part_text) == brute.SPACED.findall(given[r.doc_id])[:r.part_words]
+            cuts += r.part_words < r.n_words
+    assert cuts
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
