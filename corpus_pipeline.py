@@ -57,8 +57,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the target mixture takes."""
-    return queries.mixed(docs)
+    """What the target mixture takes: words of each document, its text for whole epochs, and its prefix in the last one."""
+    return queries.mixed(docs, texts=True)
 
 
 STAGES = [
