@@ -134,3 +134,83 @@ def test_gaps_constant_columns_and_no_rows(spark):
     none = model.boosted_trees(df.limit(0), cols, rounds=4)
     assert none.trees == [] and none.transform(df).select("prediction").distinct().count() == 1
     assert model.random_forest(df.limit(0), cols, trees=4).trees == []
+
+
+def plain_landed(tree, bins, levels):
+    """Row by row; ``bins`` has a line for each column."""
+    out = []
+    for row in bins.T:
+        at = 1
+        for _ in range(levels):
+            at = 2 * at + int(row[tree.feature[at]] > tree.cut[at]) if tree.feature[at] >= 0 else at
+        out.append(at)
+    return out
+
+
+def test_places_are_those_of_a_walk_row_by_row():
+    rng = np.random.default_rng(2)
+    for depth in (1, 3, 4, 7, 9):
+        bins = rng.integers(0, 65, (3, 400)).astype(np.uint8)
+        tree = boost.Tree.empty(depth)
+        for q in range(1, 1 << depth):
+            if q == 1 or (tree.feature[q // 2] >= 0 and rng.random() < 0.8):
+                tree.feature[q], tree.cut[q] = int(rng.integers(3)), int(rng.integers(1, 64))
+        for levels in range(depth + 1):
+            assert boost.landed(tree, bins, levels).tolist() == plain_landed(tree, bins, levels)
+
+
+def test_counts_by_table_are_those_by_search():
+    h = np.random.default_rng(3).integers(-2**62, 2**62, 200_000)
+    g = boost.Growth(bootstrap=True, seed=2)
+    want = np.searchsorted(boost.POISSON, boost.mixed(h, 2 * 1_000_003 + 5), "right")
+    assert (boost.row_weights(h, g, 5) == want).all()
+
+
+def same_trees(a, b):
+    assert len(a.trees) == len(b.trees)
+    for s, t in zip(a.trees, b.trees):
+        assert s.feature == t.feature and s.threshold == t.threshold and np.allclose(s.value, t.value, rtol=1e-9, atol=1e-9)
+
+
+def test_sums_by_cell_give_the_trees_of_the_rows(spark, monkeypatch, tmp_path):
+    """Few cells: the levels read sums by cell instead of every row, and the trees stay; so they do over several blocks and a resumed run."""
+    df, cols, _, _ = frame(spark, n=900)
+    df = df.withColumn("b", F.bround(F.col("b"), 0)).withColumn("a", F.when(F.col("id") % 11 > 0, F.floor(F.col("a") / 4).cast("double")))
+    growth = boost.Growth(l1=1e-3, l2=0.1, row_share=0.8, tree_columns=0.7)
+
+    def fitted(folder=None):
+        return [model.random_forest(df, cols, trees=7, key="id"), model.boosted_trees(df, cols, rounds=5, key="id"),
+                boost.boosted(df, cols, rounds=7, growth=growth, base=0.5, key="id", folder=folder, every=2)]
+
+    by_row = fitted()
+    read = []
+    plain = boost.sums_of
+    monkeypatch.setattr(boost, "sums_of", lambda rows, run, size: (read.append(rows.count()), plain(rows, run, size))[1])
+    monkeypatch.setattr(boost, "cell_tasks", lambda rows: 2)
+    monkeypatch.setattr(boost, "CELL_ROWS", 1)
+    monkeypatch.setattr(boost, "CELL_TREES", 3)  # seven trees are three blocks
+    folder = str(tmp_path / "run")
+    boost.boosted(df, cols, rounds=5, growth=growth, base=0.5, key="id", folder=folder, every=2)
+    by_cell = fitted(folder)
+    for a, b in zip(by_row, by_cell):
+        same_trees(a, b)
+    assert read and max(read) < 450  # every level read fewer rows than half of the table's
+
+
+def test_scores_are_those_of_the_thresholds(spark):
+    df, cols, x, _ = frame(spark)
+    m = model.random_forest(df, cols, trees=9, key="id")
+    odd = df.withColumn("a", F.when(F.col("id") % 5 == 1, None).when(F.col("id") % 5 == 2, float("nan")).otherwise(F.col("a")))
+    x[:, 0] = np.where(np.isin(np.arange(len(x)) % 5, (1, 2)), np.nan, x[:, 0])
+
+    def plain(row):
+        out = m.base
+        for t in m.trees:
+            at = 1
+            while t.feature[at] >= 0:
+                at = 2 * at + int(row[t.feature[at]] > t.threshold[at])
+            out += t.value[at]
+        return out
+
+    got = [r.prediction for r in m.transform(odd).orderBy("id").collect()]
+    assert np.allclose(got, [plain(r) for r in x])
