@@ -21,8 +21,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legflow.operators.enrich import broadcast_if_small
-from legflow.operators.quantiles import wide_quantiles
+from legflow.operators.enrich import BROADCAST_MAX_BYTES
+from legflow.operators.quantiles import bracketed_quantiles
 from legflow.session import ensure_checkpoint_dir
 
 
@@ -45,6 +45,24 @@ class Fitted:
             t.write.mode("overwrite").parquet(os.path.join(path, name))
 
 
+class LevelTable(Fitted):
+    """A fitted model with ``levels``: rows (__column, __level, ...)."""
+
+    levels: DataFrame
+
+    def broadcast_levels(self, table: DataFrame, c: str) -> DataFrame:
+        """``table``, the part of column ``c``, broadcast where its levels are few.
+
+        They are counted, once for a model: the optimizer's estimate follows the rows that a written table was fitted on,
+        and a join that is not broadcast would send all rows of a frequent level to one task.
+        """
+        if getattr(self, "_sized", None) is not self.levels:
+            self._bytes = {r["__column"]: r["b"] for r in self.levels.groupBy("__column").agg(
+                F.sum(F.coalesce(F.octet_length("__level"), F.lit(0)) + 64).alias("b")).collect()}  # a row for each column
+            self._sized = self.levels
+        return F.broadcast(table) if self._bytes.get(c, 0) <= BROADCAST_MAX_BYTES else table
+
+
 # ------------------------------------------------------------------ E1, E2: target encoders
 
 class LeaveOneOutEncoder:
@@ -72,7 +90,7 @@ class LeaveOneOutEncoder:
         return model, model.transform(df, training=True)
 
 
-class LeaveOneOutModel(Fitted):
+class LeaveOneOutModel(LevelTable):
     kind = "leave_one_out"
 
     def __init__(self, cols, label, suffix, prior, levels: DataFrame, min_count: int = 2):
@@ -91,7 +109,7 @@ class LeaveOneOutModel(Fitted):
         for c in self.cols:
             lv = self.levels.where(F.col("__column") == c).select(
                 F.col("__level").alias(f"__lv_{c}"), F.col("__sum").alias(f"__s_{c}"), F.col("__n").alias(f"__n_{c}"))
-            out = out.join(broadcast_if_small(lv), out[c].cast("string") == lv[f"__lv_{c}"], "left")
+            out = out.join(self.broadcast_levels(lv, c), out[c].cast("string") == lv[f"__lv_{c}"], "left")
             s, n = F.col(f"__s_{c}"), F.col(f"__n_{c}")
             if training:
                 y = F.col(self.label).cast("double")
@@ -145,7 +163,7 @@ class OrdinalEncoder:
         return OrdinalModel(self.cols, ranks.select("__column", "__level", (F.col("below") + 1).alias("__code")).checkpoint())
 
 
-class OrdinalModel(Fitted):
+class OrdinalModel(LevelTable):
     kind = "ordinal"
 
     def __init__(self, cols, levels: DataFrame):
@@ -158,8 +176,8 @@ class OrdinalModel(Fitted):
         return {"levels": self.levels}
 
     def _table(self, c):
-        return broadcast_if_small(self.levels.where(F.col("__column") == c).select(
-            F.col("__level").alias(f"__l_{c}"), F.col("__code").alias(f"__c_{c}")))
+        return self.broadcast_levels(self.levels.where(F.col("__column") == c).select(
+            F.col("__level").alias(f"__l_{c}"), F.col("__code").alias(f"__c_{c}")), c)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
@@ -312,8 +330,7 @@ class RobustScaler(_ColumnScaler):
     """(x - median) / (q75 - q25), exact linear-interpolated quantiles."""
 
     def _stats(self, df):
-        q = {(r["column"], r["q"]): r["quantile"]
-             for r in wide_quantiles(df, self.cols, [0.25, 0.5, 0.75]).collect()}  # 3 rows per column
+        q = bracketed_quantiles(df, self.cols, [0.25, 0.5, 0.75])
         center = {c: q.get((c, 0.5)) for c in self.cols}
         scale = {c: (q[(c, 0.75)] - q[(c, 0.25)]) if (c, 0.75) in q else None for c in self.cols}
         return center, scale

@@ -65,6 +65,49 @@ def wide_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -
     return quantiles(long, "column", "value", probs)
 
 
+#: A sketched rank is at most this share of the rows away from the true one.
+SKETCH = 1e-4
+
+
+def bracketed_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
+    """{(column, q): quantile}, the values of ``wide_quantiles``, without a group for each distinct value.
+
+    A sketch of bounded size gives two values around each quantile; the rows
+    below them are counted and only those between them are ranked, which are
+    some ten-thousandths of the rows beside the repeats of two values.
+    """
+    at = [f"__{i}" for i in range(len(cols))]
+    x = df.select([F.col(c).cast("double").alias(n) for c, n in zip(cols, at)])
+    marks = F.array(*[F.lit(float(min(1.0, max(0.0, p + 2 * s * SKETCH)))) for p in probs for s in (-1, 1)])
+    r = x.agg(*[a for n in at for a in (F.count(n).alias(f"n{n}"), F.count_if(F.isnan(n)).alias(f"nan{n}"),
+                                         F.percentile_approx(n, marks, round(1 / SKETCH)).alias(f"s{n}"))]).first()
+    if any(r[f"nan{n}"] for n in at):  # sketches do not order NaN
+        return {(g["column"], g["q"]): g["quantile"] for g in wide_quantiles(df, cols, probs).collect()}  # a row for each column and quantile
+    brackets = {f"{i}:{j}": (n, r[f"s{n}"][2 * j], r[f"s{n}"][2 * j + 1], (r[f"n{n}"] - 1) * float(p))
+                for i, n in enumerate(at) if r[f"n{n}"] for j, p in enumerate(probs)}
+    if not brackets:
+        return {}
+    counted = x.agg(*[a for g, (n, low, high, _) in brackets.items()
+                      for a in (F.count_if(F.col(n) < low).alias(f"b{g}"), F.count_if(F.col(n) <= high).alias(f"u{g}"))]).first()
+    targets = []
+    for g, (n, _, _, h) in brackets.items():
+        low, high = int(h), min(int(h) + 1, r[f"n{n}"] - 1)
+        if not counted[f"b{g}"] <= low <= high < counted[f"u{g}"]:  # the sketch missed
+            return {(g["column"], g["q"]): g["quantile"] for g in wide_quantiles(df, cols, probs).collect()}
+        targets.append((g, low - counted[f"b{g}"], high - counted[f"b{g}"]))
+    inside = [F.when(F.col(n).between(low, high), F.struct(F.lit(g).alias("g"), F.col(n).alias("v"))) for g, (n, low, high, _) in brackets.items()]
+    long = x.select(F.explode(F.filter(F.array(*inside), lambda v: v.isNotNull())).alias("v")).select("v.g", "v.v")
+    ranks = value_ranks(long, "g", "v").join(F.broadcast(df.sparkSession.createDataFrame(targets, "g string, low bigint, high bigint")), "g")
+    covers = lambda pos: (F.col("below") <= pos) & (pos < F.col("below") + F.col("cnt"))
+    low, high = F.when(covers(F.col("low")), F.col("v")), F.when(covers(F.col("high")), F.col("v"))
+    out = {}
+    for row in ranks.where(low.isNotNull() | high.isNotNull()).groupBy("g").agg(F.max(low).alias("lo"), F.max(high).alias("hi")).collect():
+        i, j = map(int, row["g"].split(":"))
+        h = brackets[row["g"]][3]
+        out[cols[i], probs[j]] = row["lo"] + (row["hi"] - row["lo"]) * (h - int(h))
+    return out
+
+
 def average_ranks(long: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, avg_rank): 1-based rank, ties get the mean of their ranks."""
     r = value_ranks(long, group, value)

@@ -98,3 +98,49 @@ def test_stratified_folds_balanced(spark):
     for lab in range(3):
         per = [counts[(k, lab)] for k in range(5)]
         assert max(per) - min(per) <= 1
+
+
+def test_bracketed_quantiles_are_the_exact_ones(spark, monkeypatch):
+    from legflow.operators import quantiles as ranks
+
+    rng = np.random.default_rng(4)
+    n = 30_000
+    rows = [(float(a), float(b), None if i % 7 == 0 else float(i % 5), float(i)) for i, (a, b) in enumerate(zip(rng.normal(size=n), rng.integers(0, 3, n)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    ranked = []
+    plain = ranks.value_ranks
+    monkeypatch.setattr(ranks, "value_ranks", lambda long, g, v, weight=None: (ranked.append(long.distinct().count()), plain(long, g, v, weight))[1])
+    for x in (df, df.limit(1), df.limit(2), df.limit(9), df.limit(0), df.withColumn("b", F.lit(None).cast("double")),
+              df.withColumn("a", F.when(F.col("d") % 3 == 0, float("nan")).otherwise(F.col("a")))):
+        x = x.localCheckpoint()  # the same rows for both
+        want = {(r["column"], r["q"]): r["quantile"] for r in ranks.wide_quantiles(x, ["a", "b", "c", "d"], probs).collect()}
+        ranked.clear()
+        got = ranks.bracketed_quantiles(x, ["a", "b", "c", "d"], probs)
+        assert got.keys() == want.keys() and all(got[k] == want[k] or (np.isnan(got[k]) and np.isnan(want[k])) for k in want)
+        if x.count() == n and not x.where("isnan(a)").count():
+            assert ranked and ranked[0] < n / 50
+
+
+def test_few_levels_are_broadcast_whatever_the_estimate(spark):
+    """The optimizer takes a written level table for as large as the rows it was fitted on; joined by a shuffle, a level would be one task."""
+    a, b = spark.range(3000).toDF("a"), spark.range(3000).toDF("b")
+    df = a.join(b, F.col("a") == F.col("b")).select((F.col("a") % 3).cast("string").alias("k"), (F.col("a") % 2).cast("string").alias("m"), F.col("a").cast("double").alias("label"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m, out = encode.LeaveOneOutEncoder(["k", "m"]).fit_transform(df)
+        codes = encode.OrdinalEncoder(["k", "m"]).fit(df)
+        for x in (m.transform(df), out, codes.transform(df), codes.inverse_transform(codes.transform(df))):
+            plan = x._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("BroadcastHashJoin") >= 2 and plan.count("SortMergeJoin") <= 1  # the rows' own join
+        assert out.count() == 3000 and codes.transform(df).where("k is null or m is null").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_many_levels_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(encode, "BROADCAST_MAX_BYTES", 100)
+    df = spark.range(40).select((F.col("id") % 8).cast("string").alias("k"), F.col("id").cast("double").alias("label"))
+    out = encode.LeaveOneOutEncoder(["k"]).fit(df).transform(df)
+    assert sorted({r.k for r in out.collect()}) == [16.0 + i for i in range(8)]
