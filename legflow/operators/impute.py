@@ -312,6 +312,8 @@ def drop_unfilled(pred: DataFrame, truth: DataFrame, key: str) -> tuple[DataFram
 
 KNN_BLOCK_BYTES = 16 << 20
 KNN_CHUNK = 256
+#: Distances that a task holds at once.
+KNN_DISTANCES = 1 << 20
 #: Queries that meet a block of train rows in one task.
 KNN_QUERIES = 1 << 14
 
@@ -327,18 +329,21 @@ def _knn_block(k: int):
                 if side == 0:
                     held.append(part)
                     continue
-                if not held:
-                    continue
                 if ready is None:
+                    if not held:
+                        continue
                     t = pd.concat(held).sort_values("id", kind="stable")
                     x = np.stack(t["features"].to_numpy()).astype(np.float64)
                     ready = (x, (x ** 2).sum(axis=1), t["label"].to_numpy(), t["id"].to_numpy())
+                    held, t = [], None
                 x, x2, y, ids = ready
                 kk = min(k, len(ids))
-                for at in range(0, len(part), KNN_CHUNK):
-                    sub = part.iloc[at:at + KNN_CHUNK]
+                step = max(1, min(KNN_CHUNK, KNN_DISTANCES // len(ids)))
+                for at in range(0, len(part), step):
+                    sub = part.iloc[at:at + step]
                     q = np.stack(sub["features"].to_numpy()).astype(np.float64)
-                    d2 = (q ** 2).sum(axis=1)[:, None] + x2[None, :] - 2.0 * q @ x.T
+                    d2 = (q ** 2).sum(axis=1)[:, None] + x2[None, :]
+                    d2 -= 2.0 * q @ x.T
                     # everything not beyond the k-th distance, then order by (distance, train id)
                     edge = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
                     rows = []

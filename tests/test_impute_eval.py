@@ -76,3 +76,24 @@ def test_neighbours_by_blocks_and_slots_are_the_same(spark):
             for b, s in ((1 << 20, 1 << 14), (500, 7), (500, 1 << 14), (1 << 20, 9))]
     assert runs[0] == runs[1] == runs[2] == runs[3] and len(runs[0]) == 200
     assert impute.nearest_neighbours(T, Q.limit(0), 5).count() == 0 and impute.nearest_neighbours(T.limit(0), Q, 5).count() == 0
+
+
+def test_a_task_holds_few_distances():
+    """Distances of a block are worked out for as many queries as fit a fixed number, so memory does not follow the block."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    n, m = 30_000, 300
+    x = rng.integers(0, 50, (n + m, 2)).astype(float)
+    frame = pd.DataFrame({"task": 0, "side": [0] * n + [1] * m, "id": range(n + m), "features": list(x), "label": 0})
+    tracemalloc.start()
+    got = pd.concat(impute._knn_block(3)(iter([frame.iloc[:n], frame.iloc[n:]])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    for q in (n, n + m - 1):
+        d2 = ((x[:n] - x[q]) ** 2).sum(axis=1)
+        assert got[got["query_id"] == q]["neighbour_id"].tolist() == np.lexsort((np.arange(n), d2))[:3].tolist()
