@@ -36,6 +36,16 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> D
     return F.broadcast(df) if plan_bytes(df) <= max_bytes else df
 
 
+#: File bytes of legs and observations that a partition stands for; sorted rows are some 25 times as large.
+PART_BYTES, MOST_PARTS = 4 << 20, 4096
+
+
+def parts_for(*frames: DataFrame) -> int | None:
+    """Partitions for sorts of the rows of ``frames``, by the optimizer's estimate; None where the session's number is enough."""
+    n = -(-sum(plan_bytes(f) for f in frames) // PART_BYTES)
+    return min(n, MOST_PARTS) if n > int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def code_lookup(df: DataFrame, codes: DataFrame, col: str, out: str, code_from: str = "iata",
                 code_to: str = "icao", missing: str = "") -> DataFrame:
     """``out`` = translation of ``col`` through ``codes``.
@@ -64,11 +74,11 @@ def observation_payload(weather: DataFrame, fields: Sequence[str] = WEATHER_FIEL
 
 
 def nearest_observation(legs: DataFrame, weather: DataFrame, station_col: str, time_col: str, prefix: str,
-                        payload: Sequence[str] | None = None, bucket_minutes: int = 60) -> DataFrame:
+                        payload: Sequence[str] | None = None, bucket_minutes: int = 60, parts: int | None = None) -> DataFrame:
     """The observation nearest to ``time_col`` within its calendar day at ``station_col``."""
     payload = list(payload) if payload is not None else observation_payload(weather)
     return nearest_in_time(legs, weather, station_col, time_col, "station", "time", "feed_seq", payload,
-                           prefix=prefix, bucket_minutes=bucket_minutes)
+                           prefix=prefix, bucket_minutes=bucket_minutes, parts=parts)
 
 
 def enrich_both_ends(legs: DataFrame, weather: DataFrame, codes: DataFrame,
@@ -80,25 +90,29 @@ def enrich_both_ends(legs: DataFrame, weather: DataFrame, codes: DataFrame,
     station, time) and both results join back to the legs on the key, so the
     wide leg rows cross the network once (a co-partitioned pair of sort-merge
     joins) instead of once per leg end.  Without a key the legs are carried
-    through both passes."""
+    through both passes.  The partitions follow the size of the tables, so
+    what a task sorts does not grow with them."""
+    parts = parts_for(legs, weather)
     payload = list(payload) if payload is not None else observation_payload(weather)
     if key is None or key not in legs.columns:
         x = code_lookup(legs, codes, "origin_airport", "__origin_station")
         x = code_lookup(x, codes, "destination_airport", "__destination_station")
-        x = nearest_observation(x, weather, "__origin_station", "off_block_date", "origin_", payload, bucket_minutes)
+        x = nearest_observation(x, weather, "__origin_station", "off_block_date", "origin_", payload, bucket_minutes, parts)
         x = nearest_observation(x, weather, "__destination_station", "on_block_date", "destination_", payload,
-                                bucket_minutes)
+                                bucket_minutes, parts)
         return x.drop("__origin_station", "__destination_station")
     narrow = legs.select(key, "origin_airport", "destination_airport", "off_block_date", "on_block_date")
     table = code_table(codes)
     narrow = code_lookup(narrow, table, "origin_airport", "__origin_station")
     narrow = code_lookup(narrow, table, "destination_airport", "__destination_station")
     o = nearest_observation(narrow.select(key, "__origin_station", "off_block_date"), weather, "__origin_station",
-                            "off_block_date", "origin_", payload, bucket_minutes)
+                            "off_block_date", "origin_", payload, bucket_minutes, parts)
     d = nearest_observation(narrow.select(key, "__destination_station", "on_block_date"), weather,
-                            "__destination_station", "on_block_date", "destination_", payload, bucket_minutes)
+                            "__destination_station", "on_block_date", "destination_", payload, bucket_minutes, parts)
     o = o.drop("__origin_station", "off_block_date")
     d = d.drop("__destination_station", "on_block_date")
+    if parts:
+        legs, o, d = (x.repartition(parts, key) for x in (legs, o, d))
     return legs.join(o, key, "left").join(d, key, "left")
 
 

@@ -94,7 +94,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
 
 def nearest_in_time(left: DataFrame, right: DataFrame, left_key: str, left_time: str, right_key: str,
                     right_time: str, right_seq: str, payload: Sequence[str], prefix: str = "",
-                    bucket_minutes: int = 60) -> DataFrame:
+                    bucket_minutes: int = 60, parts: int | None = None) -> DataFrame:
     """Attach to each left row the right row of the same key whose time is
     nearest to the left time **within the left time's calendar day**
     ([day, day + 1)).  Ties (equal gap, or equal right time) go to the
@@ -106,7 +106,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_key: str, left_time:
     forward descending) in the same partitioning.  Carry rows hold, per
     bucket, the latest observation of the day's earlier buckets and the
     earliest of its later buckets; they are derived from the right side only
-    (at most ``2 * 1440 / bucket_minutes`` per key and day).
+    (at most ``2 * 1440 / bucket_minutes`` per key and day).  ``parts``: the
+    number of partitions of that shuffle instead of the session's.
     """
     if 1440 % bucket_minutes:
         raise ValueError("bucket_minutes must divide a day")
@@ -155,6 +156,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_key: str, left_time:
     u = legs.unionByName(obs.unionByName(carry_rows).withColumns({"__kind": F.lit(0), "__row": no_row}))
 
     part = ["__k", "__day", "__bkt"]
+    u = u.repartition(parts, *part) if parts else u
     is_obs = F.col("__kind") == 0
     w_back = Window.partitionBy(*part).orderBy(F.col("__t").asc(), F.col("__kind").asc()).rowsBetween(UNB, 0)
     w_fwd = Window.partitionBy(*part).orderBy(F.col("__t").desc(), F.col("__kind").asc()).rowsBetween(UNB, 0)

@@ -189,3 +189,47 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_partitions_of_the_enrichment_follow_the_tables(spark, monkeypatch, tmp_path):
+    from legflow.operators import enrich
+
+    spark.range(500).selectExpr(
+        "id as leg_id", "concat('A', id % 3) as origin_airport", "concat('A', id % 4) as destination_airport",
+        "case when id % 9 > 0 then timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 7 % 2880) end as off_block_date",
+        "timestamp_ntz'2024-01-01 01:00:00' + make_interval(0, 0, 0, 0, 0, id * 11 % 2880) as on_block_date").write.parquet(str(tmp_path / "legs"))
+    spark.range(400).selectExpr("id as feed_seq", "concat('S', id % 3) as station", "cast(id as string) as wind_speed",
+                                "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 13 % 2880) as time").write.parquet(str(tmp_path / "obs"))
+    legs, obs = spark.read.parquet(str(tmp_path / "legs")), spark.read.parquet(str(tmp_path / "obs"))
+    codes = spark.createDataFrame([("A0", "S0"), ("A1", "S1"), ("A2", "S2")], "iata string, icao string")
+    few = enrich.enrich_both_ends(legs, obs, codes)
+    monkeypatch.setattr(enrich, "PART_BYTES", 1 + enrich.plan_bytes(legs) // 40)
+    many = enrich.enrich_both_ends(legs, obs, codes)
+    parts = enrich.parts_for(legs, obs)
+    assert parts > 40 and few.where("origin_wind_speed is not null").count() > 100
+    assert many.rdd.getNumPartitions() == parts
+    assert few.exceptAll(many).count() == many.exceptAll(few).count() == 0
+
+
+def test_reloaded_scores_are_compared_without_a_join(spark, tmp_path):
+    """Rows that share an id count once for every pair, as in a join of the two scorings."""
+    import __spark_entry__ as entry
+
+    rows = spark.range(400).selectExpr(
+        "id div 2 as l_orderkey", "id div 2 as l_partkey", "1L as l_suppkey", "1 as l_linenumber", "cast(id div 2 % 50 as double) as l_quantity",
+        "cast((id div 2) * 7 % 1000 as double) as l_extendedprice", "cast(id div 2 % 11 as double) / 100 as l_discount", "cast(id div 2 % 9 as double) / 100 as l_tax",
+        "case when id div 2 % 3 = 0 then 'R' else 'N' end as l_returnflag", "'F' as l_linestatus", "timestamp_ntz'2024-01-01 00:00:00' as l_shipdate")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    from legflow.operators import model
+    from legflow.plans.q_ml import li_row_id
+
+    _, test = model.train_test_split(rows.select(li_row_id().alias("row_id")), "row_id")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = entry.queries()["s7_model_save_and_reload"](spark, str(tmp_path))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+        got = out.first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got["n_scored"] == 2 * test.count() > 0 and got["max_abs_diff"] == 0
