@@ -12,6 +12,10 @@ trees and adds them up by cell, and the levels of those trees read the sums
 instead of the rows.  With many cells the levels read the rows.  Either way
 every row is drawn by its own key, and the trees are the same but for rounding.
 
+Boosted trees follow one another, so levels would take four jobs a round.
+Where the rows, or the cells, fit a fixed number of bytes, one task holds them
+and grows the rounds in turn, by the same sums; beyond it a level is a job.
+
 Boosting is resumable.  Every ``every`` rounds the rows' margins and the trees
 so far are written to ``folder``; a run with the same folder goes on from the
 last of these, and gives the trees that an uninterrupted run gives, since
@@ -26,7 +30,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -118,27 +122,31 @@ WIDE_LEVELS = 5
 
 def landed(tree: Tree, bins: np.ndarray, levels: int) -> np.ndarray:
     """The heap place each row has reached after ``levels`` levels; ``bins`` has a line for each column."""
-    n = bins.shape[1]
-    at = np.ones(n, np.uint8 if levels < 8 else np.int64)
+    at = np.ones(bins.shape[1], np.uint8 if levels < 8 else np.int64)
     for level in range(levels):
-        places = [q for q in range(1 << level, 2 << level) if tree.feature[q] >= 0]
-        if not places:
-            break
-        if level < WIDE_LEVELS:
-            step = np.zeros(n, at.dtype)
-            for q in places:  # from q to 2q, or to 2q + 1
-                go = (bins[tree.feature[q]] > tree.cut[q]).view(np.uint8) + np.uint8(q)
-                go *= (at == q).view(np.uint8)
-                step += go
-            at = at + step
-        else:
-            feature, cut = np.array(tree.feature), np.array(tree.cut)
-            f, deep = feature[at], at.astype(np.int64)
-            right = bins[np.maximum(f, 0), np.arange(n)] > cut[at]
-            at = np.where(f >= 0, 2 * deep + right, deep).astype(at.dtype)
+        at = stepped(tree, bins, at, level)
     return at
 
 
+def stepped(tree: Tree, bins: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+    """The places one level on, from those after ``level`` levels."""
+    places = [q for q in range(1 << level, 2 << level) if tree.feature[q] >= 0]
+    if not places:
+        return at
+    n = len(at)
+    if level < WIDE_LEVELS:
+        step = np.zeros(n, at.dtype)
+        for q in places:  # from q to 2q, or to 2q + 1
+            go = (bins[tree.feature[q]] > tree.cut[q]).view(np.uint8) + np.uint8(q)
+            go *= (at == q).view(np.uint8)
+            step += go
+        return at + step
+    feature, cut = np.array(tree.feature), np.array(tree.cut)
+    f, deep = feature[at], at.astype(np.int64)
+    right = bins[np.maximum(f, 0), np.arange(n)] > cut[at]
+    return np.where(f >= 0, 2 * deep + right, deep).astype(at.dtype)
+
+
 def binned(df: DataFrame, features: Sequence[str], label: str, key: str | None, bins: int = BINS) -> tuple[DataFrame, list[list[float]]]:
     """(rows (bins, label, h, margin), thresholds of each column): bin b of a column holds values up to its b-th threshold."""
     cols = [f"__{i}" for i in range(len(features))]
@@ -236,8 +244,9 @@ def cell_trees(n: int, cells: int, tasks: int, d: int, p: Growth) -> int:
     return max(1, min(CELL_TREES, CELL_BYTES // (16 * max(cells, 1))))
 
 
-def summed(rows: DataFrame, numbers: Sequence[int], trees: list[Tree], start: float, centre: float, d: int, p: Growth) -> Cells:
-    """The sums by cell for the trees of ``numbers``; a cell's margin is ``start`` and what ``trees`` add."""
+def summed(rows: DataFrame, numbers: Sequence[int], trees: list[Tree], start: float, centre: float, d: int, p: Growth, merged: bool = False) -> Cells:
+    """The sums by cell for the trees of ``numbers``; a cell's margin is ``start`` and what ``trees`` add.  ``merged``: a row for each
+    cell, not one from each task."""
     from legflow.session import written
 
     depth, first, many = p.depth, numbers[0], len(numbers)
@@ -268,11 +277,13 @@ def summed(rows: DataFrame, numbers: Sequence[int], trees: list[Tree], start: fl
                 w_sum[i, at] += np.bincount(here, w, k)
                 w *= y
                 y_sum[i, at] += np.bincount(here, w, k)
-        n = len(known)
-        margin = np.full(n, start)
+        margin = np.full(len(known), start)
         for t in trees:
             margin += np.array(t.value)[landed(t, places, depth)]
-        step = max(1, (1 << 22) // many)
+        yield from out(places, w_sum, y_sum, margin)
+
+    def out(places: np.ndarray, w_sum: np.ndarray, y_sum: np.ndarray, margin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, step = len(margin), max(1, (1 << 22) // many)
         for a in range(0, n, step):
             b = min(n, a + step)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * many, many, dtype=np.int32)), pa.array(np.ascontiguousarray(v[:, a:b].T).ravel()))
@@ -281,8 +292,31 @@ def summed(rows: DataFrame, numbers: Sequence[int], trees: list[Tree], start: fl
             binary = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, pa.py_buffer(np.ascontiguousarray(places[:, a:b].T))])
             yield pa.RecordBatch.from_arrays([binary, *lists, pa.array(margin[a:b])], ["bins", "w", "y", "margin"])
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = pd.Index(np.zeros(0, np.int64)), None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            bins = columns_of(batch.column(0), d)
+            by = np.argsort(codes := scale @ bins, kind="stable")
+            firsts = np.flatnonzero(np.r_[True, np.diff(codes[by]) > 0])
+            here = (bins[:, by[firsts]], *(np.add.reduceat(batch.column(i).flatten().to_numpy().reshape(n, many)[by], firsts).T for i in (1, 2)), batch.column(3).to_numpy()[by[firsts]])
+            at = known.get_indexer(codes[by[firsts]])
+            old, new = at >= 0, at < 0
+            if held:
+                for total, more in zip(held[1:3], here[1:3]):
+                    total[:, at[old]] += more[:, old]
+            known = known.append(pd.Index(codes[by[firsts]][new]))
+            held = [np.concatenate([x, y[..., new]], axis=-1) for x, y in zip(held, here)] if held else [*here]
+        if held:
+            yield from out(*held)
+
+    schema = "bins binary, w array<double>, y array<double>, margin double"
     dealt = rows.select("bins", "label", "h").coalesce(cell_tasks(rows))
-    cells = dealt.mapInArrow(run, "bins binary, w array<double>, y array<double>, margin double")
+    cells = dealt.mapInArrow(run, schema)
+    if merged:
+        cells = cells.repartition(rows.sparkSession.sparkContext.defaultParallelism, "bins").mapInArrow(joined, schema)
     return Cells(written(cells, "cells"), first, centre, False)
 
 
@@ -297,8 +331,28 @@ def sums_of(rows: DataFrame, run, size: int) -> np.ndarray:
     return out
 
 
-def histograms(rows: DataFrame | Cells, trees: list[Tree], numbers: list[int], recent: list[Tree], level: int, d: int, g: Growth) -> np.ndarray:
-    """Sums (tree, node, column, bin, [gradient, hessian]) of one level of all ``trees`` at squared loss.
+def added(total: np.ndarray, at: np.ndarray, level: int, columns: Sequence[int], bins: np.ndarray, gradient: np.ndarray, w: np.ndarray | None) -> None:
+    """The sums of rows of these places, gradients, weighted already, and weights (None: all one), in those of ``columns``."""
+    nodes, wide = 1 << level, BINS + 1
+    live = at >= nodes if w is None else w > 0 if not level else (at >= nodes) & (w > 0)
+    base = at.astype(np.intp)
+    base -= nodes
+    base *= wide
+    if not live.all():
+        live = np.flatnonzero(live)
+        if not len(live):
+            return
+        base, gradient, w, bins = base[live], gradient[live], None if w is None else w[live], bins[:, live]
+    for f in columns:
+        spot = base + bins[f]
+        total[f, :, 0] += np.bincount(spot, gradient, nodes * wide)
+        total[f, :, 1] += np.bincount(spot, w, nodes * wide)
+
+
+def histograms(rows: DataFrame | Cells, trees: list[Tree], numbers: list[int], recent: list[Tree], level: int, d: int, g: Growth,
+               wanted: Sequence[Sequence[int]]) -> np.ndarray:
+    """Sums (tree, node, column, bin, [gradient, hessian]) of one level of all ``trees`` at squared loss, in the columns
+    ``wanted`` of each.
 
     ``recent``: trees that the margins of the rows or cells do not hold yet.
     """
@@ -307,23 +361,6 @@ def histograms(rows: DataFrame | Cells, trees: list[Tree], numbers: list[int], r
     cells = rows if isinstance(rows, Cells) else None
     spots, centre = ([cells.at(i) for i in numbers], cells.centre) if cells else ([], 0.0)
 
-    def added(total: np.ndarray, tree: Tree, bins: np.ndarray, gradient: np.ndarray, w: np.ndarray | None) -> None:
-        """The sums of rows of these gradients, weighted already, and weights (None: all one)."""
-        at = landed(tree, bins, level)
-        live = at >= nodes if w is None else w > 0 if not level else (at >= nodes) & (w > 0)
-        base = at.astype(np.intp)
-        base -= nodes
-        base *= wide
-        if not live.all():
-            live = np.flatnonzero(live)
-            if not len(live):
-                return
-            base, gradient, w, bins = base[live], gradient[live], None if w is None else w[live], bins[:, live]
-        for f in range(d):
-            spot = base + bins[f]
-            total[f, :, 0] += np.bincount(spot, gradient, nodes * wide)
-            total[f, :, 1] += np.bincount(spot, w, nodes * wide)
-
     def out(total: np.ndarray) -> pa.RecordBatch:
         flat = total.reshape(-1, 2)
         some = np.flatnonzero(flat[:, 1])
@@ -337,7 +374,7 @@ def histograms(rows: DataFrame | Cells, trees: list[Tree], numbers: list[int], r
             gradient = margin - label
             for k, (tree, number) in enumerate(zip(trees, numbers)):
                 w = None if whole else row_weights(h, g, number)
-                added(total[k], tree, bins, gradient if whole else gradient * w, w)
+                added(total[k], landed(tree, bins, level), level, wanted[k], bins, gradient if whole else gradient * w, w)
         yield out(total)
 
     def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +389,7 @@ def histograms(rows: DataFrame | Cells, trees: list[Tree], numbers: list[int], r
             w, y = (batch.column(i).flatten().to_numpy().reshape(n, -1) for i in (1, 2))
             for k, (tree, at) in enumerate(zip(trees, spots)):
                 mine = np.ascontiguousarray(w[:, at])
-                added(total[k], tree, bins, margin * mine - y[:, at], mine)
+                added(total[k], landed(tree, bins, level), level, wanted[k], bins, margin * mine - y[:, at], mine)
         yield out(total)
 
     size = len(trees) * d * nodes * wide
@@ -378,7 +415,7 @@ def leaf(g: float, h: float, p: Growth) -> float:
 
 def split(tree: Tree, place: int, sums: np.ndarray, edges: list, allowed: Sequence[int], p: Growth, gains: np.ndarray) -> None:
     """Set the best split of one node from its histogram (column, bin, 2), or leave it a leaf; values of the children follow."""
-    g, h = sums[0].sum(axis=0)
+    g, h = sums[allowed[0]].sum(axis=0)
     tree.value[place] = leaf(g, h, p)
     best = (1e-9, None)
     for f in allowed:
@@ -399,29 +436,139 @@ def split(tree: Tree, place: int, sums: np.ndarray, edges: list, allowed: Sequen
     gains[f] += best[0]
 
 
-def grown(rows: DataFrame | Cells, numbers: list[int], recent: list[Tree], edges: list, p: Growth) -> tuple[list[Tree], np.ndarray]:
-    """One tree for each number, level by level, and the gain of each column in each tree."""
+def grown(sums: Callable[[list[Tree], int, list[list[int]]], np.ndarray], numbers: Sequence[int], edges: list, p: Growth) -> tuple[list[Tree], np.ndarray]:
+    """One tree for each number, level by level, and the gain of each column in each tree.  ``sums``: the histograms of a level
+    (see there) of the trees so far, in each tree's columns."""
     d = len(edges)
     trees, gains = [Tree.empty(p.depth) for _ in numbers], np.zeros((len(numbers), d))
+    drawn = [sorted(np.random.default_rng([p.seed, i]).permutation(d)[:max(1, int(p.tree_columns * d))].tolist()) for i in numbers]
     for level in range(p.depth):
-        sums = histograms(rows, trees, numbers, recent, level, d, p)
-        open_ = 0
-        for k, (tree, number) in enumerate(zip(trees, numbers)):
-            mine = sorted(np.random.default_rng([p.seed, number]).permutation(d)[:max(1, int(p.tree_columns * d))].tolist())
-            for node in range(1 << level):
-                place = (1 << level) + node
-                if level and (tree.feature[place // 2] < 0):
-                    continue
-                allowed = mine
-                if p.node_columns and p.node_columns < len(mine):
-                    allowed = sorted(np.random.default_rng([p.seed, number, place]).permutation(mine)[:p.node_columns].tolist())
-                split(tree, place, sums[k, node], edges, allowed, p, gains[k])
-                open_ += tree.feature[place] >= 0
-        if not open_:
+        allowed: list[dict[int, list[int]]] = []  # of each tree's open nodes
+        for tree, number, mine in zip(trees, numbers, drawn):
+            places = [q for q in range(1 << level, 2 << level) if not level or tree.feature[q // 2] >= 0]
+            some = p.node_columns and p.node_columns < len(mine)
+            allowed.append({q: sorted(np.random.default_rng([p.seed, number, q]).permutation(mine)[:p.node_columns].tolist()) if some else mine for q in places})
+        if not any(allowed):
             break
+        got = sums(trees, level, [sorted({f for x in of.values() for f in x}) for of in allowed])
+        for k, (tree, of) in enumerate(zip(trees, allowed)):
+            for place, columns in of.items():
+                split(tree, place, got[k, place - (1 << level)], edges, columns, p, gains[k])
     return trees, gains
 
 
+def grown_by_jobs(rows: DataFrame | Cells, numbers: list[int], recent: list[Tree], edges: list, p: Growth) -> tuple[list[Tree], np.ndarray]:
+    """``grown``, each level by a job over the rows or cells."""
+    return grown(lambda trees, level, wanted: histograms(rows, trees, numbers, recent, level, len(edges), p, wanted), numbers, edges, p)
+
+
+# ------------------------------------------------------------------- rounds in one task
+
+#: Bytes of the rows or cells that one task holds to grow boosted trees, and those of a row beside its bins.
+TASK_BYTES, ROW_BYTES = 96 << 20, 64
+
+
+def fits_a_task(n: int, d: int) -> bool:
+    return n * (d + ROW_BYTES) <= TASK_BYTES
+
+
+def rounds_of(bins: np.ndarray, margin: np.ndarray, drawn: Callable[[int, np.ndarray], tuple], numbers: Sequence[int], edges: list, p: Growth,
+              rate: float) -> tuple[list[Tree], np.ndarray]:
+    """The boosted trees of ``numbers``, values scaled by ``rate``, and their gains, from rows or cells in memory.  ``drawn``: the
+    gradients, weighted, and weights (None: all one) of a round at these margins."""
+    d, trees, total = len(edges), [], np.zeros(len(edges))
+    for number in numbers:
+        gradient, w = drawn(number, margin)
+        mine = bins
+        if w is not None and not (live := w > 0).all():
+            live = np.flatnonzero(live)
+            mine, gradient, w = bins[:, live], gradient[live], w[live]
+        at = np.ones(mine.shape[1], np.uint8 if p.depth < 8 else np.int64)
+
+        def sums(grown_: list[Tree], level: int, wanted: list[list[int]]) -> np.ndarray:
+            nonlocal at
+            if level:
+                at = stepped(grown_[0], mine, at, level - 1)
+            out = np.zeros((d, (1 << level) * (BINS + 1), 2))
+            added(out, at, level, wanted[0], mine, gradient, w)
+            return out.reshape(1, d, 1 << level, BINS + 1, 2).transpose(0, 2, 1, 3, 4)
+
+        (tree,), gains = grown(sums, [number], edges, p)
+        tree.value = [rate * v for v in tree.value]
+        margin = margin + np.array(tree.value)[landed(tree, bins, p.depth)]
+        trees.append(tree)
+        total += gains[0]
+    return trees, total
+
+
+def grown_in_a_task(source: DataFrame | Cells, numbers: Sequence[int], trees: list[Tree], start: float, centre: float, edges: list, p: Growth,
+                    rate: float) -> tuple[list[Tree], np.ndarray]:
+    """The boosted trees of ``numbers`` that follow ``trees``, and the gain of each column, from one task that holds all of ``source``:
+    rows, worked by cell where these are few, or cells, whose margins may hold ``trees`` already."""
+    d, depth, whole = len(edges), p.depth, not p.bootstrap and p.row_share >= 1
+    cells = isinstance(source, Cells)
+    spots, shared = {i: source.at(i) for i in numbers} if cells else {}, cells and source.shared  # a task gets these, not the table
+
+    def walked(margin: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        for t in trees:
+            margin = margin + np.array(t.value)[landed(t, bins, depth)]
+        return margin
+
+    def said(got: tuple[list[Tree], np.ndarray]) -> pa.RecordBatch:
+        state = json.dumps([[[t.feature, t.threshold, t.cut, t.value] for t in got[0]], got[1].tolist()])
+        return pa.RecordBatch.from_arrays([pa.array([state])], ["state"])
+
+    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(chunks(batches, d))
+        bins = np.hstack([x[0] for x in parts])
+        label, h = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
+        del parts
+        n = len(label)
+        here, codes = pd.factorize(65 ** np.arange(d, dtype=np.int64) @ bins) if d <= 10 else (None, ())
+        if here is None or len(codes) * CELL_ROWS > n:
+            def drawn(number, margin):
+                w = None if whole else row_weights(h, p, number)
+                return (margin - label, None) if whole else ((margin - label) * w, w)
+
+            yield said(rounds_of(bins, walked(np.full(n, start), bins), drawn, numbers, edges, p, rate))
+            return
+        k, y = len(codes), label - centre
+        firsts = np.zeros(k, np.int64)
+        firsts[here[::-1]] = np.arange(n)[::-1]
+        places = np.ascontiguousarray(bins[:, firsts])
+        of_all = (np.bincount(here, None, k).astype(float), np.bincount(here, y, k)) if whole else None
+
+        def drawn(number, margin):
+            if whole:
+                w, y_sum = of_all
+            else:
+                w = row_weights(h, p, number)
+                w, y_sum = np.bincount(here, w, k), np.bincount(here, w * y, k)
+            return (margin - centre) * w - y_sum, w
+
+        yield said(rounds_of(places, walked(np.full(k, start), places), drawn, numbers, edges, p, rate))
+
+    def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(columns_of(x.column(0), d), *(x.column(i).flatten().to_numpy().reshape(x.num_rows, -1) for i in (1, 2)), x.column(3).to_numpy())
+                 for x in batches if x.num_rows]
+        bins, margin = np.hstack([x[0] for x in parts]), np.concatenate([x[3] for x in parts])
+        w, y = (np.ascontiguousarray(np.concatenate([x[i] for x in parts]).T) for i in (1, 2))
+        del parts
+
+        def drawn(number, margin):
+            at = spots[number]
+            return (margin - centre) * w[at] - y[at], w[at]
+
+        yield said(rounds_of(bins, walked(margin, bins) if shared else margin, drawn, numbers, edges, p, rate))
+
+    if cells:
+        found = source.rows.select("bins", "w", "y", "margin").coalesce(1).mapInArrow(by_cell, "state string")
+    else:
+        found = source.select("bins", "label", "h").coalesce(1).mapInArrow(by_row, "state string")
+    some, gains = json.loads(found.first()[0])
+    return [Tree(*t) for t in some], np.array(gains)
+
+
 # ------------------------------------------------------------------- models
 
 @dataclass
@@ -509,9 +656,9 @@ def boosted(df: DataFrame, features: Sequence[str], label: str = "label", rounds
 
     With a ``folder`` (shared by driver and executors) the run resumes there; only its last two written states are kept.
     """
-    spark, p = df.sparkSession, growth or Growth()
+    spark, p, resumes = df.sparkSession, growth or Growth(), folder is not None
     folder = folder or checkpoint_path(spark, f"boosted-{uuid.uuid4().hex}")
-    saved = _progress(spark, folder)
+    saved = _progress(spark, folder) if resumes else None
     if saved is None:
         rows, edges = binned(df, features, label, key)
         spread(rows).write.mode("overwrite").parquet(f"{folder}/binned")
@@ -522,33 +669,43 @@ def boosted(df: DataFrame, features: Sequence[str], label: str = "label", rounds
         if mean is None:
             model.importances = gains.tolist()
             return model
-        many = cell_trees(n, cells, cell_tasks(rows), len(edges), p)
+        alone = fits_a_task(n, len(edges))
+        many = 0 if alone else cell_trees(n, cells, cell_tasks(rows), len(edges), p)
         rows = rows.withColumn("margin", F.lit(start))
     else:
         state = json.loads(saved["state"])
         model, edges, gains = EnsembleModel.of(state["model"]), state["edges"], np.array(state["gains"])
-        many, mean, start = state.get("many", 0), state.get("mean"), model.base
-        rows = spark.read.parquet(f"{folder}/binned" if many else f"{folder}/margins-{saved['round'] // every % 2}")
-    written_at, summed_to, cells = len(model.trees), -1, None
-    for r in range(written_at, rounds):
-        if many and (r > summed_to or cells is None):
-            numbers = range(r, min(rounds, r + min(many, BOOST_TREES)))
-            cells = cells if cells and cells.shared else summed(rows, numbers, model.trees, start, mean, len(edges), p)
-            summed_to, written_at = numbers[-1], written_at if cells.shared else r
-        # shared cells hold no tree yet, others those before their first round
-        recent = model.trees if cells and cells.shared else model.trees[written_at:]
-        (tree,), gain = grown(cells or rows, [r], recent, edges, p)
-        tree.value = [rate * v for v in tree.value]
-        model.trees.append(tree)
-        gains = gains + gain[0]
-        if (r + 1) % every == 0 and r + 1 < rounds:
-            slot = f"{folder}/margins-{(r + 1) // every % 2}"
-            if not many:
+        alone, many, mean, start = state.get("alone", False), state.get("many", 0), state.get("mean"), model.base
+        rows = spark.read.parquet(f"{folder}/binned" if alone or many else f"{folder}/margins-{saved['round'] // every % 2}")
+    shared, small = None, bool(many)
+    if many and not p.bootstrap and p.row_share >= 1 and len(model.trees) < rounds:
+        shared = summed(rows, [0], [], start, mean, len(edges), p)
+        small = fits_a_task(shared.rows.count(), len(edges))
+    r = written_at = len(model.trees)
+    while r < rounds:
+        most = min(rounds, r - r % every + every if resumes else rounds)
+        if alone or small:
+            numbers = range(r, most if alone or shared else min(most, r + min(many, BOOST_TREES)))
+            source = rows if alone else shared or summed(rows, numbers, model.trees, start, mean, len(edges), p, merged=True)
+            trees, more = grown_in_a_task(source, numbers, model.trees, start, mean, edges, p, rate)
+        else:
+            # cells hold no tree yet
+            trees, more = grown_by_jobs(shared or rows, [r], model.trees if shared else model.trees[written_at:], edges, p)
+            more = more[0]
+            for t in trees:
+                t.value = [rate * v for v in t.value]
+        model.trees += trees
+        gains, r = gains + more, r + len(trees)
+        if r % every == 0 and r < rounds:
+            slot = f"{folder}/margins-{r // every % 2}"
+            by_row = not (alone or many)
+            if by_row:
                 _added(rows, model.trees[written_at:], len(edges), p.depth).write.mode("overwrite").parquet(slot)
-            state = json.dumps(dict(model=model.state(), edges=edges, gains=gains.tolist(), many=many, mean=mean))
-            spark.createDataFrame([(r + 1, state)], "round int, state string").coalesce(1).write.mode("append").parquet(f"{folder}/trees")
-            if not many:
-                rows, written_at = spark.read.parquet(slot), r + 1
+            if resumes:
+                state = json.dumps(dict(model=model.state(), edges=edges, gains=gains.tolist(), alone=alone, many=many, mean=mean))
+                spark.createDataFrame([(r, state)], "round int, state string").coalesce(1).write.mode("append").parquet(f"{folder}/trees")
+            if by_row:
+                rows, written_at = spark.read.parquet(slot), r
     model.trees = model.trees[:rounds]
     model.importances = (gains / gains.sum() if gains.sum() else gains).tolist()
     return model
@@ -581,7 +738,7 @@ def forest(df: DataFrame, features: Sequence[str], label: str = "label", trees:
         for a in range(0, trees, many or BLOCK):
             numbers = list(range(a, min(a + (many or BLOCK), trees)))
             source = summed(rows, numbers, [], float(mean), float(mean), len(edges), p) if many else rows.withColumn("margin", F.lit(float(mean)))
-            some, gains = grown(source, numbers, [], edges, p)
+            some, gains = grown_by_jobs(source, numbers, [], edges, p)
             for t, g in zip(some, gains):
                 t.value = [v / trees for v in t.value]
                 shares += g / g.sum() if g.sum() else 0

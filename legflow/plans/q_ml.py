@@ -543,7 +543,7 @@ def r11(spark, sf):
 
 @register("r12_stacking")
 def r12(spark, sf):
-    return _model_metrics(spark, sf, "stacking")
+    return _model_metrics(spark, sf, "stacking", rounds=TREES)
 
 
 @register("r18_r24_batch_scoring_importance")

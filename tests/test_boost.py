@@ -214,3 +214,58 @@ def test_scores_are_those_of_the_thresholds(spark):
 
     got = [r.prediction for r in m.transform(odd).orderBy("id").collect()]
     assert np.allclose(got, [plain(r) for r in x])
+
+
+def test_rounds_in_one_task_are_those_of_a_job_a_level(spark, monkeypatch, tmp_path):
+    """A task that holds the rows, or the cells, grows what jobs over the rows grow: with gaps, columns drawn for trees and nodes,
+    rows drawn, and where a run stops in between."""
+    df, cols, _, _ = frame(spark, n=900)
+    df = df.withColumn("a", F.when(F.col("id") % 11 > 0, F.col("a")))
+    few = df.withColumns({"b": F.bround(F.col("b"), 0), "a": F.floor(F.col("a") / 4).cast("double")})
+    drawn = boost.Growth(l1=1e-3, l2=0.1, row_share=0.8, tree_columns=0.7, node_columns=1)
+
+    def fitted(x, folder=None):
+        return [model.boosted_trees(x, cols, rounds=6, key="id"), boost.boosted(x, cols, rounds=7, growth=drawn, base=0.5, key="id", folder=folder, every=3)]
+
+    read = []
+    plain = boost.sums_of
+    monkeypatch.setattr(boost, "sums_of", lambda rows, run, size: (read.append(rows.count()), plain(rows, run, size))[1])
+    held = [fitted(x) for x in (df, few)]
+    assert not read  # no level was a job
+    monkeypatch.setattr(boost, "TASK_BYTES", 0)
+    jobs = [fitted(x) for x in (df, few)]
+    assert len(read) > 40
+    monkeypatch.setattr(boost, "cell_tasks", lambda rows: 2)
+    monkeypatch.setattr(boost, "CELL_ROWS", 1)
+    monkeypatch.setattr(boost, "CELL_TREES", 3)
+    monkeypatch.setattr(boost, "TASK_BYTES", 450 * (3 + boost.ROW_BYTES))  # the cells fit, the rows do not
+    del read[:]
+    folder = str(tmp_path / "run")
+    boost.boosted(few, cols, rounds=5, growth=drawn, base=0.5, key="id", folder=folder, every=3)
+    assert spark.read.parquet(f"{folder}/trees").agg(F.max("round")).first()[0] == 3
+    by_cell = fitted(few, folder)
+    assert not read
+    for a, b in ((held[0], jobs[0]), (held[1], jobs[1]), (by_cell, jobs[1])):
+        for s, t in zip(a, b):
+            same_trees(s, t)
+            assert np.allclose(s.importances, t.importances)
+
+
+def test_merged_cells_are_one_row_each(spark):
+    """Sums of several tasks meet in one row a cell, with the weights and labels of all rows."""
+    df, cols, _, _ = frame(spark, n=900, parts=5)
+    few = df.withColumns({"b": F.bround(F.col("b"), 0), "a": F.floor(F.col("a") / 4).cast("double")})
+    rows, _ = boost.binned(few, cols, "label", "id")
+    rows = rows.repartition(5, "h")
+    p = boost.Growth(row_share=0.8)
+    got, apart = (boost.summed(rows, range(2, 4), [], 0.5, 1.0, 3, p, merged=m).rows.collect() for m in (True, False))
+    assert len({bytes(r.bins) for r in got}) == len(got) < len(apart)
+    for i in range(2):
+        assert sum(r.w[i] for r in got) == sum(r.w[i] for r in apart) and sum(r.y[i] for r in got) == pytest.approx(sum(r.y[i] for r in apart))
+    want = {}
+    for r in rows.collect():
+        w = boost.row_weights(np.array([r.h]), p, 3)[0]
+        s = want.setdefault(bytes(r.bins), [0.0, 0.0])
+        s[0], s[1] = s[0] + w, s[1] + w * (r.label - 1.0)
+    assert want.keys() == {bytes(r.bins) for r in got}
+    assert all(r.w[1] == want[bytes(r.bins)][0] and r.y[1] == pytest.approx(want[bytes(r.bins)][1]) for r in got)
