@@ -513,14 +513,14 @@ def r19(spark, sf):
 _FEATS = ["l_quantity", "l_discount", "l_tax", "flag_r", "status_f"]
 
 
-#: Boosting rounds of the registered queries (the README has the seconds a round); forests have all of their trees.
+#: Boosting rounds of xgb; other models have all of their rounds and trees.
 ROUNDS, TREES = 20, 500
 
 
-def _model_metrics(spark, sf, name, rounds=ROUNDS, **kw):
+def _model_metrics(spark, sf, name, **kw):
     x = _lineitem_xy(spark, sf)
     train, test = model.train_test_split(x, "row_id")
-    chain = model.fit_chain(train, name, _FEATS, rounds=TREES if name == "rf" else rounds, key="row_id", **kw)
+    chain = model.fit_chain(train, name, _FEATS, rounds=ROUNDS if name == "xgb" else TREES, key="row_id", **kw)
     m = evaluate.test_metrics(chain.transform(test))
     return m.select(*[F.round(F.col(c), 2).alias(c) for c in m.columns]).withColumn("model", F.lit(name))
 
@@ -543,7 +543,7 @@ def r11(spark, sf):
 
 @register("r12_stacking")
 def r12(spark, sf):
-    return _model_metrics(spark, sf, "stacking", rounds=TREES)
+    return _model_metrics(spark, sf, "stacking")
 
 
 @register("r18_r24_batch_scoring_importance")

@@ -48,3 +48,8 @@ def test_stacking_has_all_rounds(spark, folder, made):
 def test_every_named_model_has_all_rounds_and_trees(spark, folder, made):
     assert built(spark, "r14_every_named_model", folder).count() == 7
     assert made == [("boosted", 500), ("boosted", 500), ("forest", 500), ("boosted", 500)]
+
+
+def test_gradient_boosting_has_all_rounds(spark, folder, made):
+    built(spark, "r5_r10_gb_test_metrics", folder)
+    assert made == [("boosted", 500)]
