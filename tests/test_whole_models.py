@@ -53,3 +53,8 @@ def test_every_named_model_has_all_rounds_and_trees(spark, folder, made):
 def test_gradient_boosting_has_all_rounds(spark, folder, made):
     built(spark, "r5_r10_gb_test_metrics", folder)
     assert made == [("boosted", 500)]
+
+
+def test_regularised_boosting_has_all_rounds(spark, folder, made):
+    built(spark, "r5_r10_xgb_test_metrics", folder)
+    assert made == [("boosted", 500)]
